@@ -9,6 +9,7 @@ from blockloom.llm.media_columns import op8_transport_streams
 from blockloom.llm.mixing import op7_pfair_mixing
 from blockloom.llm.packing import op4_pattern_packing
 from blockloom.llm.sharding import op6_ring_sharding
+from blockloom.llm.substring_dedup import op10_substring_dedup
 
 QUERIES = {
     "op3_language_id": op3_language_id,
@@ -18,5 +19,6 @@ QUERIES = {
     "op7_pfair_mixing": op7_pfair_mixing,
     "op8_transport_streams": op8_transport_streams,
     "op9_html_text": op9_html_text,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {"op5_exact_dedup": OP5_SQL}
