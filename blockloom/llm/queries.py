@@ -6,12 +6,14 @@ from blockloom.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from blockloom.llm.html_extract import op9_html_text
 from blockloom.llm.language_id import op3_language_id
 from blockloom.llm.media_columns import op8_transport_streams
+from blockloom.llm.minhash import op2_minmax_near_duplicates
 from blockloom.llm.mixing import op7_pfair_mixing
 from blockloom.llm.packing import op4_pattern_packing
 from blockloom.llm.sharding import op6_ring_sharding
 from blockloom.llm.substring_dedup import op10_substring_dedup
 
 QUERIES = {
+    "op2_minmax_near_duplicates": op2_minmax_near_duplicates,
     "op3_language_id": op3_language_id,
     "op4_pattern_packing": op4_pattern_packing,
     "op5_exact_dedup": op5_exact_dedup,
