@@ -175,17 +175,19 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, max_languages: in
     return train(sorted(((r.lang, np.frombuffer(bytes(r.x), np.float16)) for r in found), key=lambda p: (p[0], p[1].tobytes())))
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """doc_id, lang_pred and score of every document."""
+def predict(docs: DataFrame, model: LanguageModel, passing: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred and score of every document, and the columns named in passing."""
     bounded_batches(docs.sparkSession)
+    rows = pick(docs, "doc_id", "text", *[n for n in passing if n not in ("doc_id", "text")]).withColumn("doc_id", F.col("doc_id").cast("long"))
+    names = ["doc_id", "lang_pred", "score", *passing]
+    schema = ", ".join(["doc_id long, lang_pred string, score double", *[f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in passing]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, scores = model.predict(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), *[batch.column(batch.schema.get_field_index(n)) for n in passing]], names)
 
-    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return texts.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return rows.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

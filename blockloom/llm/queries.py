@@ -9,10 +9,12 @@ from blockloom.llm.media_columns import op8_transport_streams
 from blockloom.llm.minhash import op2_minmax_near_duplicates
 from blockloom.llm.mixing import op7_pfair_mixing
 from blockloom.llm.packing import op4_pattern_packing
+from blockloom.llm.quality import op1_quality_classifier
 from blockloom.llm.sharding import op6_ring_sharding
 from blockloom.llm.substring_dedup import op10_substring_dedup
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_minmax_near_duplicates": op2_minmax_near_duplicates,
     "op3_language_id": op3_language_id,
     "op4_pattern_packing": op4_pattern_packing,
