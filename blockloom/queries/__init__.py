@@ -1,4 +1,6 @@
 """Named queries over the test tables, each with DuckDB SQL for the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from blockloom.queries import audits, documents, grids, numbers, sequences
+from blockloom.queries.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "audits", "documents", "grids", "numbers", "sequences"]

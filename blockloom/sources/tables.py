@@ -27,8 +27,9 @@ def line_blocks(docs: DataFrame) -> DataFrame:
 
 def derived_target(key: Column, text: Column) -> Column:
     """A translation made up from the source: every 7th lacks its first digit, every 11th is empty, every
-    13th is the source itself, the others are upper-cased."""
-    return F.when(key % 11 == 0, "").when(key % 7 == 0, F.upper(F.regexp_replace(text, "^([^0-9]*)[0-9]", "$1"))).when(key % 13 == 0, text).otherwise(F.upper(text))
+    13th is the source itself, the others are lower-cased behind a mark."""
+    mark = F.lit("x ")
+    return F.when(key % 11 == 0, "").when(key % 7 == 0, F.concat(mark, F.lower(F.regexp_replace(text, "^([^0-9]*)[0-9]", "$1")))).when(key % 13 == 0, text).otherwise(F.concat(mark, F.lower(text)))
 
 
 def sentences(lineitem: DataFrame) -> DataFrame:
