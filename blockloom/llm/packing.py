@@ -16,6 +16,7 @@ null ids are packed like any row; an empty table gives an empty table; other col
 from __future__ import annotations
 
 import bisect
+import functools
 import re
 import zlib
 from collections import defaultdict
@@ -35,8 +36,21 @@ GRID = 64
 CACHE = 500_000
 #: Bytes of text that are tokenized at once.
 CHUNK = 1 << 20
-LAST_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|$)")
 SALTS = 64
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """How byte-level vocabularies write bytes: printable ones as they are, the others from U+0100 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)}
+
+
+BYTE_ALPHABET = _byte_alphabet()
+#: Words whose characters normalisation only lower-cases and that have no contraction, and how they are cut:
+#: runs of letters, single digits, runs of other marks.
+PLAIN = re.compile(r"[!-&(-~ªµºÀ-ÖØ-öø-ÿ]+")
+PIECE = re.compile(r"[^\W\d_]+|\d|[\W_]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "len bigint,lo bigint,hi bigint,seq0 bigint,offset bigint"
 
@@ -45,38 +59,55 @@ class WordIds(dict):
     """Word (bytes without ASCII white space) -> its ids as little-endian unsigned 32-bit numbers.
 
     The tokenizer drops white space, lower-cases, and never joins what white space separates, so a
-    text's ids are its words' ids one after the other. A comma or full stop between an ASCII letter
-    and white space is a word of its own. Texts with the mark of special tokens are left to the
-    tokenizer as a whole."""
+    text's ids are its words' ids one after the other. Texts with the mark of special tokens are left
+    to the tokenizer as a whole. Words are remembered in two generations of cache / 2."""
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
-        self.nought = self.tokenizer.encode("0", add_special_tokens=False).ids[-1]
-
-    def learn(self, words: list[bytes]) -> None:
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if len(self) + len(new) > self.cache:
+        self.tokenizer, self.half = Tokenizer.from_file(path), cache // 2
+        self.old: dict[bytes, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.as_bytes = [np.array([i], "<u4").tobytes() for i in range(self.tokenizer.get_vocab_size())]
+
+    @staticmethod
+    @functools.cache
+    def shared(path: str) -> WordIds:
+        """One for all tasks of a worker process."""
+        return WordIds(path)
+
+    def learn(self, missing: list[bytes]) -> None:
+        """Words of plain characters are cut as the tokenizer cuts them, and each piece goes to its model,
+        byte by byte in the model's alphabet; all others go through the whole tokenizer."""
+        new = list(dict.fromkeys(missing))
+        if len(self) + len(new) > self.half:
+            self.old = dict(self)
             self.clear()
-            new = list(dict.fromkeys(words))
-        plain = [w for w in new if b"0" not in w]
-        others = [w for w in new if b"0" in w]
-        for at in range(0, len(plain), 1000):  # a nought between two words marks where a word's ids end
-            part = plain[at : at + 1000]
-            ids = np.array(self.tokenizer.encode(b" 0 ".join([*part, b""]).decode(), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.nought) * 4
-            if len(cuts) == len(part):
-                data, start = ids.tobytes(), 0
-                for w, cut in zip(part, cuts.tolist(), strict=True):
-                    self[w], start = data[start:cut], cut + 4
+        others = []
+        for w in new:
+            if (ids := self.old.get(w)) is not None:
+                self[w] = ids
+            elif w.isalpha():
+                self[w] = self.model_ids(w.decode())
+            elif PLAIN.fullmatch(s := w.decode()):
+                self[w] = b"".join([self.piece(p) for p in PIECE.findall(s.lower())])
             else:
-                others += part
-        for at in range(0, len(others), 4096):
-            part = others[at : at + 4096]
+                others.append(w)
+        for at in range(0, len(others), 1000):
+            part = others[at : at + 1000]
             found = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
             self.update(zip(part, [np.array(e.ids, "<u4").tobytes() for e in found], strict=True))
 
+    def model_ids(self, piece: str) -> bytes:
+        return b"".join([self.as_bytes[t.id] for t in self.tokenize(piece)])
+
+    def piece(self, text: str) -> bytes:
+        key = text.encode()
+        ids = self.get(key)
+        if ids is None:
+            ids = self[key] = self.model_ids(key.decode("latin-1").translate(BYTE_ALPHABET))
+        return ids
+
     def encode(self, text: bytes) -> Iterator[bytes]:
         """The ids of a text, in parts."""
         if b"<|" in text:
@@ -88,12 +119,12 @@ class WordIds(dict):
             if end < len(text):
                 cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end))
                 end = cut if cut > at else len(text)
-            words = LAST_MARK.sub(rb" \1", text[at:end].lower()).split()
-            try:
-                yield b"".join([self[w] for w in words])
-            except KeyError:
-                self.learn(words)
-                yield b"".join([self[w] for w in words])
+            words = text[at:end].lower().split()
+            ids = list(map(self.get, words))
+            if None in ids:
+                self.learn([w for w, i in zip(words, ids, strict=True) if i is None])
+                ids = [self[w] if i is None else i for w, i in zip(words, ids, strict=True)]
+            yield b"".join(ids)
             at = end
 
 
@@ -102,7 +133,7 @@ def tokenized_pieces(tokenizer: str, room: int, last_id: int) -> Callable[[Itera
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids = WordIds(tokenizer)
+        ids = WordIds.shared(tokenizer)
         end = np.array([last_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
