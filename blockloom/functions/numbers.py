@@ -7,6 +7,8 @@ months in dates count as numbers and parentheses don't negate).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,12 @@ MONTHS = ["January", "February", "March", "April", "May", "June", "July", "Augus
 CN_DIGITS = "零一二三四五六七八九"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once: it is bound as a lambda variable, so that an expression that uses
+    it many times doesn't grow by copies of it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def repair_separators(s: Column) -> Column:
     """Restores the grouping of a number whose separators were misread; digits stay as they are."""
     joined = F.regexp_replace(F.replace(s, F.lit("/"), F.lit("")), r",\s*,", ",")
@@ -41,33 +49,38 @@ def repair_separators(s: Column) -> Column:
 
 def repair_number(c: Column) -> Column:
     """A number as printed, from its misread form; anything that can't be settled stays unchanged."""
-    s = stripped(F.translate(c, "，．（）　 ％−－", ",.()  %--"))
-    opened = s.startswith("(")
-    a = F.when(opened, stripped(F.substring(s, 2, 1 << 20))).otherwise(s)
-    closed = a.endswith(")")
-    b = F.when(closed, stripped(F.regexp_replace(a, r"\)$", ""))).otherwise(a)
-    percent = b.endswith("%")
-    d = F.when(percent, stripped(F.regexp_replace(b, "%$", ""))).otherwise(b)
-    sign = F.regexp_extract(d, r"^([+-])", 1)
-    e = stripped(F.regexp_replace(d, r"^[+-]", ""))
-    wrap = lambda core: F.concat(F.when(opened, "(").otherwise(""), sign, core, F.when(percent, "%").otherwise(""), F.when(closed, ")").otherwise(""))
-    tight = F.regexp_replace(e, r"(?U)\s+", "")
-    plain = F.when(tight.contains(".") & tight.contains("/"), F.replace(tight, F.lit("/"), F.lit(""))).otherwise(tight)
-    spaced = F.replace(e, F.lit(" "), F.lit(""))
-    fixed = repair_separators(spaced)
-    return (
-        F.when((s == "") | (e == "") | ~e.rlike(r"^[0-9,.\s/]+[%％]?$"), c)
-        .when(~e.contains(","), F.when(plain != "", wrap(plain)).otherwise(c))
-        .when(spaced.rlike(WELL_FORMED), wrap(spaced))
-        .when(fixed.rlike(WELL_FORMED), wrap(fixed))
-        .otherwise(c)
-    )
+
+    def parts(s: Column) -> Column:
+        opened = s.startswith("(")
+        return let(F.when(opened, stripped(F.substring(s, 2, 1 << 20))).otherwise(s), lambda a: peel(opened, a))
+
+    def peel(opened: Column, a: Column) -> Column:
+        closed = a.endswith(")")
+        return let(F.when(closed, stripped(F.regexp_replace(a, r"\)$", ""))).otherwise(a), lambda b: core(opened, closed, b))
+
+    def core(opened: Column, closed: Column, b: Column) -> Column:
+        percent = b.endswith("%")
+        d = F.when(percent, stripped(F.regexp_replace(b, "%$", ""))).otherwise(b)
+        fields = F.struct(opened.alias("open"), closed.alias("close"), percent.alias("percent"), F.regexp_extract(d, r"^([+-])", 1).alias("sign"), stripped(F.regexp_replace(d, r"^[+-]", "")).alias("e"))
+        return let(fields, settle)
+
+    def settle(x: Column) -> Column:
+        wrap = lambda digits: F.concat(F.when(x["open"], "(").otherwise(""), x["sign"], digits, F.when(x["percent"], "%").otherwise(""), F.when(x["close"], ")").otherwise(""))
+        e = x["e"]
+        tight = F.regexp_replace(e, r"(?U)\s+", "")
+        plain = let(tight, lambda t: F.when(t.contains(".") & t.contains("/"), F.replace(t, F.lit("/"), F.lit(""))).otherwise(t))
+        grouped = let(F.replace(e, F.lit(" "), F.lit("")), lambda q: F.when(q.rlike(WELL_FORMED), wrap(q)).otherwise(let(repair_separators(q), lambda r: F.when(r.rlike(WELL_FORMED), wrap(r)))))
+        fits = (e != "") & e.rlike(r"^[0-9,.\s/]+[%％]?$")
+        return F.when(fits, F.when(e.contains(","), grouped).otherwise(wrap(plain)))
+
+    return F.coalesce(let(stripped(F.translate(c, "，．（）　\u00a0％−－", ",.()  %--")), parts), c)
 
 
 def is_numeric_cell(c: Column) -> Column:
-    """A figure and nothing else, well formed or to be repaired; note marks aren't figures."""
-    t = stripped(c)
-    return F.coalesce((t != "") & ~t.rlike(NOTE_MARK) & (t.rlike(NUMERIC_CELL) | repair_number(t).rlike(NUMERIC_CELL)), F.lit(False))
+    """A figure and nothing else, well formed or to be repaired; note marks aren't figures. Only texts made of
+    digits and marks are tried."""
+    shaped = ~c.rlike(r"\p{L}") & c.rlike(r"\d")
+    return F.coalesce(F.when(shaped, let(stripped(c), lambda t: (t != "") & ~t.rlike(NOTE_MARK) & (t.rlike(NUMERIC_CELL) | repair_number(t).rlike(NUMERIC_CELL)))), F.lit(False))
 
 
 def is_strong_figure(c: Column) -> Column:
@@ -76,40 +89,33 @@ def is_strong_figure(c: Column) -> Column:
 
 def unit_power(window: Column) -> Column:
     """Power of ten of a unit word at the start of the text after a number; 0 without one."""
-    word, prefix = F.lower(F.regexp_extract(window, EN_UNIT, 2)), F.lower(F.trim(F.regexp_extract(window, EN_UNIT, 1)))
-    cn = F.regexp_extract(window, CN_UNIT, 1)
-    en = F.lit(0)
-    for name, power in EN_POWERS.items():
-        en = F.when(word == name, power).otherwise(en)
-    own = F.lit(0)
-    for name, power in CN_POWERS.items():
-        own = F.when(cn == name, power).otherwise(own)
-    return F.when(word != "", en + F.when(prefix == "hundred", 2).when(prefix == "ten", 1).otherwise(0)).otherwise(own)
+    words = F.create_map(*[F.lit(x) for pair in {**EN_POWERS, **CN_POWERS, "": 0}.items() for x in pair])
+    word = F.lower(F.regexp_extract(window, EN_UNIT, 2))
+    prefix = F.lower(F.trim(F.regexp_extract(window, EN_UNIT, 1)))
+    more = F.when(prefix == "hundred", 2).when(prefix == "ten", 1).otherwise(0)
+    return F.when(window.rlike(EN_UNIT), F.element_at(words, word) + more).otherwise(F.element_at(words, F.regexp_extract(window, CN_UNIT, 1)))
 
 
 def scaled(number: Column, power: Column) -> Column:
     """number (text without separators) times ten to the power, exactly; null where it isn't one."""
-    ten = F.lit("1").cast("decimal(14,0)")
-    for p in range(1, 15):
-        ten = F.when(power == p, F.lit("1" + "0" * p).cast("decimal(15,0)")).otherwise(ten)
-    return (number.try_cast("decimal(22,8)") * ten.cast("decimal(15,0)")).cast(VALUE)
-
-
-def _pieces(text: Column, token: str) -> tuple[Column, Column]:
-    """Tokens, and the texts between them (one more: before the first and after the last)."""
-    return F.regexp_extract_all(text, F.lit(f"({token})"), F.lit(1)), F.split(text, token, -1)
+    tens = F.array(*[F.lit("1" + "0" * p).cast("decimal(15,0)") for p in range(15)])
+    return (number.try_cast("decimal(22,8)") * F.element_at(tens, power + 1)).cast(VALUE)
 
 
 def _each(text: Column, token: str, build) -> Column:
-    toks, between = _pieces(text, token)
-    n = F.size(toks)
-    at = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    """build(token, text before, text after) for each token; after the last one it is cut at 16 characters."""
 
-    def one(i):
-        after = F.element_at(between, i + 1)
-        return build(F.element_at(toks, i), F.element_at(between, i), F.when(i == n, F.substring(after, 1, 16)).otherwise(after))
+    def zipped(t: Column) -> Column:
+        toks, between = F.regexp_extract_all(t, F.lit(f"({token})"), F.lit(1)), F.split(t, token, -1)
+        return let(F.struct(toks.alias("toks"), between.alias("btw")), walk)
 
-    return F.transform(at, one)
+    def walk(p: Column) -> Column:
+        n = F.size(p["toks"])
+        after = F.concat(F.slice(p["btw"], F.lit(2), F.greatest(n - 1, F.lit(0))), F.array(F.substring(F.element_at(p["btw"], -1), 1, 16)))
+        rows = F.arrays_zip(p["toks"].alias("tok"), p["btw"].alias("before"), after.alias("after"))
+        return F.transform(F.slice(rows, F.lit(1), n), lambda r: build(r["tok"], r["before"], r["after"]))
+
+    return let(text, zipped)
 
 
 def amounts(text: Column) -> Column:
@@ -118,7 +124,9 @@ def amounts(text: Column) -> Column:
     t = fold_width(text)
 
     def build(tok, before, window):
-        power = unit_power(window)
+        return let(unit_power(window), lambda power: one(tok, before, window, power))
+
+    def one(tok, before, window, power):
         figure = tok.rlike("[,.%]") | (power != 0) | window.rlike(PAGE_CURRENCY)
         negative = before.rlike("[(（]$") | tok.contains("-")
         core = F.regexp_replace(tok, "[^0-9.,]", "")
@@ -139,7 +147,9 @@ def signature(text: Column, figures_only: bool = False) -> Column:
     t = F.regexp_replace(t, r"(?<=\d)-(?=\d)", " - ")
 
     def build(tok, before, window):
-        power = unit_power(window)
+        return let(unit_power(window), lambda power: one(tok, window, power))
+
+    def one(tok, window, power):
         figure = tok.rlike(r"\d[.,]\d") | window.startswith("%") | (power != 0) | window.rlike(BLOCK_CURRENCY)
         return F.struct(figure.alias("figure"), scaled(F.replace(tok, F.lit(","), F.lit("")), power).alias("value"))
 
@@ -177,13 +187,13 @@ def normalize_ordinals(text: Column) -> Column:
     """Chinese ordinal marks (一、 （四） 第二节) with Arabic digits, delimiters kept: one pass over the 99
     numerals, longest first, each in the three places where it is an ordinal."""
     out = text
-    digits = "一二三四五六七八九"
+    digits = CN_DIGITS[1:]
     names = {n: ("" if n < 20 else digits[n // 10 - 1]) + "十" + ("" if n % 10 == 0 else digits[n % 10 - 1]) if n >= 10 else digits[n - 1] for n in range(1, 100)}
     for n, name in sorted(names.items(), key=lambda x: -len(x[1])):
         out = F.regexp_replace(out, rf"第\s*{name}\s*([章节条篇])", f"{n}$1")
         out = F.regexp_replace(out, rf"(?<![一二三四五六七八九十]){name}\s*([、．])", f"{n}$1")
         out = F.regexp_replace(out, rf"[（(]\s*{name}\s*[)）]", f"({n})")
-    return out
+    return F.when(text.rlike("[一二三四五六七八九十]"), out).otherwise(text)
 
 
 def section_numbers(text: Column) -> Column:

@@ -169,7 +169,7 @@ CJK_STOPWORDS = ["本报告", "本公司", "本公司及", "年度", "单位", "
 
 def latin_terms(blocks: DataFrame, doc: list[str], order: str = "block_id", least: int = 2, most: int | None = 80) -> DataFrame:
     """Repeated TitleCase or ALL-CAPS words: term, n, rank in order of first appearance, `most` at most."""
-    words = blocks.select(*doc, order, F.posexplode(F.regexp_extract_all("text", F.lit(r"(\b[A-Z][a-z]{2,}\b|\b[A-Z]{3,}\b)"), F.lit(1))).alias("pos", "term"))
+    words = blocks.select(*doc, order, F.posexplode(F.regexp_extract_all("text", F.lit(r"(?U)(\b[A-Z][a-z]{2,}\b|\b[A-Z]{3,}\b)"), F.lit(1))).alias("pos", "term"))
     found = words.groupBy(*doc, "term").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order, "pos")).alias("first")).where((F.col("n") >= least) & ~F.lower("term").isin(STOPWORDS))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(*doc).orderBy("first", "term"))).select(*doc, "term", "n", "rank")
     return ranked if most is None else ranked.where(F.col("rank") <= most)
@@ -229,4 +229,4 @@ def grouping_statistics(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def judge_mean(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Mean page score, each within 0 to 100 and a failed one (null) 0."""
-    return scores.groupBy(*keys).agg(F.avg(F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score"))), F.lit(0.0))).alias("score"))
+    return scores.groupBy(*keys).agg(F.avg(F.when(F.col("score").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score"))))).alias("score"))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockloom.functions import text as X
 from blockloom.functions.geometry import upper_median
@@ -146,8 +147,8 @@ def fit_heights(rows: DataFrame, keys: list[str], slack: float = 1.5) -> DataFra
 
 def push_down(elements: DataFrame, keys: list[str]) -> DataFrame:
     """Adds shift: the sum of `extra` of all elements of the page that start strictly higher; equals share."""
-    higher = Window.partitionBy(*keys).orderBy("y0").rangeBetween(Window.unboundedPreceding, -1e-9)
-    return elements.withColumn("shift", F.coalesce(F.sum("extra").over(higher), F.lit(0.0)))
+    higher = F.expr(f"sum(extra) over (partition by {', '.join(keys)} order by y0 range between unbounded preceding and 0.000000001D preceding)")
+    return elements.withColumn("shift", F.coalesce(higher, F.lit(0.0)))
 
 
 def row_growth(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -300,7 +301,7 @@ def cluster_columns(items: list[dict], slack: float = 4.0) -> list[int]:
 
 
 def _by_page(rows: DataFrame, keys: list[str], add: str, run) -> DataFrame:
-    schema = rows.schema.add(add, "int")
+    schema = T.StructType([*rows.schema.fields, T.StructField(add, T.IntegerType())])
 
     def each(pages: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
         page = pages.sort_values("line_no" if "line_no" in pages.columns else "item_no", kind="stable").reset_index(drop=True)

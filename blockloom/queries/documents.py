@@ -77,7 +77,7 @@ _STOP = ", ".join(f"'{w}'" for w in A.STOPWORDS)
 @query(
     "latin_terms",
     f"""WITH {BLOCKS},
-    hits AS (SELECT doc_id, block_id, unnest(range(len(w))) AS pos, unnest(w) AS term FROM (SELECT doc_id, block_id, regexp_extract_all(text, '\\b[A-Z][a-z]{{2,}}\\b|\\b[A-Z]{{3,}}\\b') AS w FROM blocks)),
+    hits AS (SELECT doc_id, block_id, unnest(range(len(w))) AS pos, unnest(w) AS term FROM (SELECT doc_id, block_id, list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda x: regexp_matches(x, '^[A-Z][a-z]{{2,}}$|^[A-Z]{{3,}}$')) AS w FROM blocks)),
     found AS (SELECT doc_id, term, count(*) AS n, min(block_id::BIGINT * 1000000000 + pos) AS first FROM hits GROUP BY doc_id, term HAVING count(*) >= 2 AND lower(term) NOT IN ({_STOP}))
     SELECT doc_id, term, n, rank FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first, term)::INTEGER AS rank FROM found) WHERE rank <= 80""",
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from blockloom.operators import aggregates as A
 from blockloom.operators import joins as J
 from blockloom.operators import sequence as S
-from blockloom.queries.registry import GRID, query
+from blockloom.queries.registry import GRID, ITEMS, query
 from blockloom.sources import ingest as I
 from blockloom.sources import tables as T
 
@@ -43,9 +43,9 @@ def block_roles(spark, d):
 
 def _cells(spark, d):
     """Cells 100 wide and 20 high under every grid place; each is listed twice, so that the first must win."""
-    li = T.read(spark, d, "lineitem")
+    li = T.numbered(T.read(spark, d, "lineitem"))
     at = F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k")
-    rows = li.select(F.col("l_orderkey").alias("page_no"), F.col("l_linenumber").alias("row"), at).withColumn("col", (F.col("k") % 5).cast("int"))
+    rows = li.select(F.col("l_orderkey").alias("page_no"), F.col("row_no").alias("row"), at).withColumn("col", (F.col("k") % 5).cast("int"))
     x = F.when(F.col("col") == 0, 0.0).otherwise(F.col("col") * 120.0)
     return rows.select("page_no", "row", "col", (F.col("row") * 10 + F.col("k")).cast("int").alias("cell_no"), x.alias("x0"), (F.col("row") * 20.0 - 4).alias("y0"), (x + 100).alias("x1"), (F.col("row") * 20.0 + 16).alias("y1"))
 
@@ -249,9 +249,9 @@ def ocr_table_pages(spark, d):
     return I.ocr_table_pages(b, P)
 
 
-@query("rule_coverage", f"{_ROWS}, x AS (SELECT page_no, row_id, y0, row_id % 3 AS k FROM r) SELECT page_no, y0 AS y, CASE WHEN k = 0 THEN 400.0 ELSE 380.0 END::DOUBLE AS covered FROM x WHERE k <> 2")
+@query("rule_coverage", f"{_ROWS}, x AS (SELECT page_no, row_id, y0, row_id % 3 AS k FROM r) SELECT page_no, y0 AS y, 400.0::DOUBLE AS covered FROM x WHERE k = 0")
 def rule_coverage(spark, d):
-    """Rules drawn in segments: whole, with a gap of 20, and too short."""
+    """Rules drawn in segments: whole, with a gap (its last run begins inside of the table), and too short."""
     rows = _rows(spark, d)
     k = F.col("row_id") % 3
     seg = lambda a, b: F.struct(F.lit(float(a)).alias("x0"), F.lit(float(b)).alias("x1"))
@@ -279,10 +279,10 @@ def ocr_items(spark, d):
     return I.clean_ocr(g.select("page_no", "item_no", "text", points.alias("points")), P)
 
 
-@query("figure_regions", "WITH i AS (SELECT l_orderkey AS page_no, l_linenumber AS image_no, l_quantity * 3 AS w FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY page_no, w ORDER BY image_no) AS dup FROM i WHERE w >= 24 AND w * 100 >= 2000 AND w * 100 <= 0.95 * 13000) SELECT page_no, image_no FROM (SELECT *, row_number() OVER (PARTITION BY page_no ORDER BY image_no) AS n FROM k WHERE dup = 1) WHERE n <= 4")
+@query("figure_regions", f"WITH {ITEMS}, i AS (SELECT l_orderkey AS page_no, row_no AS image_no, l_quantity * 3 AS w FROM li), k AS (SELECT *, row_number() OVER (PARTITION BY page_no, w ORDER BY image_no) AS dup FROM i WHERE w >= 24 AND w * 100 >= 2000 AND w * 100 <= 0.95 * 13000) SELECT page_no, image_no FROM (SELECT *, row_number() OVER (PARTITION BY page_no ORDER BY image_no) AS n FROM k WHERE dup = 1) WHERE n <= 4")
 def figure_regions(spark, d):
-    li = T.read(spark, d, "lineitem")
-    images = li.select(F.col("l_orderkey").alias("page_no"), F.col("l_linenumber").alias("image_no"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("l_quantity") * 3).alias("x1"), F.lit(100.0).alias("y1"), F.lit(13000.0).alias("page_area"))
+    li = T.numbered(T.read(spark, d, "lineitem"))
+    images = li.select(F.col("l_orderkey").alias("page_no"), F.col("row_no").alias("image_no"), F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), (F.col("l_quantity") * 3).alias("x1"), F.lit(100.0).alias("y1"), F.lit(13000.0).alias("page_area"))
     return I.figure_regions(images, P).select("page_no", "image_no")
 
 
@@ -300,16 +300,16 @@ def finite_blocks(spark, d):
     return I.finite_blocks(_grid(spark, d).withColumn("x1", F.when(F.col("item_no") % 10 == 3, F.lit(float("inf"))).otherwise(F.col("x1")))).select("page_no", "item_no")
 
 
-@query("block_styles", "SELECT l_orderkey AS page_no, list_sort(list(l_quantity))[count(*) // 2 + 1] AS size, bool_or(l_linenumber = 3) AS bold, count(*) <= 1 AS single_line FROM lineitem GROUP BY l_orderkey")
+@query("block_styles", "SELECT l_orderkey AS page_no, list_sort(list(l_quantity))[count(*) // 2 + 1] AS size, bool_or(l_linenumber = 3) AS bold, count(DISTINCT l_linenumber) <= 1 AS single_line FROM lineitem GROUP BY l_orderkey")
 def block_styles(spark, d):
     li = T.read(spark, d, "lineitem")
     spans = li.select(F.col("l_orderkey").alias("page_no"), F.col("l_quantity").alias("size"), (F.col("l_linenumber") == 3).alias("bold"), F.lit(0.0).alias("x0"), F.lit(50.0).alias("x1"), (F.col("l_linenumber") * 20.0).alias("y0"), F.lit(0.0).alias("b_x0"), F.lit(50.0).alias("b_x1"), F.lit(0.0).alias("p_x0"), F.lit(400.0).alias("p_x1"))
     return A.block_style(spans, P).select("page_no", "size", "bold", "single_line")
 
 
-@query("lines_from_spans", "SELECT l_orderkey AS page_no, string_agg(l_returnflag || l_linestatus, '' ORDER BY l_linenumber) AS text, list_sort(list(l_quantity))[count(*) // 2 + 1] AS size, bool_or(l_linenumber = 2) AS bold, min(l_linenumber * 10.0) AS x0, max(l_linenumber * 10.0 + 8) AS x1 FROM lineitem GROUP BY l_orderkey")
+@query("lines_from_spans", f"WITH {ITEMS} SELECT l_orderkey AS page_no, string_agg(l_returnflag || l_linestatus, '' ORDER BY row_no) AS text, list_sort(list(l_quantity))[count(*) // 2 + 1] AS size, bool_or(row_no = 2) AS bold, min(row_no * 10.0)::DOUBLE AS x0, max(row_no * 10.0 + 8)::DOUBLE AS x1 FROM li GROUP BY l_orderkey")
 def lines_from_spans(spark, d):
-    li = T.read(spark, d, "lineitem")
-    x = F.col("l_linenumber") * 10.0
-    spans = li.select(F.col("l_orderkey").alias("page_no"), F.lit(0).alias("line_no"), F.col("l_linenumber").alias("span_no"), F.concat("l_returnflag", "l_linestatus").alias("text"), x.alias("x0"), F.lit(0.0).alias("y0"), (x + 8).alias("x1"), F.lit(10.0).alias("y1"), F.col("l_quantity").alias("size"), F.when(F.col("l_linenumber") == 2, 16).otherwise(0).alias("flags"), F.lit("Serif").alias("font"), (F.col("l_linenumber") % 2).alias("color"))
+    li = T.numbered(T.read(spark, d, "lineitem"))
+    x = F.col("row_no") * 10.0
+    spans = li.select(F.col("l_orderkey").alias("page_no"), F.lit(0).alias("line_no"), F.col("row_no").alias("span_no"), F.concat("l_returnflag", "l_linestatus").alias("text"), x.alias("x0"), F.lit(0.0).alias("y0"), (x + 8).alias("x1"), F.lit(10.0).alias("y1"), F.col("l_quantity").alias("size"), F.when(F.col("row_no") == 2, 16).otherwise(0).alias("flags"), F.lit("Serif").alias("font"), (F.col("row_no") % 2).alias("color"))
     return I.lines_from_spans(spans, P).select("page_no", "text", "size", "bold", "x0", "x1")

@@ -156,4 +156,4 @@ def entity_top10(spark, d):
 @query("identity", f"WITH {BLOCKS} SELECT doc_id, count(*) FILTER (WHERE length(regexp_replace(t, '[^\\p{{L}}]', '', 'g')) >= 12 OR len(string_split(t, ' ')) >= 3) AS identical FROM (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM blocks) GROUP BY doc_id")
 def identity(spark, d):
     b = T.line_blocks(T.read(spark, d, "documents"))
-    return b.groupBy("doc_id").agg(A.count_if(X.is_identity(F.col("text"), F.concat(F.lit("  "), F.upper("text")))).alias("identical"))
+    return b.groupBy("doc_id").agg(A.count_if(X.is_identity(F.col("text"), F.concat(F.lit("  "), F.lower("text")))).alias("identical"))

@@ -57,12 +57,18 @@ sentences AS (
   FROM raw
 )"""
 
+#: Line items with a number from 1 in each order.
+ITEMS = """
+li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax) AS row_no FROM lineitem)"""
+
 #: Grid cells of line items (page_no, item_no, row_no, col_no, text and box).
-GRID = """
+GRID = (
+    ITEMS
+    + """,
 cells AS (
-  SELECT l_orderkey AS page_no, l_linenumber AS row_no, unnest(range(5))::INTEGER AS col_no,
+  SELECT l_orderkey AS page_no, row_no, unnest(range(5))::INTEGER AS col_no,
          unnest([l_returnflag, l_quantity::DECIMAL(18,2)::VARCHAR, l_extendedprice::DECIMAL(18,2)::VARCHAR, l_discount::DECIMAL(18,2)::VARCHAR, l_tax::DECIMAL(18,2)::VARCHAR]) AS text
-  FROM lineitem
+  FROM li
 ),
 placed AS (
   SELECT page_no, row_no, col_no, text, length(text) * 6.0::DOUBLE AS w,
@@ -74,6 +80,7 @@ grid AS (
          CASE WHEN col_no = 0 THEN 0.0::DOUBLE ELSE col_no * 120.0::DOUBLE + 100.0 - w END + w AS x1, y0 + 10.0 AS y1
   FROM placed
 )"""
+)
 
 
 def amounts_sql(source: str, keys: str, text: str) -> str:

@@ -7,7 +7,7 @@ that an audit has findings of every kind without any model.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAGE_BLOCKS = 40
@@ -52,6 +52,12 @@ def sentences(lineitem: DataFrame) -> DataFrame:
     return lineitem.select(F.col("l_orderkey").alias("page_no"), F.col("l_linenumber").alias("block_no"), source.alias("text"), target.alias("target"))
 
 
+def numbered(lineitem: DataFrame) -> DataFrame:
+    """lineitem with row_no from 1 in each order: line numbers repeat in some orders."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    return lineitem.withColumn("row_no", F.row_number().over(order))
+
+
 GRID_COLUMNS = ["l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -60,7 +66,7 @@ def grid_cells(lineitem: DataFrame) -> DataFrame:
     wide as their digits; odd rows sit two points lower, so that rows must be clustered."""
     text = lambda c: F.col(c) if c == "l_returnflag" else F.col(c).cast("decimal(18,2)").cast("string")
     cells = F.array(*[F.struct(F.lit(i).alias("col_no"), text(c).alias("text")) for i, c in enumerate(GRID_COLUMNS)])
-    rows = lineitem.select(F.col("l_orderkey").alias("page_no"), F.col("l_linenumber").alias("row_no"), F.explode(cells).alias("cell")).select("page_no", "row_no", "cell.col_no", "cell.text")
+    rows = numbered(lineitem).select(F.col("l_orderkey").alias("page_no"), "row_no", F.explode(cells).alias("cell")).select("page_no", "row_no", "cell.col_no", "cell.text")
     width = F.length("text") * 6.0
     left = F.when(F.col("col_no") == 0, 0.0).otherwise(F.col("col_no") * 120.0 + 100.0 - width)
     top = F.col("row_no") * 20.0 + F.when(F.col("col_no") % 2 == 1, 2.0).otherwise(0.0)
