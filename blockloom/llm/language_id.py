@@ -30,7 +30,7 @@ from blockloom.llm.shared import bounded_batches, pick
 UNDETERMINED = "und"
 WIDTH_BITS = 12
 WIDTH = 1 << WIDTH_BITS
-SAMPLE, MAX_LANGUAGES, SNIPPET = 800, 200, 120
+SAMPLE, MAX_LANGUAGES, SNIPPET = 400, 200, 120
 CHUNK = 1 << 20
 LETTER = re.compile(r"[^\W\d_]")
 #: ISO 639-1 codes by family. A code that isn't here is a family of its own.
@@ -132,7 +132,9 @@ def train(labelled: list[tuple[str, np.ndarray]]) -> LanguageModel:
     if not labelled:
         return LanguageModel()
     langs = np.array([a for a, _ in labelled])
-    x = np.stack([b for _, b in labelled]).astype(np.float32)
+    x = np.empty((len(labelled), WIDTH), np.float32)
+    for k, (_, row) in enumerate(labelled):
+        x[k] = row
     families: dict[str, list[str]] = defaultdict(list)
     for code in sorted(set(langs.tolist())):
         families[FAMILY_OF.get(code, "=" + code)].append(code)
