@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -301,13 +301,19 @@ def cluster_columns(items: list[dict], slack: float = 4.0) -> list[int]:
 
 
 def _by_page(rows: DataFrame, keys: list[str], add: str, run) -> DataFrame:
-    schema = T.StructType([*rows.schema.fields, T.StructField(add, T.IntegerType())])
-
-    def each(pages: Iterator[pd.DataFrame] | pd.DataFrame) -> pd.DataFrame:
-        page = pages.sort_values("line_no" if "line_no" in pages.columns else "item_no", kind="stable").reset_index(drop=True)
-        return page.assign(**{add: pd.Series(run(page.to_dict("records")), dtype="int32")})
-
-    return rows.groupBy(*keys).applyInPandas(each, schema)
+    """Adds an int column that run() gives for the rows of each page (a list of dicts, by line or item number). A page
+    is one array, so that an Arrow batch carries many pages."""
+    order = "line_no" if "line_no" in rows.columns else "item_no"
+    packed = sorted_rows(rows, keys, [order], [c for c in rows.columns if c not in keys])
+    schema = T.StructType([*packed.schema.fields, T.StructField("_numbers", T.ArrayType(T.IntegerType()))])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = pa.array([run(page) for page in batch.column(len(keys)).to_pylist()], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, numbers], [*batch.schema.names, "_numbers"])
+
+    flat = packed.mapInArrow(each, schema).select(*keys, F.explode(F.arrays_zip("rows", F.col("_numbers").alias("n"))).alias("z"))
+    return flat.select(*[F.col(c) if c in keys else F.col(f"z.rows.{c}") for c in rows.columns], F.col("z.n").alias(add))
 
 
 def with_reading_order(lines: DataFrame, keys: list[str]) -> DataFrame:
