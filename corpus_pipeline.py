@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.exact_dedup import exact_dedup
+from blockloom.llm.exact_dedup import exact_dedup, sha256_of
 from blockloom.llm.language_id import UNDETERMINED, fit, held_out, predict
 from blockloom.llm.minhash import near_duplicates
 from blockloom.llm.mixing import mix
@@ -38,8 +38,15 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest id stays."""
-    return _chosen(docs, exact_dedup(docs).where("kept"))
+    """Of equal texts, the row with the smallest id stays; of rows that repeat id and text, one."""
+    kept = stored(exact_dedup(docs).where("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("rows")), "exact-kept")
+    own = pick(docs, *COLUMNS).withColumn("own", sha256_of(F.coalesce("text", F.lit(""))))
+    ids = kept.select(F.col("doc_id").alias("keep"), "digest", "rows")
+    rows = own.join(ids, own["doc_id"].eqNullSafe(F.col("keep")) & (F.col("own") == F.col("digest")))
+    if kept.where("rows > 1").take(1):
+        again = rows.where("rows > 1").dropDuplicates(["doc_id", "text"])
+        rows = rows.where("rows = 1").unionByName(again)
+    return rows.select(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
