@@ -184,16 +184,19 @@ def cn_to_int(c: Column) -> Column:
 
 
 def normalize_ordinals(text: Column) -> Column:
-    """Chinese ordinal marks (一、 （四） 第二节) with Arabic digits, delimiters kept: one pass over the 99
-    numerals, longest first, each in the three places where it is an ordinal."""
-    out = text
-    digits = CN_DIGITS[1:]
-    names = {n: ("" if n < 20 else digits[n // 10 - 1]) + "十" + ("" if n % 10 == 0 else digits[n % 10 - 1]) if n >= 10 else digits[n - 1] for n in range(1, 100)}
-    for n, name in sorted(names.items(), key=lambda x: -len(x[1])):
-        out = F.regexp_replace(out, rf"第\s*{name}\s*([章节条篇])", f"{n}$1")
-        out = F.regexp_replace(out, rf"(?<![一二三四五六七八九十]){name}\s*([、．])", f"{n}$1")
-        out = F.regexp_replace(out, rf"[（(]\s*{name}\s*[)）]", f"({n})")
-    return F.when(text.rlike("[一二三四五六七八九十]"), out).otherwise(text)
+    """Chinese ordinal marks (一、 （四） 第二节) with Arabic digits from 1 to 99; their delimiters stay, so that the
+    digits can't run into a figure beside them."""
+    n = "[一二三四五六七八九十]{1,3}"
+    mark = rf"第\s*{n}\s*[章节条篇]|{n}\s*[、．]|[（(]\s*{n}\s*[)）]"
+
+    def converted(tok: Column) -> Column:
+        number = cn_to_int(F.regexp_extract(tok, f"({n})", 1))
+        tail = F.regexp_extract(tok, "([章节条篇、．])$", 1)
+        return let(number, lambda v: F.when(v.isNull() | (v < 1) | (v > 99), tok).when(tail != "", F.concat(v.cast("string"), tail)).otherwise(F.concat(F.lit("("), v.cast("string"), F.lit(")"))))
+
+    toks, between = F.regexp_extract_all(text, F.lit(f"({mark})"), F.lit(1)), F.split(text, mark, -1)
+    rest = F.zip_with(toks, F.slice(between, 2, 1 << 30), lambda t, after: F.concat(converted(t), after))
+    return F.when(text.rlike("[一二三四五六七八九十]"), F.concat(between[0], F.array_join(rest, ""))).otherwise(text)
 
 
 def section_numbers(text: Column) -> Column:
