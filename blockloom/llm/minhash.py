@@ -11,9 +11,10 @@ number of comparisons linear in their number. What stays in buckets with several
 compared block by block, only across components and only until they are joined.
 
 Defined results: null text has no words; a document without words has an empty set and is linked
-with nothing; with fewer than `words` words the whole sequence is one shingle; rows with a null id
-take part and are never a representative while their component has an id; rows that share id and text
-are one document with several rows; an empty table gives an empty table; other columns don't count.
+with nothing; with fewer than `words` words the whole sequence is one shingle; a document is an id
+with a text, so texts that share an id, or have none, are documents of their own; rows with a null id
+take part and are never a representative while their component has an id; one document of a component
+is kept; rows that share id and text are one document with several rows; an empty table gives an empty table; other columns don't count.
 With rows=6 and bands=32 a pair at similarity 0.85 is missed with probability 3e-7; with bands=48
 a pair at 0.80 with 5e-7.
 """
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blockloom.llm.components import components
@@ -87,7 +88,7 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(one.astype(np.int64)), int(two.astype(np.int64))
 
 
-SIGNED = "doc_id long, n long, one long, two long, bands array<long>"
+SIGNED = "doc_id long, text_key long, n long, one long, two long, bands array<long>"
 
 
 def signed(words: int, bands: int, rows: int):
@@ -95,12 +96,12 @@ def signed(words: int, bands: int, rows: int):
         hashes, minmax = WordHashes(), MinMax(bands, rows)
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles((text or "").encode("utf-8", "surrogatepass"), words, hashes)
                 one, two = digest(s)
                 for column, x in zip(out, (len(s), one, two, minmax.keys(s) if len(s) else []), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.list_(pa.int64()))], ["doc_id", "n", "one", "two", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "one", "two", "bands"])
 
     return run
 
@@ -116,7 +117,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _sets(table: pa.Table, words: int) -> dict[int, np.ndarray]:
-    """Set of each id; of several texts under one id, the one that the class was made from."""
+    """Set of each class; of texts that collide in id and text_key, the one that the class was made from."""
     hashes, out = WordHashes(), {}
     for name, one, two, text in zip(*[table[c].to_pylist() for c in ("rep", "one", "two", "text")], strict=True):
         if name not in out:
@@ -205,19 +206,33 @@ def residual_blocks(rest: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = 32, rows: int = 6) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
+    return judged(docs, words, percent, bands, rows).drop("text_key")
+
+
+def text_key(text: str) -> Column:
+    """With doc_id, tells documents apart."""
+    return F.xxhash64(text)
+
+
+def judged(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = 32, rows: int = 6) -> DataFrame:
+    """near_duplicates() and the text_key of every row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
+    texts = pick(docs, "doc_id", "text").select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_key("text").alias("text_key"), "text")
     sig = stored(texts.mapInArrow(signed(words, bands, rows), SIGNED), "signatures")
     full = sig.where("n > 0")
-    classes = stored(full.groupBy("one", "two").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    # A class is named by a number of its own, `rep`; one of its documents, `of`, stands for it.
+    classes = full.groupBy("one", "two").agg(F.min(F.struct("doc_id", "text_key")).alias("of"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("n"), F.first("bands").alias("bands"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("rep"), "one", "two", "of.doc_id", "of.text_key", "rows", "n", "bands"), "classes")
     exploded = classes.select("rep", F.explode("bands").alias("key"))
     shared = exploded.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
     members = stored(exploded.join(shared, "key").select("key", "lead", "rep"), "members")
 
     # The texts of classes that share a bucket with another one.
-    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "one", "two")
-    bodies = stored(texts.withColumnRenamed("doc_id", "rep").join(wanted, "rep").select("rep", "n", "one", "two", "text"), "bodies")
+    wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "one", "two", "doc_id", "text_key")
+    bodies = stored(texts.join(wanted, ["doc_id", "text_key"]).select("rep", "n", "one", "two", "text"), "bodies")
+    if bodies.groupBy("rep").count().where("count > 1").take(1):  # rows that share id and text
+        bodies = stored(bodies.dropDuplicates(["rep", "text"]), "bodies")
 
     # Round one: each class against one leader.
     ties = members.where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("k"))
@@ -248,21 +263,27 @@ def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: i
         discard(gone)
     final = stored(components(edges.unionByName(more)), "components")
 
-    classified = labelled(classes.select("one", "two", "rep", "rows"), final, "rep", "component_id")
-    out = lookup(full.select("doc_id", "n", "one", "two"), classified, ["one", "two"], sig.count()).select("doc_id", "n", "component_id")
-    out = out.unionByName(sig.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    # A component is named by its smallest id; its first document by (doc_id, text_key) is kept.
+    linked = final.join(classes.select(F.col("rep").alias("node"), "doc_id", "text_key"), "node")
+    best = linked.groupBy("label").agg(F.min(F.struct("doc_id", "text_key", "node")).alias("best"))
+    named = final.join(best, "label").select(F.col("node").alias("rep"), F.col("best.doc_id").alias("first_id"), (F.col("best.node") == F.col("node")).alias("leads"))
+    classified = classes.join(named, "rep", "left").select("one", "two", "rows", F.coalesce("first_id", "doc_id").alias("component_id"), F.when(F.coalesce("leads", F.lit(True)), F.col("text_key")).alias("keep_key"))
+    out = lookup(full.select("doc_id", "text_key", "n", "one", "two"), classified, ["one", "two"], ["component_id", "keep_key"], sig.count())
+    kept = (F.col("doc_id") == F.col("component_id")) & F.col("text_key").eqNullSafe(F.col("keep_key"))
+    out = out.select("doc_id", "text_key", "n", "component_id", kept.alias("kept"))
+    out = out.unionByName(sig.where("n = 0").select("doc_id", "text_key", "n", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
     real = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
-    return out.select(real("doc_id"), F.col("n").alias("n_shingles"), real("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return out.select(real("doc_id"), "text_key", F.col("n").alias("n_shingles"), real("component_id"), "kept")
 
 
-def lookup(rows: DataFrame, table: DataFrame, keys: list[str], total: int) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str], total: int) -> DataFrame:
     """rows joined with table, which has one row per key and says in `rows` how many rows have it.
     Heavy keys (fewer than HEAVY) go by broadcast, so that none of them meets in one task."""
     limit = total // HEAVY
-    heavy = rows_literal(rows.sparkSession, [tuple(r) for r in table.where(F.col("rows") > limit).select(*keys, "component_id").limit(HEAVY + 1).collect()], ",".join(f"{k} bigint" for k in [*keys, "component_id"]))
+    heavy = rows_literal(rows.sparkSession, [tuple(r) for r in table.where(F.col("rows") > limit).select(*keys, *values).limit(HEAVY + 1).collect()], ",".join(f"{k} bigint" for k in [*keys, *values]))
     hot = rows.join(F.broadcast(heavy), keys)
     cold = rows.join(F.broadcast(heavy), keys, "left_anti").join(table.where(F.col("rows") <= limit).drop("rows"), keys)
-    return hot.select(*rows.columns, "component_id").unionByName(cold.select(*rows.columns, "component_id"))
+    return hot.select(*rows.columns, *values).unionByName(cold.select(*rows.columns, *values))
 
 
 def op2_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from blockloom.llm.exact_dedup import exact_dedup, sha256_of
 from blockloom.llm.language_id import UNDETERMINED, fit, held_out, predict
-from blockloom.llm.minhash import near_duplicates
+from blockloom.llm.minhash import judged, text_key
 from blockloom.llm.mixing import mix
 from blockloom.llm.packing import default_tokenizer, pack
 from blockloom.llm.shared import pick, stored
@@ -22,12 +22,6 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.05
 
 
-def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids (column keep); a null id is matched with null."""
-    own = pick(docs, *COLUMNS)
-    return own.join(ids.select(F.col("doc_id").alias("keep")).distinct(), own["doc_id"].eqNullSafe(F.col("keep")), "left_semi")
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a learned language and writes it into lang."""
     own = pick(docs, *COLUMNS)
@@ -51,7 +45,9 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8 or more, one stays."""
-    return _chosen(docs, near_duplicates(docs, words=5, percent=80, bands=48).where("kept"))
+    kept = judged(docs, words=5, percent=80, bands=48).where("kept").select(F.col("doc_id").alias("keep"), F.col("text_key").alias("key")).distinct()
+    own = pick(docs, *COLUMNS)
+    return own.join(kept, own["doc_id"].eqNullSafe(F.col("keep")) & (text_key("text") == F.col("key")), "left_semi")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,14 @@
 import hashlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline as P
 import pytest
 from common import DOCS, odd_rows, table, with_clashes
 from pyspark.sql import functions as F
 
 from blockloom.llm.components import components
 from blockloom.llm.exact_dedup import DigestIndex, bloom, exact_dedup, may_hold, sha256_of
-from blockloom.llm.minhash import MinMax, near_duplicates, shingles
+from blockloom.llm.minhash import MinMax, judged, near_duplicates, shingles, text_key
 from blockloom.llm.substring_dedup import FingerprintIndex, WordHashes, substring_dedup
 
 ROWS = odd_rows()
@@ -105,6 +106,20 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(ROWS, 3, 85)
 
 
+def test_near_duplicates_of_texts_without_an_id_of_their_own(spark):
+    """Distinct texts under a null or repeated id are judged one by one."""
+    text = lambda k, edit="": " ".join(f"{k}word{i}" for i in range(60)) + edit
+    texts = [(5, text("a")), (None, text("a", " x")), (None, text("b")), (None, text("b", " x")), (None, text("c")), (7, text("d")), (7, text("e")), (7, text("e", " x")), (8, text("d", " x")), (9, text("f"))]
+    docs = table(spark, [(i, t, None, None, 0) for i, t in texts])
+    got = judged(docs, 5, 80, bands=48).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_near(texts, 5, 80)
+    by_text = {k: t for k, t in docs.select(text_key("text"), "text").collect()}
+    kept = Counter((r.doc_id, by_text[r.text_key][0]) for r in got if r.kept)
+    assert kept == Counter([(5, "a"), (None, "b"), (None, "c"), (7, "d"), (7, "e"), (9, "f")])
+    stays = P.near_stage(spark, docs, "").collect()
+    assert Counter((r.doc_id, r.text) for r in stays) == Counter((r.doc_id, by_text[r.text_key]) for r in got if r.kept)
+
+
 def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
     assert [tuple(r) for r in near_duplicates(spark.createDataFrame([(1, None, None, None, None)], DOCS)).collect()] == [(1, 0, 1, True)]
