@@ -1,11 +1,14 @@
 """Main text of HTML pages by tag-path ratios.
 
-Every text node has a root-to-leaf tag path (tags with their class and id). For each path the text
-length and the punctuation per node are aggregated; the series of both over the page's nodes is
-smoothed and the two are fused. Paths whose fused ratio reaches a threshold are content. The
-container of the content nodes - the deepest section that holds nearly all of their text - delimits
-the main text, so short headings and one-word paragraphs beside long ones belong to it. Elements
-whose tag, class, id or role says that they aren't main text are left out before.
+Every text node (the text of a block between two block boundaries) has a root-to-leaf tag path (tags
+with their class and id, without inline tags). For each path the text length and the punctuation per
+node are aggregated; the series of both over the page's nodes is smoothed, so that short headings and
+one-word paragraphs beside long ones gain from them, and the two are fused. Every node whose path
+reaches a threshold is main text, wherever it stands, and so is a heading over such nodes; no other
+node is. A class or id that sounds like
+something else (AWAY_WORDS), or a form, lowers the fused ratio of what is in it, unless it holds most
+of the page's text. Only hidden elements and those whose tag or role says that they are no text of the
+page (AWAY_TAGS, AWAY_ROLES) are left out before.
 
 Defined results: null or empty html, or html without text, gives an empty text; broken markup is read
 as browsers do (unclosed elements end where their parent does, a stray `<` is text); an empty table
@@ -33,31 +36,35 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tbody", "tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 SCOPE = frozenset("html body table td th article section div ul ol dl main aside nav header footer form".split())
-#: Elements that hold no main text, by tag, role, or a word of class or id.
-AWAY_TAGS = frozenset("head script style noscript template textarea iframe object svg canvas nav footer aside form button select option dialog menu".split())
-AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
+#: Elements that hold no main text by tag or role; words of a class or id that only speak against it.
+AWAY_TAGS = frozenset("head script style noscript template textarea iframe object svg canvas nav footer aside button select option dialog menu".split())
+AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 AWAY_WORDS = re.compile(r"^(ad|ads|adv|advert\w*|banner\w*|breadcrumb\w*|comment|comments|commentlist|consent|cookie\w*|copyright|disclaimer|disqus\w*|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|outbrain|pagination|popup|promo\w*|recommend\w*|related\w*|replies|respond|search|share|sharing|sidebar|sidebars|signup|social|sponsor\w*|subscribe|subscription|taboola|tags|toolbar|widget|widgets)$")
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？؟،।]")
-#: A path is content from this share of the page's mean fused ratio; the container holds this share
-#: of the content text.
-THRESHOLD, HOLDS = 0.3, 0.9
+#: A path is content from this share of the page's mean fused ratio; a name that speaks against an
+#: element lowers its ratio to this share. An element with MOST of the page's text and its article, main
+#: or h1 element isn't lowered, nor is one with NEARLY_ALL of the text.
+THRESHOLD, LOWERED, MOST, NEARLY_ALL = 0.3, 0.01, 0.5, 0.8
+LANDMARKS = frozenset("article main h1".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
-    __slots__ = ("away", "block", "name", "parent", "path", "tag", "weight")
+    __slots__ = ("away", "name", "named", "parent", "path", "tag")
 
-    def __init__(self, tag: str, name: str, parent: Element | None, away: bool):
+    def __init__(self, tag: str, name: str, parent: Element | None, away: bool, named: bool = False):
         self.tag, self.name, self.parent = tag, name, parent
         self.away = away or (parent is not None and parent.away)
-        self.path = (parent.path if parent else "") + "/" + name
-        self.weight = 0
+        self.named = named
+        # Inline elements share the path of their block, unless their name speaks against them.
+        self.path = parent.path if parent and tag in INLINE and not named else (parent.path if parent else "") + "/" + name
 
 
 def _open(tag: str, attributes: str, parent: Element) -> Element:
-    name, away = tag, tag in AWAY_TAGS
+    name, away, named = tag, tag in AWAY_TAGS, tag == "form"
     if tag == "header":  # of the page, not of an article
         up = parent
         while up is not None and up.tag not in ("article", "main", "section"):
@@ -73,8 +80,8 @@ def _open(tag: str, attributes: str, parent: Element) -> Element:
             else:
                 name += "." + value
                 if tag not in ("html", "body", "article", "main"):
-                    away = away or any(AWAY_WORDS.match(w.lower()) for part in value.split() for w in (part, *WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", part))))
-    return Element(tag, name, parent, away)
+                    named = named or any(AWAY_WORDS.match(w.lower()) for part in value.split() for w in (part, *WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", part))))
+    return Element(tag, name, parent, away, named)
 
 
 def nodes(page: str) -> list[tuple[str, Element, bool]]:
@@ -145,6 +152,53 @@ def smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel, "full")[2 : 2 + len(values)] / ones
 
 
+def lowered(found: list[tuple[str, Element, int]]) -> set[str]:
+    """The paths inside an element that a name speaks against and that doesn't hold most of the text."""
+    inside: dict[Element, int] = {}
+    marked: set[Element] = set()
+    for _, e, n in found:
+        mark = False
+        while e is not None:
+            mark = mark or e.tag in LANDMARKS
+            if e.named:
+                inside[e] = inside.get(e, 0) + n
+                if mark:
+                    marked.add(e)
+            e = e.parent
+    total, out = sum(n for _, _, n in found), set()
+    for _, e, _ in found:
+        path = e.path
+        while e is not None:
+            if e.named and inside[e] <= (MOST if e in marked else NEARLY_ALL) * total:
+                out.add(path)
+            e = e.parent
+    return out
+
+
+def heading(e: Element) -> str | None:
+    """The tag of the heading that an element is or is in."""
+    while e is not None and e.tag not in HEADINGS:
+        e = e.parent if e.tag in INLINE else None
+    return e and e.tag
+
+
+def content(found: list[tuple[str, Element, int]]) -> list[bool]:
+    """Which nodes are main text: those on content paths, and headings with such a node before the next
+    run of headings. A heading that a name speaks against must be the page's h1 for that."""
+    chosen, low = content_paths(found), lowered(found)
+    out = [e.path in chosen for _, e, _ in found]
+    text_below, before = False, False  # going up: whether what the headings head is main text
+    for k in range(len(found) - 1, -1, -1):
+        e = found[k][1]
+        tag = heading(e)
+        if tag is None:
+            text_below = out[k] or (text_below and not before)
+        elif text_below and (e.path not in low or tag == "h1"):
+            out[k] = True
+        before = tag is not None
+    return out
+
+
 def content_paths(found: list[tuple[str, Element, int]]) -> set[str]:
     """The paths whose smoothed and fused length and punctuation ratios reach the threshold."""
     paths = [e.path for _, e, _ in found]
@@ -154,7 +208,11 @@ def content_paths(found: list[tuple[str, Element, int]]) -> set[str]:
     length = np.array([float(n) for _, _, n in found])
     marks = np.array([float(len(PUNCTUATION.findall(t))) for t, _, _ in found])
     fused = per_path(smooth(per_path(length)[index])) * (1 + per_path(smooth(per_path(marks)[index])))
-    weight = np.bincount(index, length)
+    low = lowered(found)
+    fused *= np.array([LOWERED if p in low else 1.0 for p in ids])
+    weight = np.bincount(index, length) * np.array([p not in low for p in ids])
+    if not weight.sum():
+        return set()
     limit = THRESHOLD * (fused * weight).sum() / weight.sum()
     return {p for p, i in ids.items() if fused[i] >= limit}
 
@@ -162,34 +220,22 @@ def content_paths(found: list[tuple[str, Element, int]]) -> set[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found = nodes(page)
-    real = [(t, e, n) for t, e, _ in found if not e.away and (n := len("".join(t.split())))]
+    found: list[tuple[str, Element, bool]] = []  # text nodes of blocks: inline parts are joined
+    broken = True
+    for t, e, boundary in nodes(page):
+        broken = broken or boundary
+        if e.away:
+            continue
+        if found and not broken and found[-1][1].path == e.path:
+            found[-1] = (found[-1][0] + t, found[-1][1], found[-1][2])
+        else:
+            found.append((t, e, broken))
+        broken = False
+    real = [(t, e, n) for t, e, _ in found if (n := len("".join(t.split())))]
     if not real:
         return ""
-    chosen = content_paths(real)
-    content = [(e, n) for _, e, n in real if e.path in chosen]
-    total, holds = sum(n for _, n in content), {}
-    for e, n in content:
-        while e is not None:
-            holds[e] = holds.get(e, 0) + n
-            e = e.parent
-    # The deepest section (not a paragraph) that holds nearly all content; an article is deep enough.
-    best = max((e for e, n in holds.items() if n >= HOLDS * total and (e.tag in SECTIONS or e.parent is None)), key=lambda e: (e.path.count("/"), -list(holds).index(e)))
-    up = best
-    while up is not None:
-        if up.tag in ("article", "main"):
-            best = up
-        up = up.parent
-    out: list[str] = []
-    for t, e, boundary in found:
-        inside = e
-        while inside is not None and inside is not best:
-            inside = inside.parent
-        if boundary:
-            out.append(" ")
-        if inside is not None and not e.away:
-            out.append(t)
-    return " ".join("".join(out).split())
+    chosen = iter(content(real))
+    return " ".join("".join([(" " if boundary else "") + (t if not t.strip() or next(chosen) else "") for t, _, boundary in found]).split())
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -75,6 +75,25 @@ def test_main_text():
     assert H.main_text("<p>a<p>b") == "a b"
 
 
+PROSE = "<p>A long paragraph of an article, with commas, and a full stop. It says a lot, and then, some more.</p>"
+
+
+def test_names_remove_no_main_text():
+    want = H.main_text(f"<article><h1>Title</h1>{PROSE * 4}</article>")
+    assert want.startswith("Title A long") and want.count("full stop") == 4
+    for around in ('<div class="layout has-sidebar">', '<div id="search-result-page">', "<form>"):
+        assert H.main_text(f"{around}<article><h1>Title</h1>{PROSE * 4}</article>") == want
+    assert H.main_text(f'<article><div class="article-header"><h1>Title</h1><p>By me</p></div>{PROSE * 4}</article>') == want
+    assert H.main_text(f'<div class="x"><h1>Title</h1>{PROSE * 4}</div><div class="comments">{PROSE}</div>') == want
+
+
+def test_paths_decide_node_by_node():
+    whole = H.main_text(f"<article>{PROSE * 12}</article>")
+    offers = '<div class="k9">' + "<div>Buy now</div>" * 12 + "</div>"
+    assert H.main_text(f"<article>{PROSE * 6}{offers}{PROSE * 6}</article>") == whole
+    assert H.main_text(f'<div id="one">{PROSE * 11}</div><div id="two">{PROSE}</div>') == whole
+
+
 def test_pages_against_their_articles(spark):
     """Brute force on the given pages: what stands between the article's tags, tags taken out."""
     import html
