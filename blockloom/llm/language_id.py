@@ -2,7 +2,10 @@
 
 Texts become hashed counts of byte 2-, 3- and 4-grams (square root, unit length). One-versus-rest
 linear support vector machines predict the language family; inside the family, one-versus-one
-machines between its languages vote, ties broken by summed margins, then by name. The machines are
+machines between its languages vote, ties broken by summed margins, then by name. Margins only tell
+learned languages apart, so the score also counts how strange the text's n-grams are to all of them:
+a text that is clearly stranger than any training row has a score near 0. Without enough training
+documents, or if the machines don't recognize most of them, nothing counts as strange. The machines are
 fitted on the driver on a bounded sample: at most `sample` labelled documents a language (the ones
 with the smallest hash), each also as a short snippet, and at most `max_languages` languages.
 Predictions read the whole text and nothing else.
@@ -32,6 +35,9 @@ WIDTH_BITS = 12
 WIDTH = 1 << WIDTH_BITS
 SAMPLE, MAX_LANGUAGES, SNIPPET = 400, 200, 120
 CHUNK = 1 << 20
+#: Texts can be strange if there are so many training documents and so large a share of them is predicted as labelled.
+#: They are beyond so many times the strangeness of the strangest one; from there a score falls by e for each 1/STEEP.
+KNOWN_DOCS, KNOWN_RIGHT, BEYOND, STEEP = 20, 0.9, 1.25, 4.0
 LETTER = re.compile(r"[^\W\d_]")
 #: ISO 639-1 codes by family. A code that isn't here is a family of its own.
 FAMILIES = {
@@ -86,49 +92,92 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def says(x: np.ndarray, langs: np.ndarray) -> np.ndarray:
+    """For each n-gram the logarithm of its share in the learned language that has most of it, smoothed,
+    against equal shares. A feature's square is its n-gram's share of the text."""
+    most = np.zeros(x.shape[1], np.float32)
+    for lang in sorted(set(langs.tolist())):
+        most = np.maximum(most, np.mean(x[langs == lang] ** 2, 0))
+    return np.log(0.95 * most * x.shape[1] + 0.05)
+
+
+def strangeness(x: np.ndarray, said: np.ndarray, usual: float) -> np.ndarray:
+    """How far a text's n-grams say less than usual, in units of chance for as many n-grams as it has."""
+    shares = x * x
+    return (usual - shares @ said) / np.sqrt(np.maximum((shares * shares).sum(1), 1e-9))
+
+
+def set_strange(model: LanguageModel, langs: np.ndarray, x: np.ndarray) -> None:
+    """Sets model.known. x has two rows a document, one after the other; a document is judged by the
+    other half of the documents."""
+    if len(x) < 2 * KNOWN_DOCS:
+        return
+    right = sum(a == b for at in range(0, len(x), 256) for a, b in zip(model.judge(x[at : at + 256])[0], langs[at : at + 256], strict=True))
+    if right < KNOWN_RIGHT * len(x):
+        return
+    half, got, usual = np.arange(len(x)) // 2 % 2 == 0, [], []
+    for own, other in ((half, ~half), (~half, half)):
+        said = says(x[other], langs[other])
+        usual.append(float(np.median((x[own] * x[own]) @ said)))
+        got.append(float(strangeness(x[own], said, usual[-1]).max()))
+    model.known = says(x, langs), float(np.mean(usual)), BEYOND * max(got)
+
+
 @dataclass
 class LanguageModel:
     families: dict[str, list[str]] = field(default_factory=dict)
     family_weights: dict[str, np.ndarray] = field(default_factory=dict)
     pair_weights: dict[tuple[str, str], np.ndarray] = field(default_factory=dict)
+    #: What n-grams say, what they say usually, and the greatest strangeness of a text in a learned language.
+    known: tuple[np.ndarray, float, float] | None = None
+
+    def judge(self, x: np.ndarray) -> tuple[list[str], list[float]]:
+        """Language and score of rows of features."""
+        out, scores = [UNDETERMINED] * len(x), [0.0] * len(x)
+        names = sorted(self.families)
+        if len(names) == 1:
+            first, sure = np.zeros(len(x), int), np.ones(len(x))
+        else:
+            m = np.stack([x @ self.family_weights[f][:-1] + self.family_weights[f][-1] for f in names], 1)
+            order = np.sort(m, 1)
+            first, sure = m.argmax(1), _sigmoid(2 * (order[:, -1] - order[:, -2]))
+        for j, name in enumerate(names):
+            rows = np.flatnonzero(first == j)
+            if not len(rows):
+                continue
+            langs = self.families[name]
+            votes, sums, worst = np.zeros((len(rows), len(langs))), np.zeros((len(rows), len(langs))), np.full((len(rows), len(langs)), np.inf)
+            for a, b in combinations(range(len(langs)), 2):
+                w = self.pair_weights[langs[a], langs[b]]
+                d = x[rows] @ w[:-1] + w[-1]
+                votes[:, a] += d >= 0
+                votes[:, b] += d < 0
+                sums[:, a] += d
+                sums[:, b] -= d
+                worst[:, a] = np.minimum(worst[:, a], d)
+                worst[:, b] = np.minimum(worst[:, b], -d)
+            best = (votes + np.tanh(sums / (4 * len(langs))) * 0.49).argmax(1)
+            inner = _sigmoid(4 * worst[np.arange(len(rows)), best])
+            for r, b, s in zip(rows.tolist(), best.tolist(), (sure[rows] * inner).tolist(), strict=True):
+                out[r], scores[r] = langs[b], float(s)
+        if self.known:
+            said, usual, most = self.known
+            scores = (np.array(scores) * np.exp(-STEEP * np.clip(strangeness(x, said, usual) - most, 0, 100))).tolist()
+        return out, scores
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         real = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if self.families else []
         out, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
         for at in range(0, len(real), 256):
             part = real[at : at + 256]
-            x = np.stack([features(texts[k]) for k in part])
-            names = sorted(self.families)
-            if len(names) == 1:
-                first, sure = np.zeros(len(part), int), np.ones(len(part))
-            else:
-                m = np.stack([x @ self.family_weights[f][:-1] + self.family_weights[f][-1] for f in names], 1)
-                order = np.sort(m, 1)
-                first, sure = m.argmax(1), _sigmoid(2 * (order[:, -1] - order[:, -2]))
-            for j, name in enumerate(names):
-                rows = np.flatnonzero(first == j)
-                if not len(rows):
-                    continue
-                langs = self.families[name]
-                votes, sums, worst = np.zeros((len(rows), len(langs))), np.zeros((len(rows), len(langs))), np.full((len(rows), len(langs)), np.inf)
-                for a, b in combinations(range(len(langs)), 2):
-                    w = self.pair_weights[langs[a], langs[b]]
-                    d = x[rows] @ w[:-1] + w[-1]
-                    votes[:, a] += d >= 0
-                    votes[:, b] += d < 0
-                    sums[:, a] += d
-                    sums[:, b] -= d
-                    worst[:, a] = np.minimum(worst[:, a], d)
-                    worst[:, b] = np.minimum(worst[:, b], -d)
-                best = (votes + np.tanh(sums / (4 * len(langs))) * 0.49).argmax(1)
-                inner = _sigmoid(4 * worst[np.arange(len(rows)), best])
-                for r, b, s in zip(rows.tolist(), best.tolist(), (sure[rows] * inner).tolist(), strict=True):
-                    out[part[r]], scores[part[r]] = langs[b], float(s)
+            langs, sure = self.judge(np.stack([features(texts[k]) for k in part]))
+            for k, a, b in zip(part, langs, sure, strict=True):
+                out[k], scores[k] = a, b
         return out, scores
 
 
 def train(labelled: list[tuple[str, np.ndarray]]) -> LanguageModel:
-    """From (language, features) rows."""
+    """From (language, features) rows, two a document."""
     if not labelled:
         return LanguageModel()
     langs = np.array([a for a, _ in labelled])
@@ -147,6 +196,7 @@ def train(labelled: list[tuple[str, np.ndarray]]) -> LanguageModel:
         for a, b in combinations(codes, 2):
             own = (langs == a) | (langs == b)
             model.pair_weights[a, b] = fit_svm(x[own], np.where(langs[own] == a, 1, -1).astype(np.float32))
+    set_strange(model, langs, x)
     return model
 
 
@@ -168,13 +218,13 @@ def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, max_languages: in
             langs, data = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 middle = max(0, len(text) - SNIPPET) // 2
-                for t in (text, text[middle : middle + SNIPPET]):
-                    langs.append(lang)
-                    data.append(features(t).astype(np.float16).tobytes())
+                langs.append(lang)
+                data.append(b"".join(features(t).astype(np.float16).tobytes() for t in (text, text[middle : middle + SNIPPET])))
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(data, pa.binary())], ["lang", "x"])
 
     found = few.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()  # bounded, see above
-    return train(sorted(((r.lang, np.frombuffer(bytes(r.x), np.float16)) for r in found), key=lambda p: (p[0], p[1].tobytes())))
+    pairs = sorted(((r.lang, bytes(r.x)) for r in found))
+    return train([(lang, row) for lang, both in pairs for row in np.frombuffer(both, np.float16).reshape(2, WIDTH)])
 
 
 def predict(docs: DataFrame, model: LanguageModel, passing: tuple[str, ...] = ()) -> DataFrame:

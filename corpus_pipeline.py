@@ -18,7 +18,8 @@ from blockloom.llm.packing import default_tokenizer, pack
 from blockloom.llm.shared import pick, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Documents whose language is less certain than this are rejected, as are those without a letter.
+#: Documents whose language is less certain than this are rejected, as are those without a letter. The score of a text
+#: that is stranger than the labelled training rows falls to 0, see blockloom.llm.language_id.
 LEAST_SCORE = 0.05
 
 

@@ -29,6 +29,19 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert {r.doc_id for r in packed} == {r.doc_id for r in mixed}
 
 
+def test_language_stage_rejects_languages_that_were_not_learned(spark):
+    clean = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*P.COLUMNS)
+    foreign = [
+        "To jest tekst po polsku, który opowiada o historii miasta i jego mieszkańcach, a także o rzece.",
+        "Tämä on suomenkielinen teksti, joka kertoo kaupungin historiasta ja sen asukkaista sekä joesta.",
+        "Это русский текст о городе, его истории и людях, которые в нём живут.",
+        "xqzj wvkq zzxq jjkw qxzv kkjw vvqx zjjq wxkq qqzv jxkw zvqq kxjz",
+    ]
+    docs = clean.unionByName(spark.createDataFrame([(-1 - i, t, None, "a", 0) for i, t in enumerate(foreign)], DOCS))
+    kept = {r.doc_id for r in P.language_stage(spark, docs, "").collect()}
+    assert kept == {r.doc_id for r in clean.collect()}
+
+
 def test_run_is_whole(spark, tmp_path):
     rows = [(i, f"document number {hashlib.sha256(bytes([i])).hexdigest()} about things {i}", "en", "a", 0) for i in range(40)]
     table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
