@@ -95,8 +95,9 @@ def schedule(rows: dict[str, int], shares: dict[str, int], block: int) -> list[t
     return plan
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block: int = BLOCK_ROWS, total_quanta: int = QUANTA) -> DataFrame:
-    """One row per document: doc_id, source, block (number in its source), phase, slot, position.
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, block: int = BLOCK_ROWS, total_quanta: int = QUANTA, passing: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: doc_id, source, block (number in its source), phase, slot, position, and
+    the columns named in passing.
 
     position is gapless from 0 and is the mixed order. weights: target weight per source (null
     source: key ""); a source that isn't named gets the smallest weight named. Without weights, a
@@ -104,7 +105,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     can plan for: sources * max(total_quanta, 4 * sources) plan entries.
     """
     spark = docs.sparkSession
-    named = pick(docs, "doc_id", "source").withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
+    named = pick(docs, "doc_id", "source", *passing).withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
     spread = F.pmod(F.xxhash64(F.col("doc_id"), F.spark_partition_id()), F.lit(BUCKETS)).cast("int")
     table = stored(named.withColumn("_bucket", spread), "mix-rows")
     counts = {r._source: r.n for r in table.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per source
@@ -126,7 +127,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     placed = placed.join(small(offsets), (F.col("_source") == F.col("os")) & (F.col("_k") == F.col("k")) & (F.col("pp") == F.col("op")))
     inner = (F.col("_turn") * F.col("period") + F.col("offset")).cast("long")
     position = F.col("row0") + inner * block + F.pmod(F.col("_rank"), F.lit(block))
-    return placed.select("doc_id", "source", F.col("_block").alias("block"), F.col("pp").alias("phase"), (F.col("slot0") + inner).alias("slot"), position.cast("long").alias("position"))
+    return placed.select("doc_id", "source", F.col("_block").alias("block"), F.col("pp").alias("phase"), (F.col("slot0") + inner).alias("slot"), position.cast("long").alias("position"), *passing)
 
 
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,9 @@ and the residual documents go best-fit into the gaps of those sequences or open
 happens on the histogram and gives a plan of (length, rank interval) -> (first sequence, offset);
 documents find their place by their rank among those of their length.
 
+pack_in_order() packs consecutive ranges of a given order, each by a plan of its own; ranks follow
+the order, and sequences are numbered range after range, in a range by the first of their pieces.
+
 Defined results: null text is empty text and still has its closing id; a document longer than a
 sequence, and only such a one, is cut into full pieces and a shorter last one; repeated rows and
 null ids are packed like any row; an empty table gives an empty table; other columns don't count.
@@ -24,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm.shared import bounded_batches, pick, ranked, rows_literal, stored
@@ -37,6 +40,8 @@ CACHE = 500_000
 #: Bytes of text that are tokenized at once.
 CHUNK = 1 << 20
 SALTS = 64
+#: Documents of a range that is packed by itself where an order is given.
+EACH = 8192
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -137,6 +142,7 @@ def tokenized_pieces(tokenizer: str, room: int, last_id: int) -> Callable[[Itera
         end = np.array([last_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
+            rows: list[int] = []
             names, texts = batch.column(0).to_pylist(), batch.column(1)
             for k, name in enumerate(names):
                 text = (texts[k].as_py() or "").encode("utf-8", "surrogatepass")
@@ -145,7 +151,9 @@ def tokenized_pieces(tokenizer: str, room: int, last_id: int) -> Callable[[Itera
                     part = data[at : at + 4 * room]
                     for column, x in zip(out, (name, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(x, pa.int64()) for x in out[2:]]], ["doc_id", "piece", "start", "length", "ids_crc32"])
+                    rows.append(k)
+            passing = [batch.column(c).take(pa.array(rows, pa.int64())) for c in range(2, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(x, pa.int64()) for x in out[2:]], *passing], ["doc_id", "piece", "start", "length", "ids_crc32", *batch.schema.names[2:]])
 
     return run
 
@@ -313,6 +321,43 @@ def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, last_id: int = 1, gr
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("seq0") + F.col("_rank") - F.col("lo")).cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
 
 
+PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, seq long, offset long"
+
+
+def place_range(room: int, grid: int) -> Callable[[pa.Table], pa.Table]:
+    """The places of one range's pieces (with part and position)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("position", "ascending"), ("piece", "ascending")])
+        lengths = table["length"].to_numpy()
+        counts = dict(zip(*[x.tolist() for x in np.unique(lengths, return_counts=True)], strict=True))
+        by_length = np.argsort(lengths, kind="stable")
+        first = dict(zip(counts, np.cumsum([0, *counts.values()]).tolist(), strict=False))
+        seq, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        for length, lo, hi, seq0, at in plan_packing(counts, room, grid):
+            rows = by_length[first[length] + lo : first[length] + hi]
+            seq[rows], offset[rows] = np.arange(seq0, seq0 + hi - lo), at
+        _, start = np.unique(seq, return_index=True)  # the first piece of each sequence
+        number = np.empty(len(start), np.int64)
+        number[np.argsort(start)] = np.arange(len(start))
+        return pa.table({**{c: table[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "part")}, "seq": number[seq], "offset": offset})
+
+    return run
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str, room: int = ROOM, last_id: int = 1, grid: int = GRID, each: int | None = None) -> DataFrame:
+    """As pack(), of docs with a gapless `position`: every `each` documents are packed by themselves."""
+    bounded_batches(docs.sparkSession)
+    texts = pick(docs, "doc_id", "text", "position").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("position").cast("long").alias("position"))
+    made = texts.mapInArrow(tokenized_pieces(tokenizer, room, last_id), PIECES + ", position long")
+    made = made.withColumn("part", F.floor(F.col("position") / (each or EACH)).cast("long"))
+    placed = stored(made.groupBy("part").applyInArrow(place_range(room, grid), PLACED), "placed")
+    # One row a range.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("part").agg((F.max("seq") + 1).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("seq0"))
+    return placed.join(starts, "part").select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("seq0") + F.col("seq")).cast("long").alias("sequence_id"), "offset")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 

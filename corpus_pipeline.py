@@ -7,6 +7,7 @@ the shared folder and reads it back, so that a lost executor costs one stage at
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,8 @@ from blockloom.llm.exact_dedup import exact_dedup, sha256_of
 from blockloom.llm.language_id import UNDETERMINED, fit, held_out, predict
 from blockloom.llm.minhash import judged, text_key
 from blockloom.llm.mixing import mix
-from blockloom.llm.packing import default_tokenizer, pack
-from blockloom.llm.shared import pick, stored
+from blockloom.llm.packing import default_tokenizer, pack_in_order
+from blockloom.llm.shared import pick, rows_literal, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language is less certain than this are rejected, as are those without a letter. The score of a text
@@ -54,13 +55,27 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, in the mixed order: part file after part file, row after row."""
     own = pick(docs, *COLUMNS)
-    order = mix(own).groupBy(F.col("doc_id").alias("keep")).agg(F.min("position").alias("position"))
-    return own.join(order, own["doc_id"].eqNullSafe(F.col("keep"))).orderBy("position").select(*COLUMNS)
+    keyed = own.withColumn("key", text_key("text"))
+    order = mix(keyed, passing=("key",)).groupBy(F.col("doc_id").alias("keep"), F.col("key").alias("keep_key")).agg(F.min("position").alias("position"))
+    return keyed.join(order, keyed["doc_id"].eqNullSafe(F.col("keep")) & (F.col("key") == F.col("keep_key"))).orderBy("position").select(*COLUMNS)
+
+
+def _positions(docs: DataFrame) -> DataFrame:
+    """doc_id, text and position: the number of the row, part file after part file, row after row."""
+    at = ("_metadata.file_name", "_metadata.row_index")
+    try:
+        rows = docs.select("doc_id", "text", *[F.col(c) for c in at])
+    except AnalysisException:  # not a table of Parquet files
+        rows = stored(pick(docs, "doc_id", "text"), "in-order").select("doc_id", "text", *[F.col(c) for c in at])
+    files = sorted(rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per file
+    starts = [(r.file_name, sum(x.n for x in files[:k])) for k, r in enumerate(files)]
+    known = rows_literal(docs.sparkSession, starts, "name string,first bigint")
+    return rows.join(F.broadcast(known), F.col("file_name") == F.col("name")).select("doc_id", "text", (F.col("first") + F.col("row_index")).alias("position"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces and their places in sequences."""
-    return pack(docs, default_tokenizer())
+    """The documents' token pieces and their places in sequences, which follow the order of the rows."""
+    return pack_in_order(_positions(docs), default_tokenizer())
 
 
 STAGES = [

@@ -5,6 +5,7 @@ import corpus_pipeline as P
 from common import DOCS, odd_rows, table, with_clashes
 from test_dedup import brute_near
 
+from blockloom.llm import packing
 from blockloom.llm.shared import stored
 
 
@@ -42,6 +43,26 @@ def test_language_stage_rejects_languages_that_were_not_learned(spark):
     assert kept == {r.doc_id for r in clean.collect()}
 
 
+def test_sequences_follow_the_mix(spark, monkeypatch):
+    """Of 1,500 documents, 1,000 are from a and 100 from c; by their square roots, c has a share of 0.162 until it ends."""
+    monkeypatch.setattr(packing, "EACH", 100)
+    rows = [(i if i % 3 else None, f"text {i} " + "word " * (300 + i * 7919 % 1700), "en", "aaaaaaaaaabbbbc"[i % 15], 0) for i in range(1500)]
+    mixed = stored(P.mixing_stage(spark, table(spark, rows), ""), "test-mixed")
+    assert Counter(map(tuple, mixed.collect())) == Counter(rows)
+    packed = P.packing_stage(spark, mixed, "").collect()
+    place = {r.text: r.position for r in P._positions(mixed).collect()}
+    assert sorted(place.values()) == list(range(1500))
+    source, position = {r[0]: r[3] for r in rows}, {r[0]: place[r[1]] for r in rows}
+    got = sorted((r for r in packed if r.doc_id is not None), key=lambda r: (r.sequence_id, r.offset))
+    assert len(packed) == 1500 and [position[r.doc_id] // 100 for r in got] == sorted(position[r.doc_id] // 100 for r in got)
+    first = Counter(source[r.doc_id] for r in got[:360])
+    assert abs(first["c"] / 360 - 0.162) < 0.04 and abs(first["b"] / 360 - 0.324) < 0.06
+    used = Counter()
+    for r in packed:
+        used[r.sequence_id] += r.length
+    assert max(used.values()) <= packing.ROOM and sorted(used) == list(range(len(used)))
+
+
 def test_run_is_whole(spark, tmp_path):
     rows = [(i, f"document number {hashlib.sha256(bytes([i])).hexdigest()} about things {i}", "en", "a", 0) for i in range(40)]
     table(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
