@@ -57,13 +57,13 @@ def number_findings(blocks: DataFrame, keys: list[str], extra_figures_only: bool
     open_ = blocks.where(X.stripped(F.col("target")) != "")
     if skip_protected:
         open_ = open_.where(~protected(F.col("text"), F.col("keep_original")))
-    full = N.multiset_diff(open_.select(*keys, "block_id", N.signature(F.col("text")).alias("s"), N.signature(F.col("target")).alias("t")), [*keys, "block_id"], "s", "t")
-    if not extra_figures_only:
-        return full.select(*keys, "block_id", "value", "missing", "extra")
-    figures = N.multiset_diff(open_.select(*keys, "block_id", N.signature(F.col("text"), True).alias("s"), N.signature(F.col("target"), True).alias("t")), [*keys, "block_id"], "s", "t")
+    found = N.signature_rows(open_, [*keys, "block_id"], F.col("text"), F.col("target"))
+    figure = F.col("figure") if extra_figures_only else F.lit(True)
+    less = lambda kept: F.sum(F.when(kept, F.when(F.col("side") == 0, 1).otherwise(-1)).otherwise(0))
+    sums = found.groupBy(*keys, "block_id", "value").agg(less(F.lit(True)).alias("all"), less(figure).alias("figures"))
     zero = F.lit(0).cast("long")
-    both = full.select(*keys, "block_id", "value", "missing", zero.alias("extra")).unionByName(figures.select(*keys, "block_id", "value", zero.alias("missing"), "extra"))
-    return both.groupBy(*keys, "block_id", "value").agg(F.sum("missing").alias("missing"), F.sum("extra").alias("extra")).where("missing > 0 or extra > 0")
+    out = sums.select(*keys, "block_id", "value", F.greatest(F.col("all"), zero).alias("missing"), F.greatest(-F.col("figures"), zero).alias("extra"))
+    return out.where("missing > 0 or extra > 0")
 
 
 def numbers(blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -144,8 +144,7 @@ def numeric_findings(pages: DataFrame, keys: list[str]) -> DataFrame:
     """Amount values that source and target page don't share. Pages without real text in the source, which figures
     can't be held against, are left out; ordinals are made alike before."""
     real = pages.where(~X.is_scan_like(F.col("text")))
-    arrays = real.select(*keys, *[F.transform(N.amounts(N.normalize_ordinals(F.col(c))), lambda a: a["value"]).alias("_" + c) for c in ("text", "target")])
-    return N.multiset_diff(arrays, keys, "_text", "_target")
+    return N.side_diff(N.amount_rows(real, keys, *[N.normalize_ordinals(F.col(c)) for c in ("text", "target")]), keys)
 
 
 def scanned_signs(pages: DataFrame, keys: list[str], ocr: str = "ocr_text") -> DataFrame:

@@ -21,6 +21,7 @@ BLOCK_TOKEN = r"[-+]?\d[\d,]*(?:\.\d+)?"
 WELL_FORMED = r"^[0-9]{1,3}(,[0-9]{3})*(\.[0-9]{1,3})?$"
 EN_UNIT = r"(?i)^\s*((?:ten|hundred)\s+)?(thousand|million|billion|trillion)\b"
 CN_UNIT = r"^\s*(万亿|亿|万)"
+UNIT_START = r"(?i)^\s*(?:ten|hundred|thousand|million|billion|trillion|万|亿)"
 PAGE_CURRENCY = r"(?i)^\s*(?:元|人民币|RMB|yuan|USD|CNY|dollars?)(?:[^A-Za-z]|$)"
 BLOCK_CURRENCY = r"^\s*(?:yuan|rmb|cny|usd|eur|hkd|jpy|dollars?|元|美元|港元|人民币)"
 #: Powers of ten of unit words, months by name.
@@ -93,7 +94,8 @@ def unit_power(window: Column) -> Column:
     word = F.lower(F.regexp_extract(window, EN_UNIT, 2))
     prefix = F.lower(F.trim(F.regexp_extract(window, EN_UNIT, 1)))
     more = F.when(prefix == "hundred", 2).when(prefix == "ten", 1).otherwise(0)
-    return F.when(window.rlike(EN_UNIT), F.element_at(words, word) + more).otherwise(F.element_at(words, F.regexp_extract(window, CN_UNIT, 1)))
+    unit = F.when(window.rlike(EN_UNIT), F.element_at(words, word) + more).otherwise(F.element_at(words, F.regexp_extract(window, CN_UNIT, 1)))
+    return F.when(window.rlike(UNIT_START), unit).otherwise(0)
 
 
 def scaled(number: Column, power: Column) -> Column:
@@ -118,43 +120,84 @@ def _each(text: Column, token: str, build) -> Column:
     return let(text, zipped)
 
 
+def _amount(tok: Column, before: Column, window: Column, power: Column) -> dict[str, Column]:
+    """figure (whether it is amount-shaped), role and value of a token of a page."""
+    negative = before.rlike("[(（]$") | tok.contains("-")
+    role = F.concat(F.when(negative, "M").otherwise(""), F.translate(F.regexp_replace(tok, "[^0-9.,]", ""), ".,", "DC"))
+    size = scaled(F.translate(tok, ",%+-", ""), power)
+    return {"figure": tok.rlike("[,.%]") | (power != 0) | window.rlike(PAGE_CURRENCY), "role": role, "value": F.when(negative, -size).otherwise(size)}
+
+
+def _number(tok: Column, before: Column, window: Column, power: Column) -> dict[str, Column]:
+    """figure and value of a token of a block."""
+    return {"figure": tok.rlike(r"\d[.,]\d") | window.startswith("%") | (power != 0) | window.rlike(BLOCK_CURRENCY), "value": scaled(F.translate(tok, ",", ""), power)}
+
+
+def _built(fields) -> Callable[[Column, Column, Column], Column]:
+    return lambda tok, before, window: let(unit_power(window), lambda power: F.struct(*[c.alias(n) for n, c in fields(tok, before, window, power).items()]))
+
+
 def amounts(text: Column) -> Column:
     """Amount-shaped numbers of a page: array of (role, value). The role keeps digits and separator
     places (C and D, M for a negative); the value is null where separators don't make a number."""
-    t = fold_width(text)
+    return F.filter(_each(fold_width(text), PAGE_TOKEN, _built(_amount)), lambda x: x["figure"])
 
-    def build(tok, before, window):
-        return let(unit_power(window), lambda power: one(tok, before, window, power))
 
-    def one(tok, before, window, power):
-        figure = tok.rlike("[,.%]") | (power != 0) | window.rlike(PAGE_CURRENCY)
-        negative = before.rlike("[(（]$") | tok.contains("-")
-        core = F.regexp_replace(tok, "[^0-9.,]", "")
-        role = F.concat(F.when(negative, "M").otherwise(""), F.translate(core, ".,", "DC"))
-        size = scaled(F.regexp_replace(tok, "[,%+-]", ""), power)
-        return F.struct(figure.alias("figure"), role.alias("role"), F.when(negative, -size).otherwise(size).alias("value"))
+def _months(t: Column) -> Column:
+    """Month names as numbers. Texts without the start of one aren't searched for each."""
+    out = t
+    for i, name in enumerate(MONTHS):
+        short = {"May": "May", "September": "September|Sept|Sep"}.get(name, f"{name}|{name[:3]}")
+        out = F.regexp_replace(out, rf"\b(?:{short})\b", str(i + 1))
+    return F.when(t.rlike(rf"\b(?:{'|'.join(m[:3] for m in MONTHS)})"), out).otherwise(t)
+
 
-    return F.filter(_each(t, PAGE_TOKEN, build), lambda x: x["figure"])
+def _block_text(text: Column) -> Column:
+    t = _months(F.translate(text, "０１２３４５６７８９．，−–—", "0123456789.,---"))
+    spaced = F.regexp_replace(F.regexp_replace(t, r"(?<=[-+])\s+(?=\d)", ""), r"(?<=\d)-(?=\d)", " - ")
+    return F.when(t.rlike("[-+]"), spaced).otherwise(t)
 
 
 def signature(text: Column, figures_only: bool = False) -> Column:
     """Values of a block as an array (a multiset). figures_only: without bare integers."""
-    t = F.translate(text, "０１２３４５６７８９．，−–—", "0123456789.,---")
-    for i, name in enumerate(MONTHS):
-        short = {"May": "May", "September": "September|Sept|Sep"}.get(name, f"{name}|{name[:3]}")
-        t = F.regexp_replace(t, rf"\b(?:{short})\b", str(i + 1))
-    t = F.regexp_replace(t, r"(?<=[-+])\s+(?=\d)", "")
-    t = F.regexp_replace(t, r"(?<=\d)-(?=\d)", " - ")
+    found = F.filter(_each(_block_text(text), BLOCK_TOKEN, _built(_number)), lambda x: x["value"].isNotNull() & (x["figure"] if figures_only else F.lit(True)))
+    return F.transform(found, lambda x: x["value"])
 
-    def build(tok, before, window):
-        return let(unit_power(window), lambda power: one(tok, window, power))
 
-    def one(tok, window, power):
-        figure = tok.rlike(r"\d[.,]\d") | window.startswith("%") | (power != 0) | window.rlike(BLOCK_CURRENCY)
-        return F.struct(figure.alias("figure"), scaled(F.replace(tok, F.lit(","), F.lit("")), power).alias("value"))
+def token_rows(rows: DataFrame, keys: list[str], texts: list[Column], token: str) -> DataFrame:
+    """(keys, side, tok, before, after): a row for each token of each of the texts of a row, side being the number of the
+    text. One scan and one explode, so that what is made of tokens is compiled like any expression; as in the
+    array forms, `after` is cut at 16 characters behind the last token."""
+    sides = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), t.alias("t")) for i, t in enumerate(texts)])).alias("s")).select(*keys, "s.side", "s.t").where(F.col("t").rlike("[0-9]"))
+    cut = sides.select(*keys, "side", F.regexp_extract_all("t", F.lit(f"({token})"), F.lit(1)).alias("toks"), F.split("t", token, -1).alias("btw"))
+    each = F.arrays_zip(F.col("toks").alias("tok"), F.slice("btw", F.lit(1), F.size("toks")).alias("before"), F.slice("btw", F.lit(2), F.size("toks")).alias("after"))
+    flat = cut.select(*keys, "side", F.size("toks").alias("n"), F.posexplode(each))
+    return flat.select(*keys, "side", "col.tok", "col.before", F.when(F.col("pos") + 1 == F.col("n"), F.substring("col.after", 1, 16)).otherwise(F.col("col.after")).alias("after"))
 
-    found = F.filter(_each(t, BLOCK_TOKEN, build), lambda x: x["value"].isNotNull() & (x["figure"] if figures_only else F.lit(True)))
-    return F.transform(found, lambda x: x["value"])
+
+def _value_rows(tokens: DataFrame, keys: list[str], fields) -> DataFrame:
+    powered = tokens.withColumn("power", unit_power(F.col("after")))
+    return powered.select(*keys, "side", *[c.alias(n) for n, c in fields(F.col("tok"), F.col("before"), F.col("after"), F.col("power")).items()])
+
+
+def amount_rows(rows: DataFrame, keys: list[str], *texts: Column) -> DataFrame:
+    """amounts() of several texts a row, as rows (keys, side, role, value)."""
+    return _value_rows(token_rows(rows, keys, [fold_width(t) for t in texts], PAGE_TOKEN), keys, _amount).where("figure").drop("figure")
+
+
+def signature_rows(rows: DataFrame, keys: list[str], *texts: Column) -> DataFrame:
+    """signature() of several texts a row, as rows (keys, side, figure, value)."""
+    return _value_rows(token_rows(rows, keys, [_block_text(t) for t in texts], BLOCK_TOKEN), keys, _number).where("value is not null")
+
+
+SIGN_SHAPE = r"[-−]?\s*[（(]?\s*[0-9][0-9,.]*"
+
+
+def sign_rows(rows: DataFrame, keys: list[str], *texts: Column, least_digits: int = 6) -> DataFrame:
+    """figure_signs() of several texts a row, as rows (keys, side, digits, negative)."""
+    sides = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("side"), t.alias("t")) for i, t in enumerate(texts)])).alias("s"))
+    found = sides.where(F.col("s.t").rlike("[0-9]")).select(*keys, "s.side", F.explode(F.regexp_extract_all("s.t", F.lit(f"({SIGN_SHAPE})"), F.lit(1))).alias("m"))
+    return found.select(*keys, "side", F.translate("m", "-−（( \t\n\r\f\u000b,.", "").alias("digits"), F.col("m").rlike("^[-−]|[（(]").alias("negative")).where(F.length("digits") >= least_digits)
 
 
 def figure_signs(text: Column, least_digits: int = 6) -> Column:
@@ -232,9 +275,15 @@ def section_style(sections: Column) -> Column:
 
 def multiset_diff(rows: DataFrame, keys: list[str], source: str, target: str, value: str = "value") -> DataFrame:
     """Values that one array column holds more often than the other, per key: keys, value, n_source,
-    n_target, missing, extra. One aggregation over the union of both sides; no join."""
-    one = lambda c, a, b: rows.select(*keys, F.explode(c).alias(value), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b"))
-    both = one(source, 1, 0).unionByName(one(target, 0, 1)).where(F.col(value).isNotNull())
-    sums = both.groupBy(*keys, value).agg(F.sum("a").alias("n_source"), F.sum("b").alias("n_target")).where("n_source <> n_target")
+    n_target, missing, extra. One aggregation over both sides; no join."""
+    sides = F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("values")) for i, c in enumerate((source, target))])
+    both = rows.select(*keys, F.explode(sides).alias("s")).select(*keys, "s.side", F.explode("s.values").alias(value))
+    return side_diff(both, keys, value)
+
+
+def side_diff(both: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """multiset_diff() of rows (keys, side, value): side 0 is the source, side 1 the target."""
+    count = lambda side: F.sum((F.col("side") == side).cast("long"))
+    sums = both.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(count(0).alias("n_source"), count(1).alias("n_target")).where("n_source <> n_target")
     zero = F.lit(0).cast("long")
     return sums.select(*keys, value, "n_source", "n_target", F.greatest(F.col("n_source") - F.col("n_target"), zero).alias("missing"), F.greatest(F.col("n_target") - F.col("n_source"), zero).alias("extra"))

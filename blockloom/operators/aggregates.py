@@ -49,15 +49,14 @@ def document_info(kinds: DataFrame, blocks: DataFrame, doc: str = "doc_id") -> D
 
 def amount_counts(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, role, value, n: the multiset of a page's amounts in both views."""
-    return pages.select(*keys, F.explode(N.amounts(F.col(text))).alias("a")).groupBy(*keys, F.col("a.role").alias("role"), F.col("a.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return N.amount_rows(pages, keys, F.col(text)).groupBy(*keys, "role", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sign_diff(pages: DataFrame, keys: list[str], source: str, target: str, most: int | None = 8) -> DataFrame:
     """keys, digits, negatives on both sides, and severity: fatal where the target lost a negative, advisory where
     it has one more. At most `most` of each per page (null: all)."""
-    side = lambda c, s: pages.select(*keys, F.explode(N.figure_signs(F.col(c))).alias("f")).select(*keys, "f.digits", F.lit(s).alias("side"), F.col("f.negative").cast("long").alias("neg"))
-    both = side(source, "s").unionByName(side(target, "t"))
-    sums = both.groupBy(*keys, "digits").agg(F.sum(F.when(F.col("side") == "s", F.col("neg")).otherwise(0)).alias("src_neg"), F.sum(F.when(F.col("side") == "t", F.col("neg")).otherwise(0)).alias("tgt_neg"))
+    negatives = lambda side: F.sum(((F.col("side") == side) & F.col("negative")).cast("long"))
+    sums = N.sign_rows(pages, keys, F.col(source), F.col(target)).groupBy(*keys, "digits").agg(negatives(0).alias("src_neg"), negatives(1).alias("tgt_neg"))
     found = sums.where("src_neg <> tgt_neg").withColumn("severity", F.when(F.col("src_neg") > F.col("tgt_neg"), "fatal").otherwise("advisory"))
     if most is None:
         return found

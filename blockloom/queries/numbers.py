@@ -43,8 +43,7 @@ def number_tokens(spark, d):
 )
 def numeric_diff(spark, d):
     """Values that an order's sentences and their derived targets don't share, page by page."""
-    value = lambda c: F.transform(N.amounts(F.col(c)), lambda a: a["value"])
-    return N.multiset_diff(_sentences(spark, d).select("page_no", value("text").alias("s"), value("target").alias("t")), ["page_no"], "s", "t")
+    return N.side_diff(N.amount_rows(_sentences(spark, d), ["page_no"], F.col("text"), F.col("target")), ["page_no"])
 
 
 @query("numeric_diff_pages", f"SELECT count(*) AS pages, sum(missing)::BIGINT AS missing, sum(extra)::BIGINT AS extra FROM (WITH {SENTENCES}, s AS ({amounts_sql('sentences', 'page_no', 'text')}), t AS ({amounts_sql('sentences', 'page_no', 'target')}), sums AS (SELECT page_no, value, sum(a) AS x, sum(b) AS y FROM (SELECT page_no, value, 1 AS a, 0 AS b FROM s UNION ALL SELECT page_no, value, 0, 1 FROM t) WHERE value IS NOT NULL GROUP BY page_no, value) SELECT page_no, sum(greatest(x - y, 0)) AS missing, sum(greatest(y - x, 0)) AS extra FROM sums WHERE x <> y GROUP BY page_no)")
@@ -60,8 +59,8 @@ _SIGNS = """SELECT {keys}, digits, sg <> '' OR par <> '' AS negative FROM (
 
 @query("figure_signs", f"WITH {SENTENCES}, f AS ({_SIGNS.format(keys='page_no', text='target', source='sentences')}) SELECT page_no, digits, count(*) FILTER (WHERE NOT negative) AS positive, count(*) FILTER (WHERE negative) AS negative FROM f GROUP BY page_no, digits")
 def figure_signs(spark, d):
-    rows = _sentences(spark, d).select("page_no", F.explode(N.figure_signs(F.col("target"))).alias("f"))
-    return rows.groupBy("page_no", F.col("f.digits").alias("digits")).agg(A.count_if(~F.col("f.negative")).alias("positive"), A.count_if(F.col("f.negative")).alias("negative"))
+    rows = N.sign_rows(_sentences(spark, d), ["page_no"], F.col("target"))
+    return rows.groupBy("page_no", "digits").agg(A.count_if(~F.col("negative")).alias("positive"), A.count_if(F.col("negative")).alias("negative"))
 
 
 @query(
