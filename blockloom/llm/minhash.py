@@ -6,9 +6,12 @@ evaluations give a signature of the same length (and of lower variance). Signatu
 of `rows` values; documents with an equal band share a bucket. Candidates are confirmed on full sets.
 
 No bucket's pairs are enumerated: equal sets are one class; each class is first compared with one
-leader (the class with the least id in the bucket it shares most often), which settles copies in a
-number of comparisons linear in their number. What stays in buckets with several components is
-compared block by block, only across components and only until they are joined.
+leader (the class with the least number in the bucket it shares most often), which settles copies in a
+number of comparisons linear in their number. Buckets that still hold several components are then
+compared one by one: a bucket is one block, or, where its sets don't fit into one, several that meet two
+at a time; only sets of different components meet, each pair in one of the buckets that it shares, and
+only until their components are joined. Sets are sets of 64-bit hashes of shingles; they are made once
+for every class that shares a bucket.
 
 Defined results: null text has no words; a document without words has an empty set and is linked
 with nothing; with fewer than `words` words the whole sequence is one shingle; a document is an id
@@ -21,7 +24,6 @@ a pair at 0.80 with 5e-7.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +36,7 @@ from blockloom.llm.shared import bounded_batches, discard, pick, rows_literal, s
 from blockloom.llm.substring_dedup import WordHashes, grams, mixed
 
 #: Shingles of a block of documents that are compared in one task.
-BLOCK = 1_000_000
+BLOCK = 1 << 18
 #: A class that holds more than 1/HEAVY of all rows is heavy: there are fewer than HEAVY of them.
 HEAVY = 1000
 #: Stands for a null id: the greatest value, so that it never is the least of others.
@@ -116,47 +118,90 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def _sets(table: pa.Table, words: int) -> dict[int, np.ndarray]:
-    """Set of each class; of texts that collide in id and text_key, the one that the class was made from."""
-    hashes, out = WordHashes(), {}
-    for name, one, two, text in zip(*[table[c].to_pylist() for c in ("rep", "one", "two", "text")], strict=True):
-        if name not in out:
-            s = shingles((text or "").encode("utf-8", "surrogatepass"), words, hashes)
-            if digest(s) == (one, two):
-                out[name] = s
-    return out
+def full_sets(words: int):
+    """(rep, n, set) from rows (rep, n, one, two, text), set as little-endian 64-bit hashes; a text that only
+    collides with the one that its class was made from, in id and text_key, gives no row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            keep, sets = [], []
+            for k, (one, two, text) in enumerate(zip(*[batch.column(c).to_pylist() for c in (2, 3, 4)], strict=True)):
+                s = shingles((text or "").encode("utf-8", "surrogatepass"), words, hashes)
+                if digest(s) == (one, two):
+                    keep.append(k)
+                    sets.append(s.tobytes())
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(sets, pa.binary())], ["rep", "n", "set"])
+
+    return run
 
 
+SETS = "rep long, n long, set binary"
 EDGES = "a long, b long"
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def leader_edges(words: int, percent: int):
+def by_group(run, names: list[str]):
+    """For partitions sorted by two leading columns: run(columns) for every group of rows that agree in both,
+    where columns has a list for each of `names`, the other columns. One group is held at a time."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = run(key, {n: [x for part in held for x in part.column(n).to_pylist()] for n in names})
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], schema=_EDGES)
+
+        for batch in batches:
+            one, two = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cuts = [0, *(np.flatnonzero((one[1:] != one[:-1]) | (two[1:] != two[:-1])) + 1).tolist(), batch.num_rows]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                if at == end:
+                    continue
+                now = (int(one[at]), int(two[at]))
+                if key is not None and now != key:
+                    yield from flush()
+                    held = []
+                key = now
+                held.append(batch.slice(at, end - at))
+        if held:
+            yield from flush()
+
+    return each
+
+
+def grouped_edges(rows: DataFrame, one: str, two: str, run, names: list[str]) -> DataFrame:
+    """Edges that run() finds in the groups of (one, two)."""
+    sent = rows.select(one, two, *names).repartition(one, two).sortWithinPartitions(one, two)
+    return sent.mapInArrow(by_group(run, names), EDGES)
+
+
+def leader_edges(percent: int):
     """Of a group of (lead, salt): the members that are similar to the leader."""
 
-    def run(table: pa.Table) -> pa.Table:
-        lead, sets = table["lead"][0].as_py(), _sets(table, words)
-        found = [x for x, s in sets.items() if x != lead and lead in sets and similar(sets[lead], s, percent)]
-        return pa.table({"a": [lead] * len(found), "b": found}, schema=_EDGES)
+    def run(key: tuple[int, int], rows: dict[str, list]) -> list[tuple[int, int]]:
+        lead = key[0]
+        sets = {x: np.frombuffer(s, np.uint64) for x, s in zip(rows["rep"], rows["set"], strict=True)}
+        if lead not in sets:
+            return []
+        return [(lead, x) for x, s in sets.items() if x != lead and similar(sets[lead], s, percent)]
 
     return run
 
 
-def block_edges(words: int, percent: int):
-    """Of one or two blocks: edges that join components, found within buckets."""
+def block_edges(percent: int):
+    """Of one or two blocks of a bucket (grp): pairs of components that similar sets join. A pair of sets is
+    compared in the least of the buckets that it shares."""
 
-    def run(table: pa.Table) -> pa.Table:
-        sets = _sets(table, words)
+    def run(key: tuple[int, int], rows: dict[str, list]) -> list[tuple[int, int]]:
+        found: dict[int, tuple] = {}
+        for name, comp, block, keys, data in zip(*[rows[x] for x in ("rep", "comp", "block", "keys", "set")], strict=True):
+            if name not in found:
+                found[name] = (len(data), name, comp, block, frozenset(keys), np.frombuffer(data, np.uint64))
+        two = len({x[3] for x in found.values()}) > 1
         parent: dict[int, int] = {}
-        buckets: dict[int, list[int]] = defaultdict(list)
-        comp, side = {}, {}
-        for name, c, block, keys in zip(*[table[x].to_pylist() for x in ("rep", "comp", "block", "keys")], strict=True):
-            if name in comp or name not in sets:
-                continue
-            comp[name], side[name] = c, block
-            for k in keys:
-                buckets[k].append(name)
-        two = len(set(side.values())) > 1
 
         def find(x: int) -> int:
             while parent.setdefault(x, x) != x:
@@ -164,24 +209,17 @@ def block_edges(words: int, percent: int):
                 x = parent[x]
             return x
 
-        edges, tested = [], set()
-        for members in buckets.values():
-            members.sort(key=lambda x: len(sets[x]))
-            for i, x in enumerate(members):
-                most = 100 * len(sets[x])
-                for y in members[i + 1 :]:
-                    if percent * len(sets[y]) > most:
-                        break
-                    if (two and side[x] == side[y]) or find(comp[x]) == find(comp[y]):
-                        continue
-                    pair = (x, y) if x < y else (y, x)
-                    if pair in tested:
-                        continue
-                    tested.add(pair)
-                    if similar(sets[x], sets[y], percent):
-                        parent[find(comp[x])] = find(comp[y])
-                        edges.append(pair)
-        return pa.table({"a": [a for a, _ in edges], "b": [b for _, b in edges]}, schema=_EDGES)
+        edges, members = [], sorted(found.values(), key=lambda x: x[:2])
+        for i, (size, _, comp, block, keys, data) in enumerate(members):
+            for size2, _, comp2, block2, keys2, data2 in members[i + 1 :]:
+                if percent * size2 > 100 * size:
+                    break
+                if (two and block == block2) or find(comp) == find(comp2) or min(keys & keys2) != key[0]:
+                    continue
+                if similar(data, data2, percent):
+                    parent[find(comp)] = find(comp2)
+                    edges.append((min(comp, comp2), max(comp, comp2)))
+        return edges
 
     return run
 
@@ -192,16 +230,29 @@ def labelled(rows: DataFrame, labels: DataFrame, key: str, name: str) -> DataFra
     return rows.join(own, F.col(key) == F.col("_node"), "left").select(*rows.columns, F.coalesce("_label", key).alias(name))
 
 
+def roots(edges: DataFrame) -> DataFrame:
+    """(node, label) from edges (a, b) in which every b has one a, which is smaller: the root of each b, by
+    pointer jumping. Nodes that are no b are roots themselves."""
+    now = stored(edges.select(F.col("b").alias("node"), F.col("a").alias("label")), "roots")
+    while True:
+        up = now.select(F.col("node").alias("_node"), F.col("label").alias("_up"))
+        after = stored(now.join(up, F.col("label") == F.col("_node"), "left").select("node", F.coalesce("_up", "label").alias("label"), F.col("_up").isNotNull().alias("moved")), "roots")
+        discard(now)
+        now = after.select("node", "label")
+        if not after.where("moved").take(1):
+            return now
+
+
 def residual_blocks(rest: DataFrame) -> DataFrame:
-    """(block, pair) from rows (rep, comp, n, grp): which blocks a row is in and which pairs of blocks
-    are compared. Groups within BLOCK are one block. In larger ones, components above BLOCK / 4 are
+    """The block of each row (rep, comp, n, grp), for which pairs of blocks of a group are compared. Groups within
+    BLOCK are one block. In larger ones, components above BLOCK / 4 are
     cut into blocks of their own, that aren't compared with each other, and the others share blocks."""
     per_comp = rest.groupBy("grp", "comp").agg(F.sum("n").alias("cn"))
     per_group = per_comp.groupBy("grp").agg(F.sum("cn").alias("gn"))
     sized = rest.join(per_comp, ["grp", "comp"]).join(per_group, "grp")
     large, own = F.col("gn") > BLOCK, F.col("cn") > BLOCK // 4
     number = F.when(~large, F.lit(0)).when(own, F.pmod(F.xxhash64("rep"), F.ceil(F.col("cn") / BLOCK))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("gn") / BLOCK)))
-    return sized.select("rep", "comp", "n", "grp", F.struct(F.when(large & own, F.col("comp")).alias("pure"), number.cast("long").alias("number")).alias("block"))
+    return sized.select("rep", "comp", "keys", "grp", F.struct(F.when(large & own, F.col("comp")).alias("pure"), number.cast("long").alias("number")).alias("block"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = 32, rows: int = 6) -> DataFrame:
@@ -228,40 +279,42 @@ def judged(docs: DataFrame, words: int = 3, percent: int = 85, bands: int = 32,
     shared = exploded.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("k")).where("k > 1")
     members = stored(exploded.join(shared, "key").select("key", "lead", "rep"), "members")
 
-    # The texts of classes that share a bucket with another one.
+    # The sets of classes that share a bucket with another one.
     wanted = classes.join(members.select("rep").distinct(), "rep", "left_semi").select("rep", "n", "one", "two", "doc_id", "text_key")
-    bodies = stored(texts.join(wanted, ["doc_id", "text_key"]).select("rep", "n", "one", "two", "text"), "bodies")
-    if bodies.groupBy("rep").count().where("count > 1").take(1):  # rows that share id and text
-        bodies = stored(bodies.dropDuplicates(["rep", "text"]), "bodies")
+    found = texts.join(wanted, ["doc_id", "text_key"]).select("rep", "n", "one", "two", "text").mapInArrow(full_sets(words), SETS)
+    bodies = stored(found, "sets")
+    again = bodies.groupBy("rep").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    if again.take(1):  # rows that share id and text
+        bodies = stored(bodies.groupBy("rep").agg(F.first("n").alias("n"), F.first("set").alias("set")), "sets")
 
     # Round one: each class against one leader.
     ties = members.where("rep <> lead").groupBy("rep", "lead").agg(F.count(F.lit(1)).alias("k"))
     choice = ties.groupBy("rep").agg(F.max(F.struct("k", (-F.col("lead")).alias("minus"))).alias("best")).select("rep", (-F.col("best.minus")).alias("lead"))
-    choice = stored(choice.join(classes.select("rep", "n"), "rep"), "choice")
+    choice = stored(choice.join(bodies.select("rep", "n"), "rep"), "choice")
     groups = choice.groupBy("lead").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("salts"))
     sent = choice.join(groups, "lead").select("rep", "lead", F.pmod(F.xxhash64("rep"), F.col("salts")).alias("salt"))
     sent = sent.unionByName(groups.select(F.col("lead").alias("rep"), "lead", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")))
-    edges = stored(bodies.join(sent, "rep").select("lead", "salt", "rep", "one", "two", "text").groupBy("lead", "salt").applyInArrow(leader_edges(words, percent), EDGES), "leader-edges")
-    labels = stored(components(edges), "labels")
+    first = roots(grouped_edges(bodies.join(sent, "rep"), "lead", "salt", leader_edges(percent), ["rep", "set"]))
 
     # Round two: buckets that still hold several components.
-    placed = stored(labelled(members.select("key", "rep"), labels, "rep", "comp"), "placed")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    rest = stored(placed.join(open_keys, "key").select("key", "rep", "comp", "low"), "open")
-    grouping = components(rest.select(F.col("low").alias("a"), F.col("comp").alias("b")))
-    per_rep = rest.groupBy("rep", "comp").agg(F.collect_list("key").alias("keys"))
-    per_rep = labelled(per_rep, grouping, "comp", "grp").join(classes.select("rep", "n"), "rep")
-    per_rep = stored(per_rep, "residual")
-    blocks = stored(residual_blocks(per_rep.select("rep", "comp", "n", "grp")), "blocks")
+    placed = stored(labelled(members.select("key", "rep"), first, "rep", "comp"), "placed")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    rest = placed.join(open_keys, "key").select(F.col("key").alias("grp"), "rep", "comp")
+    keys = rest.groupBy("rep").agg(F.collect_list("grp").alias("keys"))  # as many as there are bands
+    rest = stored(rest.join(keys, "rep").join(classes.select("rep", "n"), "rep"), "open")
+    blocks = stored(residual_blocks(rest), "blocks")
     each = blocks.select("grp", "block").distinct()
     pairs = each.select("grp", F.col("block").alias("x")).join(each.select("grp", F.col("block").alias("y")), "grp").where((F.col("x") < F.col("y")) | ((F.col("x") == F.col("y")) & F.col("x.pure").isNull()))
-    pairs = pairs.where(~F.coalesce(F.col("x.pure") == F.col("y.pure"), F.lit(False))).select("grp", F.xxhash64("grp", "x.pure", "x.number", "y.pure", "y.number").alias("task"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    tasks = blocks.select("rep", "grp", "block").join(pairs, ["grp", "block"]).select("rep", "grp", "task", F.xxhash64("block.pure", "block.number").alias("block"))
-    loaded = bodies.join(tasks, "rep").join(per_rep.select("rep", "comp", "keys"), "rep").select("grp", "task", "rep", "comp", "block", "keys", "one", "two", "text")
-    more = stored(loaded.groupBy("grp", "task").applyInArrow(block_edges(words, percent), EDGES), "block-edges")
-    for gone in (bodies, members, placed, rest):
+    pairs = pairs.where(~F.coalesce(F.col("x.pure") == F.col("y.pure"), F.lit(False))).select("grp", F.xxhash64("x.pure", "x.number", "y.pure", "y.number").alias("task"), F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    tasks = blocks.join(pairs, ["grp", "block"]).select("grp", "task", "rep", "comp", "keys", F.xxhash64("block.pure", "block.number").alias("block"))
+    second = components(grouped_edges(bodies.select("rep", "set").join(tasks, "rep"), "grp", "task", block_edges(percent), ["rep", "comp", "block", "keys", "set"]))
+    final = labelled(first, second, "label", "last").select("node", F.col("last").alias("label"))
+    # Roots aren't nodes of `first`: those with members, and those that only round two has linked.
+    final = final.unionByName(labelled(first.select("label").distinct(), second, "label", "last").select(F.col("label").alias("node"), F.col("last").alias("label")))
+    final = final.unionByName(second.join(first.select(F.col("label").alias("node")).distinct(), "node", "left_anti"))
+    final = stored(final, "components")
+    for gone in (bodies, members, placed, rest, blocks):
         discard(gone)
-    final = stored(components(edges.unionByName(more)), "components")
 
     # A component is named by its smallest id; its first document by (doc_id, text_key) is kept.
     linked = final.join(classes.select(F.col("rep").alias("node"), "doc_id", "text_key"), "node")
