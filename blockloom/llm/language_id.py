@@ -6,9 +6,9 @@ machines between its languages vote, ties broken by summed margins, then by name
 learned languages apart, so the score also counts how strange the text's n-grams are to all of them:
 a text that is clearly stranger than any training row has a score near 0. Without enough training
 documents, or if the machines don't recognize most of them, nothing counts as strange. The machines are
-fitted on the driver on a bounded sample: at most `sample` labelled documents a language (the ones
-with the smallest hash), each also as a short snippet, and at most `max_languages` languages.
-Predictions read the whole text and nothing else.
+fitted in one task on a bounded sample: at most `sample` labelled documents a language (the ones
+with the smallest hash) and about `most` in all, each also as a short snippet. Every language that a
+usable row has is learned. The driver gets the weights only. Predictions read the whole text and nothing else.
 
 Defined results: null text, or text without a letter, is `und` with score 0; without any labelled
 row every prediction is `und`; with one language every text with a letter gets it; repeated rows are
@@ -17,6 +17,7 @@ predicted alike; an empty table gives an empty table; other columns don't count.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,13 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.shared import bounded_batches, pick
+from blockloom.llm.shared import bounded_batches, pick, stored
 
 UNDETERMINED = "und"
 WIDTH_BITS = 12
 WIDTH = 1 << WIDTH_BITS
-SAMPLE, MAX_LANGUAGES, SNIPPET = 400, 200, 120
+SAMPLE, MOST, SNIPPET = 400, 8000, 120
 CHUNK = 1 << 20
+#: So many languages, with a row each, are broadcast.
+SMALL = 100_000
 #: Texts can be strange if there are so many training documents and so large a share of them is predicted as labelled.
 #: They are beyond so many times the strangeness of the strangest one; from there a score falls by e for each 1/STEEP.
 KNOWN_DOCS, KNOWN_RIGHT, BEYOND, STEEP = 20, 0.9, 1.25, 4.0
@@ -200,31 +203,34 @@ def train(labelled: list[tuple[str, np.ndarray]]) -> LanguageModel:
     return model
 
 
-def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> LanguageModel:
-    """A model learned from text and lang of the usable rows (a condition on doc_id, text, lang)."""
+def fit(docs: DataFrame, usable: Column, sample: int = SAMPLE, most: int = MOST) -> LanguageModel:
+    """A model learned from text and lang of the usable rows (a condition on doc_id, text, lang). With so many
+    languages that `sample` of each would be more than `most`, each gives fewer, but 4 at least."""
+    bounded_batches(docs.sparkSession)
     rows = pick(docs, "doc_id", "text", "lang").where(usable & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
-    if not counts:
-        return LanguageModel()
-    size, fine = 1 << 30, F.xxhash64(F.col("doc_id"), F.col("lang"))
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, int(min(1.0, 1.5 * sample / r.n + 20 / r.n) * size)).otherwise(share)
-    few = rows.withColumn("h", fine).where(F.pmod(F.col("h"), F.lit(size)) < share)
-    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= sample)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    size, each = 1 << 30, F.least(F.lit(sample), F.greatest(F.lit(4), (F.lit(most) / F.count(F.lit(1)).over(Window.partitionBy())).cast("int")))
+    # A row a language. Of a language's rows, the share whose hash is low enough holds `each` ones almost surely.
+    shares = stored(counts.withColumn("each", each).select(F.col("lang").alias("_lang"), "each", (F.least(F.lit(1.0), (1.5 * F.col("each") + 20) / F.col("n")) * size).cast("long").alias("share")), "languages")
+    small = F.broadcast if shares.count() <= SMALL else (lambda d: d)
+    few = rows.withColumn("h", F.xxhash64("doc_id", "text", "lang")).join(small(shares), F.col("lang") == F.col("_lang")).where(F.pmod("h", F.lit(size)) < F.col("share"))
+    few = few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("k") <= F.col("each"))
+
+    def profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, data = [], []
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            data = []
+            for text in batch.column(1).to_pylist():
                 middle = max(0, len(text) - SNIPPET) // 2
-                langs.append(lang)
                 data.append(b"".join(features(t).astype(np.float16).tobytes() for t in (text, text[middle : middle + SNIPPET])))
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(data, pa.binary())], ["lang", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(data, pa.binary())], ["lang", "x"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+        model = train([(lang, row) for lang, both in rows for row in np.frombuffer(both, np.float16).reshape(2, WIDTH)])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
 
-    found = few.select("lang", "text").mapInArrow(run, "lang string, x binary").collect()  # bounded, see above
-    pairs = sorted(((r.lang, bytes(r.x)) for r in found))
-    return train([(lang, row) for lang, both in pairs for row in np.frombuffer(both, np.float16).reshape(2, WIDTH)])
+    learned = few.select("lang", "text").mapInArrow(profiles, "lang string, x binary").repartition(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(learned[0].model) if learned else LanguageModel()
 
 
 def predict(docs: DataFrame, model: LanguageModel, passing: tuple[str, ...] = ()) -> DataFrame:
