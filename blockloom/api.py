@@ -35,6 +35,8 @@ class Session:
     translations: DataFrame | None = None
     overlay: DataFrame | None = None
     version: int = 0
+    #: Single edits (doc_id, block_id, version, action, text), which are a part of the overlay as one small table.
+    edits: list[tuple] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.blocks = with_defaults(self.blocks)
@@ -69,7 +71,15 @@ class Session:
         """Blocks with target: the overlay, else the translation, else nothing."""
         none = self.blocks.withColumn("target", F.lit(""))
         out = none if self.translations is None else J.with_translation(self.blocks, self.translations, ["doc_id", "block_id"])
-        return out if self.overlay is None else J.overlay_wins(out, J.latest_overlay(self.overlay, ["doc_id", "block_id"]), ["doc_id", "block_id"])
+        log = self.log()
+        return out if log is None else J.overlay_wins(out, J.latest_overlay(log, ["doc_id", "block_id"]), ["doc_id", "block_id"])
+
+    def log(self) -> DataFrame | None:
+        """The whole overlay: its table and the single edits."""
+        if not self.edits:
+            return self.overlay
+        own = self.blocks.sparkSession.createDataFrame(self.edits, "doc_id string, block_id int, version long, action string, text string")
+        return own if self.overlay is None else self.overlay.unionByName(own)
 
     # -- writes -----------------------------------------------------------------------------------------------
 
@@ -81,13 +91,20 @@ class Session:
         self.overlay = fresh if self.overlay is None else self.overlay.unionByName(fresh)
         return rows.join(known, ["doc_id", "block_id"], "left_anti")
 
+    def _edit(self, doc_id: str, block_id: int, action: str, text: str) -> bool:
+        """Whether the block is one that may be edited; then the edit counts."""
+        own = self.blocks.where((F.col("doc_id") == doc_id) & (F.col("block_id") == block_id) & ~N.is_numeric_cell(F.col("text")))
+        if not own.take(1):
+            return False
+        self.version += 1
+        self.edits.append((doc_id, block_id, self.version, action, text))
+        return True
+
     def set_text(self, doc_id: str, block_id: int, text: str) -> bool:
-        row = self.blocks.sparkSession.createDataFrame([(doc_id, block_id, text)], "doc_id string, block_id int, text string")
-        return self.write(row).count() == 0
+        return self._edit(doc_id, block_id, "set", text)
 
     def delete_block(self, doc_id: str, block_id: int) -> bool:
-        row = self.blocks.sparkSession.createDataFrame([(doc_id, block_id, "")], "doc_id string, block_id int, text string")
-        return self.write(row, "delete").count() == 0
+        return self._edit(doc_id, block_id, "delete", "")
 
     def apply_terminology(self, glossary: dict[str, str]) -> None:
         self.glossary |= glossary
@@ -99,9 +116,9 @@ class Session:
         todo = self.blocks if pages is None else self.blocks.where(F.col("page_no").isin(pages))
         empty = todo.sparkSession.createDataFrame([], "block_hash string, text string")
         done, _ = T.translate_blocks(todo, empty, self.translate, self.lang, C.protected(F.col("text"), F.col("keep_original")), self.glossary)
-        fresh = done.select("doc_id", "block_id", F.col("target").alias("text"))
-        old = self.translations
-        self.translations = fresh if old is None else old.join(fresh, ["doc_id", "block_id"], "left_anti").unionByName(fresh)
+        fresh = cut(done.select("doc_id", "block_id", F.col("target").alias("text")))  # the translator is asked once
+        new = fresh.withColumnRenamed("text", "_new")
+        self.translations = fresh if self.translations is None else cut(self.translations.join(new, ["doc_id", "block_id"], "full").select("doc_id", "block_id", F.coalesce("_new", "text").alias("text")))
         return fresh
 
     def audit(self, pages: list[int] | None = None, checks: list[str] | str | None = None) -> dict:
@@ -123,6 +140,11 @@ class Session:
         return flows.execute(flows.FLOWS[name], self.tools(), params=params)
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """rows, worked out once, where the cluster names a folder for that."""
+    return rows.checkpoint() if rows.sparkSession.conf.get("spark.checkpoint.dir", None) else rows
+
+
 def cjk_target(lang: str) -> bool:
     """Whether the target language is written in CJK script."""
     t = lang.strip().lower()

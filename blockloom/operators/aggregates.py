@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from blockloom.functions import numbers as N
 from blockloom.functions import text as X
 from blockloom.functions.geometry import upper_median
+from blockloom.operators.sequence import numbered
 
 
 def count_if(c: Column) -> Column:
@@ -123,6 +124,8 @@ def entity_inventory(pages: DataFrame, doc: list[str], page: str = "page_no") ->
 def top_entities(inventory: DataFrame, doc: list[str], most: int = 10) -> DataFrame:
     order = [F.desc("n"), F.asc("first_pos"), F.asc("name")]
     window = Window.partitionBy(*doc).orderBy(*order) if doc else Window.orderBy(*order)
+    if not doc:  # the names of all documents don't meet in one task, only the first ones
+        inventory = inventory.orderBy(*order).limit(most)
     return inventory.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= most)
 
 
@@ -204,11 +207,18 @@ def block_style(spans: DataFrame, keys: list[str]) -> DataFrame:
 def rule_coverage(segments: DataFrame, keys: list[str], share: float = 0.8) -> DataFrame:
     """Rules from drawn segments (y, x0, x1; table edges t_x0, t_x1): segments within a point of the first y of
     their group are one rule; their merged length must reach a share of the table, and both ends its edges."""
-    # Groups are anchored at their first y, so they are folded over the page's sorted distinct heights.
-    heights = segments.groupBy(*keys).agg(F.array_sort(F.collect_set("y")).alias("ys"))
-    state = F.struct(F.lit(-1e300).alias("at"), F.array().cast("array<struct<y:double,anchor:double>>").alias("out"))
-    fold = F.aggregate("ys", state, lambda acc, y: F.struct(F.when(y - acc["at"] > 1.0, y).otherwise(acc["at"]).alias("at"), F.concat(acc["out"], F.array(F.struct(y.alias("y"), F.when(y - acc["at"] > 1.0, y).otherwise(acc["at"]).alias("anchor")))).alias("out")), lambda s: s["out"])
-    anchored = segments.join(heights.select(*keys, F.explode(fold).alias("h")).select(*keys, "h.y", "h.anchor"), [*keys, "y"])
+    # Groups are anchored at their first y.
+    def anchors(ys: list[float]) -> list[int]:
+        out, at = [], None
+        for k, y in enumerate(ys):
+            if at is None or y - ys[at] > 1.0:
+                at = k
+            out.append(at)
+        return out
+
+    heights = numbered(segments.select(*keys, "y").distinct(), keys, ["y"], ["y"], "_at", anchors)
+    heights = heights.withColumn("anchor", F.min("y").over(Window.partitionBy(*keys, "_at"))).drop("_at")
+    anchored = segments.join(heights, [*keys, "y"])
     order = Window.partitionBy(*keys, "anchor").orderBy("x0", "x1")
     far = F.max("x1").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = anchored.withColumn("_new", F.coalesce(F.col("x0") > far + 0.5, F.lit(True)).cast("int")).withColumn("_k", F.sum("_new").over(order))

@@ -3,6 +3,9 @@ join with a residual condition and never a nested loop over the whole table."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,12 +167,47 @@ def pair_pages(source: DataFrame, target: DataFrame, ranges: DataFrame | None, d
     return mapped.select(*doc, "page_no", "target_page").unionByName(rest.select(*doc, "page_no", "target_page"))
 
 
-def glossary_missing(documents: DataFrame, glossary: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """Glossary entries whose source occurs in a document while the required target doesn't. The glossary
-    is the small side of a containment join; Spark broadcasts it where its size allows."""
-    g = glossary.where("source <> '' and target <> ''").select(F.col("source").alias("term"), F.col("target").alias("required"))
-    hit = documents.join(g, F.col("text").contains(F.col("term")) & ~F.col("target").contains(F.col("required")))
-    return hit.select(doc, "term", "required")
+#: Characters of a glossary (terms and targets) up to which it goes to every task; length of the grams it is joined by beyond.
+GLOSSARY, GRAM = 8_000_000, 12
+
+
+def glossary_missing(documents: DataFrame, glossary: DataFrame, doc: str = "doc_id", most: int = GLOSSARY) -> DataFrame:
+    """Glossary entries whose source occurs in a document while the required target doesn't. A glossary of up to
+    `most` characters is searched for in one pass over each text; a larger one meets the texts in a join on the first GRAM
+    characters of its terms (or on all of a shorter term)."""
+    g = glossary.where("source <> '' and target <> ''").select(F.col("source").alias("term"), F.col("target").alias("required")).distinct()
+    lacks = ~F.col("target").contains(F.col("required"))
+    if (g.agg(F.sum(F.length("term") + F.length("required"))).first()[0] or 0) <= most:
+        found = _found_terms(documents.select(doc, "text", "target"), doc, sorted({r.term for r in g.select("term").distinct().collect()}))
+        return found.join(g, "term").where(lacks).select(doc, "term", "required")
+    g = g.withColumn("gram", F.substring("term", 1, GRAM))
+    sizes = [r.n for r in g.select(F.length("gram").alias("n")).distinct().collect()]  # at most GRAM
+    grams = lambda n: F.when(F.length("text") >= n, F.transform(F.sequence(F.lit(1), F.length("text") - n + 1), lambda i: F.substring("text", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    cut = documents.select(doc, "text", "target", F.explode(F.array_distinct(F.concat(*[grams(n) for n in sizes]))).alias("gram"))
+    return cut.join(g, "gram").where(F.col("text").contains(F.col("term")) & lacks).select(doc, "term", "required")
+
+
+def _found_terms(documents: DataFrame, doc: str, terms: list[str]) -> DataFrame:
+    """(doc, target, term) for the terms that occur in text, by one automaton of all terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for k, t in enumerate(terms):
+            found.add_word(t, k)
+        found.make_automaton()
+        for batch in batches:
+            rows, hits = [], []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                own = sorted({k for _, k in found.iter(text)}) if text and terms else []
+                rows += [i] * len(own)
+                hits += [terms[k] for k in own]
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.array(hits, pa.string())], [doc, "target", "term"])
+
+    kind = documents.schema[doc].dataType.simpleString()
+    return documents.mapInArrow(run, f"`{doc}` {kind}, target string, term string")
 
 
 def neighbour_context(blocks: DataFrame, doc: str = "doc_id", width: int = 80, budget: int = 1200) -> DataFrame:

@@ -1,14 +1,17 @@
 """Ordered grouping. Greedy groupings that compare with the first member of the running group (and not with
-the previous row) fold over the sorted array of a page or document; the others are windows."""
+the previous row) number the sorted rows of a page or document in one linear pass; the others are windows.
+
+For such a pass the rows of a page are one sorted array; only the columns that it needs go to Python, as flat Arrow
+columns of many pages at once, and come back as one number for each row."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from blockloom.functions import text as X
 from blockloom.functions.geometry import upper_median
@@ -22,21 +25,37 @@ def sorted_rows(rows: DataFrame, keys: list[str], order: list[str], columns: lis
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(body)).alias(name))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str], needs: list[str], add: str, run: Callable[..., list[int]]) -> DataFrame:
+    """Adds an int column: run(*columns) for the rows of each key in order, columns being lists of the columns in
+    needs, gives a number for each row. run sees a key's rows once, so a linear run makes a linear operator."""
+    packed = sorted_rows(rows, keys, order, [c for c in rows.columns if c not in keys])
+
+    def each(*lists: pa.Array) -> pa.Array:
+        sizes, columns, out, at = pc.list_value_length(lists[0]).to_pylist(), [x.flatten().to_pylist() for x in lists], [], 0
+        for n in sizes:
+            out.append(run(*[c[at : at + n] for c in columns]))
+            at += n
+        return pa.array(out, pa.list_(pa.int32()))
+
+    numbers = F.arrow_udf(each, "array<int>")(*[F.col(f"rows.{c}") for c in needs])
+    flat = packed.withColumn("_numbers", numbers).select(*keys, F.explode(F.arrays_zip("rows", F.col("_numbers").alias("n"))).alias("z"))
+    return flat.select(*[F.col(c) if c in keys else F.col(f"z.rows.{c}") for c in rows.columns], F.col("z.n").alias(add))
+
+
 def greedy_batches(rows: DataFrame, keys: list[str], order: str, size: Column, budget: int, most: int) -> DataFrame:
     """Adds batch_no: rows in order, a new batch where the next one would exceed the budget or the cap. A row
     above the budget is a batch of its own."""
-    sized = rows.withColumn("_size", size.cast("long"))
-    packed = sorted_rows(sized, keys, [order], ["_size"])
-    state = F.struct(F.lit(-1).alias("no"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("held"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc, r):
-        fresh = (acc["no"] < 0) | (acc["used"] + r["_size"] > budget) | (acc["held"] >= most)
-        no = acc["no"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(no.alias("no"), (F.when(fresh, F.lit(0).cast("long")).otherwise(acc["used"]) + r["_size"]).alias("used"), (F.when(fresh, 0).otherwise(acc["held"]) + 1).alias("held"), F.concat(acc["out"], F.array(no)).alias("out"))
+    def run(sizes: list[int]) -> list[int]:
+        out, no, used, held = [], -1, 0, 0
+        for n in sizes:
+            if no < 0 or used + n > budget or held >= most:
+                no, used, held = no + 1, 0, 0
+            used, held = used + n, held + 1
+            out.append(no)
+        return out
 
-    numbers = F.aggregate("rows", state, step, lambda s: s["out"])
-    flat = packed.select(*keys, F.explode(F.arrays_zip(F.col("rows." + order).alias(order), numbers.alias("batch_no")))).select(*keys, f"col.{order}", "col.batch_no")
-    return rows.join(flat, [*keys, order])
+    return numbered(rows.withColumn("_size", size.cast("long")), keys, [order], ["_size"], "batch_no", run).drop("_size")
 
 
 def request_batches(blocks: DataFrame, doc: str = "doc_id", budget: int = 4000, most: int = 25) -> DataFrame:
@@ -67,36 +86,37 @@ def joinable(blocks: DataFrame) -> Column:
 def prose_units(blocks: DataFrame, doc: str = "doc_id", most: int = 2400) -> DataFrame:
     """Adds unit_no per document: neighbouring joinable blocks of a group while the joined text is at most
     `most` long. blocks: block_id, group_id, text, joinable."""
-    packed = sorted_rows(blocks, [doc], ["block_id"], ["group_id", "text", "joinable"])
-    state = F.struct(F.lit(-1).alias("no"), F.lit(-1).alias("grp"), F.lit(False).alias("open"), F.lit(0).alias("size"), F.lit("").alias("last"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc, r):
-        extra = F.when(acc["last"] == "", 0).otherwise(F.length(X.join_separator(acc["last"], r["text"])))
-        size = F.when(acc["size"] == 0, F.length(r["text"])).when(r["text"] == "", acc["size"]).otherwise(acc["size"] + extra + F.length(r["text"]))
-        joins = acc["open"] & r["joinable"] & (acc["grp"] == r["group_id"]) & (size <= most)
-        no = acc["no"] + F.when(joins, 0).otherwise(1)
-        return F.struct(no.alias("no"), r["group_id"].cast("int").alias("grp"), F.when(joins, True).otherwise(r["joinable"]).alias("open"), F.when(joins, size).otherwise(F.length(r["text"])).alias("size"), F.when(joins & (r["text"] == ""), acc["last"]).otherwise(F.substring(r["text"], -1, 1)).alias("last"), F.concat(acc["out"], F.array(no)).alias("out"))
+    # What joining with the nearest text before would put between; only read where that is in the same unit.
+    before = F.last(F.when(F.col("text") != "", F.substring("text", -1, 1)), ignorenulls=True).over(Window.partitionBy(doc).orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1))
+    sized = blocks.withColumn("_before", before).withColumn("_length", F.coalesce(F.length("text"), F.lit(0))).withColumn("_gap", F.coalesce(F.length(X.join_separator(F.col("_before"), F.col("text"))), F.lit(0))).drop("_before")
+
+    def run(groups: list[int], joins: list[bool], lengths: list[int], gaps: list[int]) -> list[int]:
+        out, no, group, open_, size, said = [], -1, None, False, 0, False
+        for g, joinable_, n, gap in zip(groups, joins, lengths, gaps, strict=True):
+            longer = n if not size else size if not n else size + (gap if said else 0) + n
+            if open_ and joinable_ and group is not None and g == group and longer <= most:
+                size, said = longer, said or n > 0
+            else:
+                no, group, open_, size, said = no + 1, g, joinable_, n, n > 0
+            out.append(no)
+        return out
 
-    units = F.aggregate("rows", state, step, lambda s: s["out"])
-    flat = packed.select(doc, F.explode(F.arrays_zip(F.col("rows.block_id").alias("block_id"), units.alias("unit_no")))).select(doc, "col.block_id", "col.unit_no")
-    return blocks.join(flat, [doc, "block_id"])
+    return numbered(sized, [doc], ["block_id"], ["group_id", "joinable", "_length", "_gap"], "unit_no", run).drop("_length", "_gap")
 
 
 def cluster_rows(items: DataFrame, keys: list[str], tolerance: float = 4.5) -> DataFrame:
     """Adds row_id: items by vertical centre; a new row where the centre is further than the tolerance
     from that of the row's FIRST item."""
-    centred = items.withColumn("_c", (F.col("y0") + F.col("y1")) / 2)
-    packed = sorted_rows(centred, keys, ["_c", "item_no"], [])
-    state = F.struct(F.lit(-1).alias("no"), F.lit(-1e300).alias("anchor"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc, r):
-        fresh = r["_c"] - acc["anchor"] > tolerance
-        no = acc["no"] + F.when(fresh, 1).otherwise(0)
-        return F.struct(no.alias("no"), F.when(fresh, r["_c"]).otherwise(acc["anchor"]).alias("anchor"), F.concat(acc["out"], F.array(no)).alias("out"))
+    def run(centres: list[float]) -> list[int]:
+        out, no, anchor = [], -1, None
+        for c in centres:
+            if anchor is None or c - anchor > tolerance:
+                no, anchor = no + 1, c
+            out.append(no)
+        return out
 
-    rows = F.aggregate("rows", state, step, lambda s: s["out"])
-    flat = packed.select(*keys, F.explode(F.arrays_zip(F.col("rows.item_no").alias("item_no"), rows.alias("row_id")))).select(*keys, "col.item_no", "col.row_id")
-    return items.join(flat, [*keys, "item_no"])
+    return numbered(items.withColumn("_c", (F.col("y0") + F.col("y1")) / 2), keys, ["_c", "item_no"], ["_c"], "row_id", run).drop("_c")
 
 
 def merge_labels(cells: DataFrame, keys: list[str], gap: float = 20.0) -> DataFrame:
@@ -212,138 +232,130 @@ def chat_window(messages: DataFrame, conv: str = "conv_id", cap: int = 24) -> Da
     return rows.where(F.col("_i") >= F.col("_from")).select(*messages.columns)
 
 
-# -- page-wise groupings with state: pandas, one page (a bounded set of rows) a call -------------------------
+# -- groupings of a page's boxes: lists of coordinates in, one number for each box out -----------------------
 
 
-def reading_order(items: list[dict]) -> list[int]:
-    """Positions of boxes in reading order, column by column. Boxes far wider than the median that span most of
+def reading_places(x0: list[float], y0: list[float], x1: list[float]) -> list[int]:
+    """Each box's place in reading order, column by column. Boxes far wider than the median that span most of
     the page stay out of the columns; only boxes aligned with a column's left edge widen it."""
-    n = len(items)
-    rows = lambda ids: sorted(ids, key=lambda i: (round(items[i]["y0"], 1), items[i]["x0"]))
-    if n < 2:
-        return list(range(n))
-    widths = sorted(b["x1"] - b["x0"] for b in items)
-    median = (widths[(n - 1) // 2] + widths[n // 2]) / 2
-    if median <= 0:
-        return rows(range(n))
-    extent = max(b["x1"] for b in items) - min(b["x0"] for b in items)
-    wide = max(1.5 * median, 0.75 * extent)
-    narrow = sorted((i for i in range(n) if items[i]["x1"] - items[i]["x0"] <= wide), key=lambda i: items[i]["x0"])
-    columns: list[dict] = []
-    for i in narrow:
-        b = items[i]
-        home = next((c for c in columns if b["x0"] < c["right"] - 2.0), None)
-        if home is None:
-            columns.append({"ids": [i], "left": b["x0"], "right": b["x1"]})
-            continue
-        home["ids"].append(i)
-        home["left"] = min(home["left"], b["x0"])
-        if b["x0"] - home["left"] <= max(12.0, 0.06 * extent):
-            home["right"] = max(home["right"], b["x1"])
-    if len(columns) <= 1:
-        return rows(range(n))
-    middle = [i for c in columns for i in rows(c["ids"])]
-    across = [i for i in range(n) if items[i]["x1"] - items[i]["x0"] > wide]
-    top = items[middle[0]]["y0"]
-    return rows(i for i in across if items[i]["y0"] < top) + middle + rows(i for i in across if items[i]["y0"] >= top)
-
-
-def breaks(base: dict, prev: dict, cur: dict) -> bool:
-    """Whether a line starts a new paragraph: it moves up, changes style against the paragraph's first line, is
-    an entry, leaves a gap, or stands beside the line before it or in another column."""
-    apart = lambda slack: cur["x0"] > prev["x1"] + slack or prev["x0"] > cur["x1"] + slack
-    jump = abs((cur["x0"] + cur["x1"]) - (prev["x0"] + prev["x1"])) / 2
-    return bool(
-        cur["y0"] < prev["y0"] - 1.0
-        or abs(cur["size"] - base["size"]) > 0.6
-        or cur["bold"] != base["bold"]
-        or cur["color"] != base["color"]
-        or cur["entry"]
-        or cur["y0"] - prev["y1"] > 1.1 * base["size"]
-        or (abs(cur["y0"] - prev["y0"]) <= max(1.0, 0.4 * base["size"]) and apart(1.0))
-        or (jump > max(24.0, 0.55 * (prev["x1"] - prev["x0"])) and apart(-1.0))
-    )
-
-
-def cluster_columns(items: list[dict], slack: float = 4.0) -> list[int]:
+    n = len(x0)
+    rows = lambda ids: sorted(ids, key=lambda i: (round(y0[i], 1), x0[i]))
+    widths = [b - a for a, b in zip(x0, x1, strict=True)]
+    spread = sorted(widths)
+    median = (spread[(n - 1) // 2] + spread[n // 2]) / 2 if n else 0
+    order = None
+    if n > 1 and median > 0:
+        extent = max(x1) - min(x0)
+        wide = max(1.5 * median, 0.75 * extent)
+        columns: list[list[int]] = []
+        left: list[float] = []
+        right: list[float] = []
+        for i in sorted((i for i in range(n) if widths[i] <= wide), key=x0.__getitem__):
+            home = next((c for c, end in enumerate(right) if x0[i] < end - 2.0), None)
+            if home is None:
+                columns.append([i])
+                left.append(x0[i])
+                right.append(x1[i])
+                continue
+            columns[home].append(i)
+            left[home] = min(left[home], x0[i])
+            if x0[i] - left[home] <= max(12.0, 0.06 * extent):
+                right[home] = max(right[home], x1[i])
+        if len(columns) > 1:
+            middle = [i for c in columns for i in rows(c)]
+            across = [i for i in range(n) if widths[i] > wide]
+            top = y0[middle[0]]
+            order = rows(i for i in across if y0[i] < top) + middle + rows(i for i in across if y0[i] >= top)
+    place = [0] * n
+    for k, i in enumerate(rows(range(n)) if order is None else order):
+        place[i] = k
+    return place
+
+
+def paragraphs(read: list[int], x0: list[float], y0: list[float], x1: list[float], y1: list[float], size: list[float], bold: list[bool], color: list[int], entry: list[bool]) -> list[int]:
+    """Paragraph number of each line. A line starts a new paragraph if it moves up, changes style against the
+    paragraph's first line, is an entry, leaves a gap, or stands beside the line before it or in another column."""
+    out, no, base, prev = [0] * len(read), -1, None, None
+
+    def breaks(i: int) -> bool:
+        apart = lambda slack: x0[i] > x1[prev] + slack or x0[prev] > x1[i] + slack
+        jump = abs((x0[i] + x1[i]) - (x0[prev] + x1[prev])) / 2
+        restyled = abs(size[i] - size[base]) > 0.6 or bold[i] != bold[base] or color[i] != color[base]
+        beside = abs(y0[i] - y0[prev]) <= max(1.0, 0.4 * size[base]) and apart(1.0)
+        elsewhere = jump > max(24.0, 0.55 * (x1[prev] - x0[prev])) and apart(-1.0)
+        return bool(entry[i]) or restyled or y0[i] < y0[prev] - 1.0 or y0[i] - y1[prev] > 1.1 * size[base] or beside or elsewhere
+
+    for i in sorted(range(len(read)), key=read.__getitem__):
+        if base is None or breaks(i):
+            no, base = no + 1, i
+        prev, out[i] = i, no
+    return out
+
+
+def column_numbers(x0: list[float], x1: list[float], slack: float = 4.0) -> list[int]:
     """Column number of each item by overlapping x ranges, left to right; items wider than one and a half times
     the median go to the column nearest to their centre afterwards."""
-    n = len(items)
-    widths = sorted(b["x1"] - b["x0"] for b in items)
-    median = (widths[(n - 1) // 2] + widths[n // 2]) / 2 if n else 0
+    n = len(x0)
+    widths = [b - a for a, b in zip(x0, x1, strict=True)]
+    spread = sorted(widths)
+    median = (spread[(n - 1) // 2] + spread[n // 2]) / 2 if n else 0
     if n < 2 or median <= 0:
         return [0] * n
     columns: list[list[int]] = []
     right: list[float] = []
-    for i in sorted((i for i in range(n) if items[i]["x1"] - items[i]["x0"] <= 1.5 * median), key=lambda i: items[i]["x0"]):
-        home = next((c for c in range(len(columns)) if items[i]["x0"] < right[c] - slack), None)
+    for i in sorted((i for i in range(n) if widths[i] <= 1.5 * median), key=x0.__getitem__):
+        home = next((c for c, end in enumerate(right) if x0[i] < end - slack), None)
         if home is None:
             columns.append([i])
-            right.append(items[i]["x1"])
+            right.append(x1[i])
         else:
             columns[home].append(i)
-            right[home] = max(right[home], items[i]["x1"])
-    columns.sort(key=lambda c: min(items[i]["x0"] for i in c))
-    out = [0] * n
+            right[home] = max(right[home], x1[i])
+    columns.sort(key=lambda c: min(x0[i] for i in c))
+    out: list[int | None] = [None] * n
     for no, c in enumerate(columns):
         for i in c:
             out[i] = no
-    edges = [(min(items[i]["x0"] for i in c), max(items[i]["x1"] for i in c)) for c in columns]
-    placed = {i for c in columns for i in c}
+    edges = [(min(x0[i] for i in c), max(x1[i] for i in c)) for c in columns]
     for i in range(n):
-        if i not in placed:
-            middle = (items[i]["x0"] + items[i]["x1"]) / 2
+        if out[i] is None:
+            middle = (x0[i] + x1[i]) / 2
             away = [0.0 if a <= middle <= b else min(abs(middle - a), abs(middle - b)) for a, b in edges]
             out[i] = away.index(min(away))
             a, b = edges[out[i]]
-            edges[out[i]] = (min(a, items[i]["x0"]), max(b, items[i]["x1"]))
+            edges[out[i]] = (min(a, x0[i]), max(b, x1[i]))
     return out
 
 
-def _by_page(rows: DataFrame, keys: list[str], add: str, run) -> DataFrame:
-    """Adds an int column that run() gives for the rows of each page (a list of dicts, by line or item number). A page
-    is one array, so that an Arrow batch carries many pages."""
-    order = "line_no" if "line_no" in rows.columns else "item_no"
-    packed = sorted_rows(rows, keys, [order], [c for c in rows.columns if c not in keys])
-    schema = T.StructType([*packed.schema.fields, T.StructField("_numbers", T.ArrayType(T.IntegerType()))])
+def reading_order(items: list[dict]) -> list[int]:
+    """Positions of boxes (x0, y0, x1) in reading order."""
+    place = reading_places(*[[b[c] for b in items] for c in ("x0", "y0", "x1")])
+    return sorted(range(len(items)), key=place.__getitem__)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbers = pa.array([run(page) for page in batch.column(len(keys)).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, numbers], [*batch.schema.names, "_numbers"])
 
-    flat = packed.mapInArrow(each, schema).select(*keys, F.explode(F.arrays_zip("rows", F.col("_numbers").alias("n"))).alias("z"))
-    return flat.select(*[F.col(c) if c in keys else F.col(f"z.rows.{c}") for c in rows.columns], F.col("z.n").alias(add))
+def cluster_columns(items: list[dict]) -> list[int]:
+    """column_numbers() of boxes (x0, x1)."""
+    return column_numbers(*[[b[c] for b in items] for c in ("x0", "x1")])
 
 
-def with_reading_order(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds read_no, from 0 per page."""
+def _ordinal(rows: DataFrame) -> list[str]:
+    return ["line_no" if "line_no" in rows.columns else "item_no"]
 
-    def run(items: list[dict]) -> list[int]:
-        place = {i: k for k, i in enumerate(reading_order(items))}
-        return [place[i] for i in range(len(items))]
 
-    return _by_page(lines, keys, "read_no", run)
+def with_reading_order(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds read_no, from 0 per page."""
+    return numbered(lines, keys, _ordinal(lines), ["x0", "y0", "x1"], "read_no", reading_places)
 
 
 def with_paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Adds para_no, from 0 per page, to lines that have read_no."""
-
-    def run(items: list[dict]) -> list[int]:
-        order = sorted(range(len(items)), key=lambda i: items[i]["read_no"])
-        out, no, base, prev = [0] * len(items), -1, None, None
-        for i in order:
-            if base is None or breaks(base, prev, items[i]):
-                no, base = no + 1, items[i]
-            prev, out[i] = items[i], no
-        return out
-
-    return _by_page(lines.withColumn("entry", X.is_entry(F.col("text"))), keys, "para_no", run).drop("entry")
+    marked = lines.withColumn("entry", X.is_entry(F.col("text")))
+    return numbered(marked, keys, _ordinal(lines), ["read_no", *LINE, "size", "bold", "color", "entry"], "para_no", paragraphs).drop("entry")
 
 
 def with_columns(items: DataFrame, keys: list[str]) -> DataFrame:
     """Adds col_id, from 0 per page, left to right."""
-    return _by_page(items, keys, "col_id", cluster_columns)
+    return numbered(items, keys, _ordinal(items), ["x0", "x1"], "col_id", column_numbers)
 
 
 def paragraph_blocks(lines: DataFrame, keys: list[str]) -> DataFrame:

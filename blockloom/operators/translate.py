@@ -56,10 +56,10 @@ def call(fn: Translate, texts: list[str], lang: str, glossary: dict[str, str]) -
     return call(fn, texts[:middle], lang, glossary) + call(fn, texts[middle:], lang, glossary)
 
 
-def translate_todo(todo: DataFrame, fn: Translate, lang: str, glossary: dict[str, str] | None = None, budget: int = 4000, most: int = 25, groups: int = 64) -> DataFrame:
-    """(block_hash, text, error) for distinct texts (block_hash, text). Texts are dealt into groups by hash; within a
-    group batches keep to a budget. Groups bound both memory and the number of parallel calls."""
-    dealt = todo.withColumn("_group", F.pmod(F.xxhash64("block_hash"), F.lit(groups)))
+def translate_todo(todo: DataFrame, fn: Translate, lang: str, glossary: dict[str, str] | None = None, budget: int = 4000, most: int = 25, groups: int = 64, group_rows: int = 10_000) -> DataFrame:
+    """(block_hash, text, error) for distinct texts (block_hash, text). Texts are dealt into groups by hash, `groups` of
+    them or as many more as keep a group at about `group_rows`; within a group batches keep to a budget."""
+    dealt = todo.withColumn("_group", F.pmod(F.xxhash64("block_hash"), F.lit(max(groups, -(-todo.count() // group_rows)))))
     batched = greedy_batches(dealt, ["_group"], "block_hash", F.length("text") + 6, budget, most)
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:

@@ -13,6 +13,7 @@ from blockloom.operators import joins as J
 from blockloom.operators import layout as L
 from blockloom.operators import replies as R
 from blockloom.operators import sequence as S
+from blockloom.operators import translate
 from blockloom.plans import flows as P
 from blockloom.schema import BLOCK, with_defaults
 from blockloom.sources import ingest as I
@@ -239,3 +240,30 @@ def test_streaming_twins(spark, tmp_path):
     last = {r.k: r.steps for r in spark.sql("select k, max(steps) as steps from budget group by k").collect()}
     assert last == {0: 10, 1: 10, 2: 10}
     assert op_budget(spark.createDataFrame(rows, "seq long, k long, text string"), "k", ["seq"], 4).where("allowed").count() == 12
+
+
+def test_large_groups_take_linear_time(spark):
+    """One document of 60,000 lines, and one page of as many boxes."""
+    import time
+
+    rows = spark.range(60_000).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("block_id"), F.col("id").cast("int").alias("item_no"), F.lit("some text of a line").alias("text"), F.lit(1).alias("group_id"), F.lit(True).alias("joinable"), (F.col("id") * 10.0).alias("y0"), (F.col("id") * 10.0 + 8).alias("y1"))
+    began = time.time()
+    assert S.request_batches(rows).agg(F.max("batch_no")).first()[0] == 60_000 // 25 - 1
+    assert S.prose_units(rows).agg(F.max("unit_no")).first()[0] == -(-60_000 // 120) - 1
+    assert S.cluster_rows(rows, ["doc_id"]).agg(F.max("row_id")).first()[0] == 59_999
+    assert time.time() - began < 60
+
+
+def test_glossary_by_automaton_and_by_join(spark):
+    docs = spark.createDataFrame([(1, "the net interest margin rose in the quarter", "a margin"), (2, "net", "x"), (3, None, "y"), (4, "", "z"), (5, "interest margin, the net interest margin", "die Zinsspanne")], "doc_id int, text string, target string")
+    terms = spark.createDataFrame([("net interest margin", "Zinsspanne"), ("net", "netto"), ("interest margin, the net interest", "q"), ("", "q"), ("quarter", ""), ("absent", "q"), ("net", "netto")], "source string, target string")
+    want = {(1, "net interest margin", "Zinsspanne"), (1, "net", "netto"), (2, "net", "netto"), (5, "net", "netto"), (5, "interest margin, the net interest", "q")}
+    for most in (1 << 20, 0):
+        got = J.glossary_missing(docs, terms, most=most).collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_translation_groups_follow_the_rows(spark):
+    todo = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("block_hash"), F.concat(F.lit("text "), "id").alias("text"))
+    seen = translate.translate_todo(todo, translate.echo, "en", groups=2, group_rows=50)
+    assert seen.count() == 500 and seen.where("error is not null").count() == 0
