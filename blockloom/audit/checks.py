@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from blockloom.functions import numbers as N
 from blockloom.functions import text as X
-from blockloom.operators.aggregates import count_if, sign_diff
-from blockloom.operators.joins import gap_below
+from blockloom.operators.aggregates import count_if, entity_anchor, sign_diff
+from blockloom.operators.joins import colliding_spans, credited_blocks, gap_below, glossary_missing, missing_blocks, pair_pages
 
 CHECKS = ["layout", "residual", "missing", "numbers", "table"]
 FINDING = ["check", "kind", "detail"]
@@ -178,6 +178,87 @@ def page_count_findings(source: DataFrame, target: DataFrame, doc: list[str]) ->
     return both.withColumn("kind", kind).where("kind is not null")
 
 
+def paired_texts(source: DataFrame, target: DataFrame, doc: list[str], ranges: DataFrame | None = None) -> DataFrame:
+    """Source pages (text) with the texts of their target pages, continuation pages included, as `target`."""
+    pairs = pair_pages(source, target, ranges, doc)
+    t = target.select(*doc, F.col("page_no").alias("target_page"), F.col("text").alias("_t"))
+    texts = pairs.join(t, [*doc, "target_page"]).groupBy(*doc, "page_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("target_page", "_t"))), lambda x: x["_t"]), "\n").alias("target"))
+    return source.join(texts, [*doc, "page_no"])
+
+
+DOCUMENT_CHECKS = ["page_count", "numeric", "residual", "sections", "style", "entity", "glossary", "signs"]
+
+
+def document_check(source: DataFrame, target: DataFrame, doc: list[str], ranges: DataFrame | None = None, glossary: DataFrame | None = None, cjk_target: bool = False) -> DataFrame:
+    """All checks of translated documents in one table: doc, page_no (null: of the whole document), check, n. source and
+    target: doc, page_no, text; source may have ocr_text, which stands for pages without a text layer. ranges: the page map.
+    n counts what is wrong: values, ideographs, headings that differ, styles, foreign words, terms, fatal signs."""
+    pages = paired_texts(source, target, doc, ranges)
+    keys = [*doc, "page_no"]
+    none = F.lit(None).cast(source.schema["page_no"].dataType)
+    row = lambda d, check, n: d.select(*doc, (F.col("page_no") if "page_no" in d.columns else none).alias("page_no"), F.lit(check).alias("check"), n.cast("long").alias("n"))
+    numeric = numeric_findings(pages, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # What needs a page alone is read in one pass.
+    s, t = N.section_numbers(F.col("text")), N.section_numbers(F.col("target"))
+    left = F.lit(0) if cjk_target else X.cjk_residual(F.col("target"))
+    alone = pages.select(*keys, X.is_scan_like(F.col("text")).alias("scan"), s.alias("s"), t.alias("t"), left.alias("left"))
+    differs = ~F.col("scan") & (F.size("s") > 0) & ~F.col("s.value").eqNullSafe(F.col("t.value"))
+    made = lambda when, check, n: F.when(when, F.struct(F.lit(check).alias("check"), n.cast("long").alias("n")))
+    found = F.filter(F.array(made(F.col("left") > 0, "residual", F.col("left")), made(differs, "sections", F.greatest(F.size("s"), F.size("t")))), lambda x: x.isNotNull())
+    single = alone.select(*keys, F.explode(found).alias("f")).select(*keys, "f.check", "f.n")
+    parts = [row(page_count_findings(source, target, doc), "page_count", F.abs(F.col("target_pages") - F.col("source_pages"))), row(numeric, "numeric", F.col("n")), single, row(style_findings(pages.where(~X.is_scan_like(F.col("text"))), doc), "style", F.size("styles"))]
+    whole = pages.withColumn("source", F.concat_ws("\n", "text", "ocr_text")) if "ocr_text" in source.columns else pages.withColumn("source", F.col("text"))
+    parts.append(row(entity_anchor(whole, doc), "entity", F.size("foreign")))
+    if "ocr_text" in source.columns:
+        signs = scanned_signs(pages, keys).where("severity = 'fatal'").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(row(signs, "signs", F.col("n")))
+    if glossary is not None:
+        joined = pages.groupBy(*doc).agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", F.col(c).alias("t")))), lambda x: x["t"]), "\n").alias(c) for c in ("text", "target")])
+        terms = glossary_missing(joined, glossary, doc[0]).groupBy(doc[0]).agg(F.count(F.lit(1)).alias("n"))
+        parts.append(row(terms, "glossary", F.col("n")))
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def extra_pages(target: DataFrame, pairs: DataFrame, doc: list[str]) -> DataFrame:
+    """Target pages that no source page is paired with."""
+    visited = pairs.select(*doc, F.col("target_page").alias("page_no")).distinct()
+    return target.select(*doc, "page_no").distinct().join(visited, [*doc, "page_no"], "left_anti")
+
+
+def page_size_findings(source: DataFrame, target: DataFrame, pairs: DataFrame, doc: list[str], most: float = 1.0) -> DataFrame:
+    """Pairs of pages whose width or height differ by more than a point."""
+    s = source.select(*doc, "page_no", F.col("width").alias("_w"), F.col("height").alias("_h"))
+    t = target.select(*doc, F.col("page_no").alias("target_page"), "width", "height")
+    both = pairs.join(s, [*doc, "page_no"]).join(t, [*doc, "target_page"])
+    return both.where((F.abs(F.col("width") - F.col("_w")) > most) | (F.abs(F.col("height") - F.col("_h")) > most)).select(*doc, "page_no", "target_page")
+
+
+def layout_check(source: DataFrame, target: DataFrame, spans: DataFrame, blocks: DataFrame, rules: DataFrame, doc: list[str], ranges: DataFrame | None = None) -> DataFrame:
+    """All layout checks of translated documents in one table: doc, page_no (of the target), check, item (span, block or
+    target page). source, target: pages with width and height; spans: drawn spans of target pages (span_no, box,
+    size, page_x0, page_x1, page_y1, source_ink); blocks: source blocks (block_id, text, box, floor); rules: printed rules of
+    target pages. Blocks of pages that continue on further ones aren't looked for."""
+    keys = [*doc, "page_no"]
+    pairs = pair_pages(source, target, ranges, doc)
+    row = lambda d, check, item: d.select(*doc, "page_no", F.lit(check).alias("check"), item.cast("long").alias("item"))
+    to_target = pairs.select(*doc, F.col("page_no").alias("source_page"), F.col("target_page").alias("page_no"))
+    own = blocks.withColumnRenamed("page_no", "source_page").join(to_target, [*doc, "source_page"]).drop("source_page")
+    credited = credited_blocks(spans, own, keys)
+    single = pairs.groupBy(*doc, "page_no").agg(F.count(F.lit(1)).alias("k"), F.min("target_page").alias("target_page")).where("k = 1").select(*doc, F.col("target_page").alias("page_no"))
+    lost = missing_blocks(own.join(single, keys, "left_semi"), credited, keys)
+    parts = [
+        row(colliding_spans(spans, keys), "overlap", F.col("a_no")), row(off_page(spans, keys), "off_page", F.col("span_no")), row(rule_crossings(spans, rules, keys), "rule", F.col("span_no")), row(too_small_spans(spans, credited, own, keys), "small", F.col("span_no")),
+        row(lost, "missing", F.col("block_id")), row(page_size_findings(source, target, pairs, doc).select(*doc, F.col("target_page").alias("page_no")), "page_size", F.col("page_no")), row(extra_pages(target, pairs, doc), "extra_page", F.col("page_no")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def off_page(spans: DataFrame, keys: list[str], margin: float = 1.0) -> DataFrame:
     """Spans beyond the left, right or bottom edge of their page (page_x0, page_x1, page_y1)."""
     return spans.where((F.col("x0") < F.col("page_x0") - margin) | (F.col("x1") > F.col("page_x1") + margin) | (F.col("y1") > F.col("page_y1") + margin)).select(*keys, "span_no")

@@ -239,3 +239,20 @@ def grouping_statistics(blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
 def judge_mean(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Mean page score, each within 0 to 100 and a failed one (null) 0."""
     return scores.groupBy(*keys).agg(F.avg(F.when(F.col("score").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("score"))))).alias("score"))
+
+
+def plan_summary(pages: DataFrame, blocks: DataFrame, doc: list[str], each: int = 3, width: int = 60, budget: int = 6000) -> DataFrame:
+    """What a model sees of a document when it plans: a line for its size and kinds of pages, then one per page with its kind, blocks
+    and the first texts; pages that aren't normal come first. The text is cut at the budget. pages: page_no, kind."""
+    clean = X.clean_space(F.col("text"))
+    first = blocks.select(*doc, "page_no", "block_id", clean.alias("t"))
+    rank = F.row_number().over(Window.partitionBy(*doc, "page_no", F.col("t") == "").orderBy("block_id"))
+    own = first.withColumn("_n", rank).groupBy(*doc, "page_no").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.when((F.col("t") != "") & (F.col("_n") <= each), F.struct("block_id", F.substring("t", 1, width).alias("t"))))).alias("x"))
+    rows = pages.select(*doc, "page_no", "kind").join(own, [*doc, "page_no"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    texts = F.array_join(F.transform("x", lambda r: r["t"]), " / ")
+    line = F.concat(F.lit("page "), (F.col("page_no") + 1).cast("string"), F.lit(" ["), "kind", F.lit("] "), F.col("n").cast("string"), F.lit(" blocks"), F.when(F.size("x") > 0, F.concat(F.lit(": "), texts)).otherwise(""))
+    kinds = [F.concat(F.lit(f" {k}="), count_if(F.col("kind") == k).cast("string")) for k in ("normal", "scan", "chart", "uncertain")]
+    head = F.concat(F.lit("pages="), F.count(F.lit(1)).cast("string"), F.lit(" blocks="), F.sum("n").cast("string"), *kinds)
+    lines = F.array_sort(F.collect_list(F.struct((F.col("kind") == "normal").alias("normal"), "page_no", line.alias("t"))))
+    out = rows.groupBy(*doc).agg(F.concat(head, F.lit("\n"), F.array_join(F.transform(lines, lambda r: r["t"]), "\n")).alias("text"))
+    return out.select(*doc, F.when(F.length("text") > budget, F.concat(F.substring("text", 1, budget), F.lit("\n…"))).otherwise(F.col("text")).alias("text"))

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions import geometry as G
-from blockloom.functions.text import clean_space
+from blockloom.functions.numbers import is_numeric_cell
+from blockloom.functions.text import clean_space, needs_translation
 
 
 def with_translation(blocks: DataFrame, translations: DataFrame, keys: list[str], name: str = "target") -> DataFrame:
@@ -237,3 +238,22 @@ def apply_decisions(blocks: DataFrame, decisions: DataFrame, doc: str = "doc_id"
     out = blocks.join(d, [doc, "block_id"], "left")
     out = out.withColumn("keep_original", F.col("keep_original") | F.coalesce(F.col("_action") == "keep", F.lit(False))).withColumn("released", F.coalesce(F.col("_action") == "translate", F.lit(False))).drop("_action")
     return out, decisions.join(blocks.select(doc, "block_id"), [doc, "block_id"], "left_anti")
+
+
+def pick_translatable(asked: DataFrame, blocks: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Blocks asked for (doc, pos, block_id) that may be translated again: each once, in the order first asked; they exist, have something to
+    translate and are no figure. Result: doc, block_id, rank from 0."""
+    first = asked.groupBy(doc, "block_id").agg(F.min("pos").alias("pos"))
+    real = blocks.where(needs_translation(F.col("text")) & ~is_numeric_cell(F.col("text"))).select(doc, "block_id")
+    kept = first.join(real, [doc, "block_id"], "left_semi")
+    return kept.select(doc, "block_id", (F.row_number().over(Window.partitionBy(doc).orderBy("pos", "block_id")) - 1).alias("rank"))
+
+
+def policy_candidates(blocks: DataFrame, doc: str = "doc_id", per_page: int = 6, most: int = 120) -> DataFrame:
+    """Blocks on offer to a policy, in document order: the first `per_page` of a page and `most` of a document. blocks: page_no,
+    block_id, text, role, ocr, in_table. Figures' texts and scanned blocks outside of tables are in doubt; formulas and figures (numbers) never are."""
+    doubt = ((F.col("role") == "figure") | (F.col("ocr") & ~F.col("in_table"))) & (F.col("role") != "formula")
+    open_ = blocks.where(doubt & needs_translation(F.col("text")) & ~is_numeric_cell(F.col("text")))
+    page = F.row_number().over(Window.partitionBy(doc, "page_no").orderBy("block_id"))
+    few = open_.withColumn("page_rank", page).where(F.col("page_rank") <= per_page)
+    return few.withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy("block_id"))).where(F.col("rank") <= most).drop("page_rank")

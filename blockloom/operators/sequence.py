@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.functions import numbers as N
 from blockloom.functions import text as X
 from blockloom.functions.geometry import upper_median
 
@@ -149,6 +150,75 @@ def prose_split(rows: DataFrame, keys: list[str]) -> DataFrame:
     return marked.withColumn("in_table", F.col("_first").isNull() | inside).drop("_first", "_last")
 
 
+def cell_texts(runs: DataFrame, keys: list[str], slack: float = 1.0) -> DataFrame:
+    """One row per cell (keys, row, col) from its runs (line_no order; text, box): runs of one visual line (tops within
+    `slack` of the line's first run) are joined by a space, lines by a line break. lines counts the visual lines."""
+    cell = [*keys, "row", "col"]
+
+    def lines(tops: list[float]) -> list[int]:
+        out, no, at = [], -1, None
+        for y in tops:
+            if at is None or abs(y - at) > slack:
+                no, at = no + 1, y
+            out.append(no)
+        return out
+
+    placed = numbered(runs, cell, ["line_no"], ["y0"], "_line", lines)
+    line = placed.groupBy(*cell, "_line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda r: r["text"]), " ").alias("t"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    body = F.array_sort(F.collect_list(F.struct("_line", "t")))
+    return line.groupBy(*cell).agg(F.array_join(F.transform(body, lambda r: r["t"]), "\n").alias("text"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count(F.lit(1)).alias("lines"))
+
+
+def ocr_grid(items: DataFrame, keys: list[str], least: int = 4, tolerance: float = 4.5) -> DataFrame:
+    """The grid of scanned cells (item_no, text, box) of pages without a ruled table: row_id, col_id and the rectangle of every
+    row and column. A page is a table with `least` cells, two rows, two columns and a column of figures."""
+    placed = with_columns(cluster_rows(items, keys, tolerance), keys)
+    figure = N.is_numeric_cell(F.col("text"))
+    column = placed.groupBy(*keys, "col_id").agg(F.count(F.lit(1)).alias("n"), F.sum(figure.cast("int")).alias("f"), F.bool_or(figure & N.is_strong_figure(F.col("text"))).alias("strong"), F.min("x0").alias("x0"), F.max("x1").alias("x1"))
+    column = column.withColumn("numeric", (F.col("f") >= F.greatest(F.lit(1), F.floor(F.col("n") * 0.5))) & F.col("strong"))
+    row = placed.groupBy(*keys, "row_id").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    shape = column.groupBy(*keys).agg(F.sum("n").alias("cells"), F.count(F.lit(1)).alias("cols"), F.bool_or("numeric").alias("numeric")).join(row.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")), keys)
+    tables = shape.where((F.col("cells") >= least) & (F.col("rows") >= 2) & (F.col("cols") >= 2) & F.col("numeric")).select(*keys)
+    return tables.join(row, keys).join(column.select(*keys, "col_id", "x0", "x1"), keys).select(*keys, "row_id", "col_id", "x0", "y0", "x1", "y1")
+
+
+def continuation_pages(elements: DataFrame, keys: list[str], height: float, margin: float = 36.0, most_gap: float = 24.0) -> DataFrame:
+    """Places of elements that moved off a page, on continuation pages of the same height: page (from 0), y and repeated (height
+    of the table's header rows drawn before it). elements: ordinal, kind ("row" or "prose"), table_no, is_header, height,
+    orig_y0, orig_y1, head (height of its table's header). A row is never cut; prose that doesn't fit begins a page and runs on over as many as it
+    needs; the first body row of a table on a page repeats its header."""
+    limit = height - margin
+
+    def run(kinds: list[str], tables: list[int], headers: list[bool], heights: list[float], tops: list[float], ends: list[float], heads: list[float]) -> list[list[float]]:
+        out, page, y, shown, last = [], -1, limit, set(), None
+        for kind, table, header, h, top, end, head in zip(kinds, tables, headers, heights, tops, ends, heads, strict=True):
+            fresh = page < 0 or y <= margin
+            lead = head if kind == "row" and not header and table not in shown else 0.0
+            gap = 0.0 if kind == "row" or last is None or fresh else min(most_gap, max(0.0, top - last))
+            if page < 0 or (y + lead + gap + h > limit and y > margin + 0.01):
+                page, y, shown, gap = page + 1, margin, set(), 0.0
+                lead = head if kind == "row" and not header else 0.0
+            out.append([float(page), y + gap + lead, lead])
+            y += gap + lead + h
+            if kind == "row":
+                shown.add(table)
+            while kind != "row" and y > limit + 0.01:  # the rest of a paragraph goes on
+                page, y = page + 1, margin + y - limit
+            last = end
+        return out
+
+    packed = sorted_rows(elements, keys, ["ordinal"], [c for c in elements.columns if c not in keys])
+    names = ["kind", "table_no", "is_header", "height", "orig_y0", "orig_y1", "head"]
+
+    def each(*lists: pa.Array) -> pa.Array:
+        columns = [x.to_pylist() for x in lists]
+        return pa.array([run(*page) for page in zip(*columns, strict=True)], pa.list_(pa.list_(pa.float64())))
+
+    placed = packed.withColumn("_p", F.arrow_udf(each, "array<array<double>>")(*[F.col(f"rows.{c}") for c in names]))
+    flat = placed.select(*keys, F.explode(F.arrays_zip("rows", F.col("_p").alias("p"))).alias("z"))
+    return flat.select(*[F.col(c) if c in keys else F.col(f"z.rows.{c}") for c in elements.columns], F.col("z.p")[0].cast("int").alias("page"), F.col("z.p")[1].alias("y"), F.col("z.p")[2].alias("repeated"))
+
+
 def row_bands(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(row_id, top, bottom) from each row's extent y0..y1: the boundary between two rows is the middle of
     their centres; the outer edges are the outer rows' own."""

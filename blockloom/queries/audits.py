@@ -199,12 +199,6 @@ def judges(spark, d):
     return judge_mean(s, ["doc"]).withColumn("score", F.round("score", 6))
 
 
-@query("page_residual", f"WITH {PAIRS} SELECT doc_id, page_no, sum(length(target) - length(regexp_replace(target, '[一-鿿]', '', 'g')))::INTEGER AS residual FROM pairs GROUP BY ALL HAVING sum(length(target) - length(regexp_replace(target, '[一-鿿]', '', 'g'))) > 0")
-def page_residual(spark, d):
-    pages = _pairs(spark, d).groupBy(*K).agg(F.array_join(F.array_sort(F.collect_list("target")), "\n").alias("target"))
-    return C.page_residual(pages, K)
-
-
 @query("section_check", "SELECT l_orderkey AS page_no FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 3 = 0")
 def section_check(spark, d):
     """First lines of orders as numbered headings; every third target has another number."""

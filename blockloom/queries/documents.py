@@ -100,11 +100,12 @@ def ngram_terms(spark, d):
     return A.ngram_terms(_blocks(spark, d), ["doc_id"], run="[a-z]{2,}", edge="[0-9]", numerals="^[0-9]+$")
 
 
-_CACHE = "SELECT md5(text) AS block_hash, any_value(lower(text)) AS text FROM blocks WHERE doc_id % 3 = 0 GROUP BY md5(text)"
+_CACHE = "SELECT md5(text) AS block_hash, any_value(lower(text)) AS text FROM blocks WHERE length(text) % 3 = 0 GROUP BY md5(text)"
 
 
 def _cache(blocks):
-    return blocks.where("doc_id % 3 = 0").groupBy(F.md5("text").alias("block_hash")).agg(F.first(F.lower("text")).alias("text"))
+    """Blocks whose length is a multiple of three have been translated before."""
+    return blocks.where("length(text) % 3 = 0").groupBy(F.md5("text").alias("block_hash")).agg(F.first(F.lower("text")).alias("text"))
 
 
 @query("cache_todo", f"WITH {BLOCKS}, cache AS ({_CACHE}) SELECT md5(text) AS block_hash, any_value(text) AS text FROM blocks WHERE md5(text) NOT IN (SELECT block_hash FROM cache) GROUP BY md5(text)")
@@ -119,10 +120,10 @@ def cache_fill(spark, d):
     return J.cache_fill(b.withColumn("block_hash", F.md5("text")), _cache(b), F.col("block_id") % 5 == 0).select("doc_id", "block_id", "target")
 
 
-@query("cache_seed", f"WITH {BLOCKS}, cache AS ({_CACHE}), fresh AS (SELECT md5(text) AS block_hash, arg_max('y ' || text, doc_id * 1000000 + block_id) AS text FROM blocks WHERE doc_id % 4 = 1 GROUP BY md5(text)) SELECT * FROM fresh UNION ALL SELECT * FROM cache ANTI JOIN fresh USING (block_hash)")
+@query("cache_seed", f"WITH {BLOCKS}, cache AS ({_CACHE}), fresh AS (SELECT md5(text) AS block_hash, arg_max('y ' || text, doc_id * 1000000 + block_id) AS text FROM blocks WHERE length(text) % 4 <> 1 GROUP BY md5(text)) SELECT * FROM fresh UNION ALL SELECT * FROM cache ANTI JOIN fresh USING (block_hash)")
 def cache_seed(spark, d):
     b = _blocks(spark, d)
-    pieces = b.where("doc_id % 4 = 1").select("text", F.concat(F.lit("y "), "text").alias("target"), (F.col("doc_id") * 1000000 + F.col("block_id")).alias("block_id"))
+    pieces = b.where("length(text) % 4 <> 1").select("text", F.concat(F.lit("y "), "text").alias("target"), (F.col("doc_id") * 1000000 + F.col("block_id")).alias("block_id"))
     return K.seed_cache(_cache(b), pieces)
 
 
@@ -226,21 +227,20 @@ def neighbour_context(spark, d):
 @query(
     "policy_candidates",
     f"""WITH {BLOCKS},
-    offered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY block_id) AS n FROM blocks WHERE regexp_matches(text, '\\p{{L}}') AND block_id % 4 = 1 AND NOT {_FORMULA})
-    SELECT doc_id, page_no, block_id, text, n AS rank FROM offered WHERE n <= 6""",
+    offered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY block_id) AS n FROM blocks WHERE regexp_matches(text, '\\p{{L}}') AND length(text) % 3 <> 0 AND NOT (length(text) % 3 = 1 AND length(text) % 5 = 0) AND NOT {_FORMULA}),
+    few AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_id) AS rank FROM offered WHERE n <= 6)
+    SELECT doc_id, page_no, block_id, text, rank FROM few WHERE rank <= 20""",
 )
 def policy_candidates(spark, d):
-    """Blocks on offer to a policy: the first six of a page (every 4th block stands for scanned text)."""
-    from pyspark.sql import Window
+    """Blocks on offer to a policy: six of a page, 20 of a document. A block's length says whether it is scanned, a cell or in a figure."""
+    n = F.length("text")
+    own = _blocks(spark, d).withColumn("ocr", n % 3 == 1).withColumn("in_table", n % 5 == 0).withColumn("role", F.when(n % 3 == 2, "figure").otherwise("text"))
+    return J.policy_candidates(own, most=20).select("doc_id", "page_no", "block_id", "text", F.col("rank").cast("long").alias("rank"))
 
-    own = _blocks(spark, d).where(X.needs_translation(F.col("text")) & ~N.is_numeric_cell(F.col("text")) & (F.col("block_id") % 4 == 1))
-    n = F.row_number().over(Window.partitionBy("doc_id", "page_no").orderBy("block_id"))
-    return own.withColumn("rank", n.cast("long")).where("rank <= 6").select("doc_id", "page_no", "block_id", "text", "rank")
 
-
-@query("glossary_missing", "WITH g AS (SELECT DISTINCT text[1:12] AS term, upper(text[1:12]) AS required FROM benchmark WHERE text <> '') SELECT doc_id, term, required FROM documents JOIN g ON contains(text, term) AND NOT contains(lower(text), required)")
+@query("glossary_missing", "WITH g AS (SELECT DISTINCT trim(text) AS term, upper(trim(text)) AS required FROM benchmark WHERE trim(text) <> '') SELECT doc_id, term, required FROM documents JOIN g ON contains(text, term) AND NOT contains(lower(text), required)")
 def glossary_missing(spark, d):
-    g = T.read(spark, d, "benchmark").where("text <> ''").select(F.substring("text", 1, 12).alias("source")).distinct().withColumn("target", F.upper("source"))
+    g = T.read(spark, d, "benchmark").select(F.trim("text").alias("source")).where("source <> ''").distinct().withColumn("target", F.upper("source"))
     return J.glossary_missing(T.read(spark, d, "documents").select("doc_id", "text", F.lower("text").alias("target")), g)
 
 

@@ -82,8 +82,8 @@ def cjk_residual(spark, d):
 _FRACTION = f"WITH {PH}, pages AS (SELECT id // 4 AS page_no, string_agg(text, chr(10) ORDER BY id) AS target FROM ph GROUP BY 1)"
 
 
-@query("phrase_page_residual", f"{_FRACTION} SELECT * FROM (SELECT page_no, coalesce(list_sum(list_transform(regexp_extract_all(target, '[一-鿿0-9A-Za-z\\-－（）()、]+'), lambda r: CASE WHEN {_CODE} THEN 0 ELSE length(r) - length(regexp_replace(r, '[一-鿿]', '', 'g')) END)), 0)::INTEGER AS residual FROM pages) WHERE residual > 0")
-def phrase_page_residual(spark, d):
+@query("page_residual", f"{_FRACTION} SELECT * FROM (SELECT page_no, coalesce(list_sum(list_transform(regexp_extract_all(target, '[一-鿿0-9A-Za-z\\-－（）()、]+'), lambda r: CASE WHEN {_CODE} THEN 0 ELSE length(r) - length(regexp_replace(r, '[一-鿿]', '', 'g')) END)), 0)::INTEGER AS residual FROM pages) WHERE residual > 0")
+def page_residual(spark, d):
     pages = _phrases(spark, d).groupBy(F.floor(F.col("id") / 4).cast("long").alias("page_no")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), "\n").alias("target"))
     return C.page_residual(pages, ["page_no"])
 
