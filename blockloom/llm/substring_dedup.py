@@ -2,13 +2,14 @@
 
 A window is `span` consecutive words. Every batch of texts is turned into immutable runs: per hash
 range, the sorted distinct 128-bit fingerprints of its windows, each with a flag for "more than once
-in the batch". The runs of a range, old ones and new ones, are merge-joined; a fingerprint that two
-runs hold, or that one run flags, is repeated, and the answer goes back to each batch as one bit per
-fingerprint. compacted() merges the runs of a range into one, so that FingerprintIndex can take
-in further batches. Verification uses the second, independent half of the fingerprint: the first half
-sorts and finds, both must agree.
-
-Within one table not every window has to travel. The least hash among the `anchor`-word grams of a
+in the batch". FingerprintIndex.judge() merge-joins the runs of a range, the new ones with each other and with
+the compacted ones of earlier tables; a fingerprint that two runs hold, or that one run flags, is
+repeated, and the answer goes back to each batch as one bit per fingerprint. take() compacts the runs of a
+range and those before them into one, so that the index can judge further tables. A fingerprint's first half is made of the
+hashes of words: it sorts and finds. Its second half verifies: it is a hash of the words' bytes
+themselves, joined by one space, and doesn't depend on the first. Both must agree.
+
+Within a table not every window has to travel. The least hash among the `anchor`-word grams of a
 window (its anchor, about one word in ten is one) is the same wherever the window stands, so a first,
 ten times smaller merge join of anchors finds the windows that can be repeated at all, and only texts
 and windows with a repeated anchor go on.
@@ -111,7 +112,14 @@ class Batch:
         return g[at], at
 
     def fingerprints(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return grams(self.h, self.span)[windows], grams(mixed(self.h + _MIX1), self.span)[windows]
+        """The hash of the words' hashes, and the hash of the words' bytes."""
+        words = [w for ws in self.words for w in ws]
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        until = np.cumsum(size)
+        first, end = (until - size)[windows].tolist(), (until[windows + self.span - 1] - 1).tolist()
+        joined = memoryview(b" ".join(words))
+        own = np.fromiter((xxhash.xxh3_64_intdigest(joined[a:b]) for a, b in zip(first, end, strict=True)), np.uint64, len(windows))
+        return grams(self.h, self.span)[windows], own
 
 
 def sorted_runs(first: np.ndarray, second: np.ndarray | None, buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -174,10 +182,10 @@ def compacted(runs: DataFrame, width: int) -> DataFrame:
 
 
 def cut(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[tuple[int, pa.Table, list[bytes]]]:
-    """(batch number, rows, texts) of about `size` bytes of text in column 1; one text at least."""
+    """(batch number, rows, texts) of about `size` bytes of text in column 2; one text at least."""
     part, k = TaskContext.get().partitionId(), 0
     for batch in batches:
-        texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+        texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(2).to_pylist()]
         at, held = 0, 0
         for i, t in enumerate(texts):
             held += len(t)
@@ -186,44 +194,44 @@ def cut(batches: Iterator[pa.RecordBatch], size: int = BATCH_BYTES) -> Iterator[
                 at, held, k = i + 1, 0, k + 1
 
 
-ANCHORS = "kind int, batch long, bucket long, keys binary, many binary, key_of binary, doc_of binary, n_words binary, sha256 binary"
-_ANCHORS = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int64()), *[(n, pa.binary()) for n in ("keys", "many", "key_of", "doc_of", "n_words", "sha256")]])
+ANCHORS = "kind int, batch long, bucket long, keys binary, many binary, key_of binary, row_of binary, ids array<long>, n_words binary, sha256 binary"
+_ANCHORS = pa.schema([("kind", pa.int32()), ("batch", pa.int64()), ("bucket", pa.int64()), *[(n, pa.binary()) for n in ("keys", "many", "key_of", "row_of")], ("ids", pa.list_(pa.int64())), ("n_words", pa.binary()), ("sha256", pa.binary())])
 
 
 def anchor_runs(span: int, anchor: int, buckets: int):
-    """kind 0: a batch's documents with word counts and digests of all words; kind 1: a run."""
+    """From rows (row, doc_id, text). kind 0: a batch's rows with word counts and digests of all words; kind 1: a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for number, rows, texts in cut(batches):
             b = Batch(texts, hashes, span)
-            ids = np.array(rows.column(0).to_numpy(zero_copy_only=False), np.int64)
-            out = [{"kind": 0, "batch": number, "doc_of": ids.tobytes(), "n_words": (b.ends - b.starts).tobytes(), "sha256": b"".join(hashlib.sha256(b" ".join(w)).digest() for w in b.words)}]
+            names = np.array(rows.column(0).to_numpy(zero_copy_only=False), np.int64)
+            out = [{"kind": 0, "batch": number, "row_of": names.tobytes(), "ids": rows.column(1).to_pylist(), "n_words": (b.ends - b.starts).tobytes(), "sha256": b"".join(hashlib.sha256(b" ".join(w)).digest() for w in b.words)}]
             found, at = b.anchors(anchor)
             at, where = np.unique(at, return_index=True)
             found, doc = found[where], b.doc[at]
             for bucket, keys, many, (row, key) in sorted_runs(found, None, buckets):
                 pair = np.unique(np.stack([key, doc[row]]), axis=1)
-                out.append({"kind": 1, "batch": number, "bucket": bucket, "keys": keys.tobytes(), "many": many.astype(np.uint8).tobytes(), "key_of": pair[0].astype(np.uint32).tobytes(), "doc_of": ids[pair[1]].tobytes()})
+                out.append({"kind": 1, "batch": number, "bucket": bucket, "keys": keys.tobytes(), "many": many.astype(np.uint8).tobytes(), "key_of": pair[0].astype(np.uint32).tobytes(), "row_of": names[pair[1]].tobytes()})
             yield pa.RecordBatch.from_pylist(out, _ANCHORS)
 
     return run
 
 
 def repeated_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, its repeated anchors) from runs with their answers."""
+    """(row, its repeated anchors) from runs with their answers."""
     for batch in batches:
-        ids, data = [], []
-        for keys, key_of, doc_of, mask in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            keys, key_of, doc_of = np.frombuffer(keys, np.uint64), np.frombuffer(key_of, np.uint32), np.frombuffer(doc_of, np.int64)
+        names, data = [], []
+        for keys, key_of, row_of, mask in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            keys, key_of, row_of = np.frombuffer(keys, np.uint64), np.frombuffer(key_of, np.uint32), np.frombuffer(row_of, np.int64)
             hit = np.unpackbits(np.frombuffer(mask, np.uint8), count=len(keys)).astype(bool)[key_of]
-            order = np.argsort(doc_of[hit], kind="stable")
-            own, docs = keys[key_of[hit]][order], doc_of[hit][order]
-            for part in np.split(np.arange(len(docs)), np.flatnonzero(docs[1:] != docs[:-1]) + 1):
+            order = np.argsort(row_of[hit], kind="stable")
+            own, rows = keys[key_of[hit]][order], row_of[hit][order]
+            for part in np.split(np.arange(len(rows)), np.flatnonzero(rows[1:] != rows[:-1]) + 1):
                 if len(part):
-                    ids.append(int(docs[part[0]]))
+                    names.append(int(rows[part[0]]))
                     data.append(own[part].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["doc", "anchors"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(data, pa.binary())], ["row", "anchors"])
 
 
 GROUPS = "batch long, ids array<long>, texts array<binary>, anchors binary"
@@ -233,8 +241,8 @@ _GROUPS = pa.schema([("batch", pa.int64()), ("ids", pa.list_(pa.int64())), ("tex
 def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a batch: its ids, texts and the union of its texts' repeated anchors."""
     for number, rows, texts in cut(batches):
-        anchors = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for a in rows.column(2).to_pylist() for x in a])) if rows.num_columns > 2 else None
-        yield pa.RecordBatch.from_pylist([{"batch": number, "ids": rows.column(0).to_pylist(), "texts": texts, "anchors": None if anchors is None else anchors.tobytes()}], _GROUPS)
+        anchors = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for a in rows.column(3).to_pylist() for x in a])) if rows.num_columns > 3 else None
+        yield pa.RecordBatch.from_pylist([{"batch": number, "ids": rows.column(1).to_pylist(), "texts": texts, "anchors": None if anchors is None else anchors.tobytes()}], _GROUPS)
 
 
 def chosen(b: Batch, anchors: bytes | None, anchor: int) -> np.ndarray:
@@ -288,65 +296,90 @@ def remover(span: int, anchor: int, buckets: int, with_text: bool):
 
 
 def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each text of kind 0."""
     for batch in batches:
-        for doc_of, n_words, digests in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            n = len(n_words) // 8
-            yield pa.RecordBatch.from_pydict({"row": list(np.frombuffer(doc_of, np.int64)), "n_words": list(np.frombuffer(n_words, np.int64)), "sha": [digests[32 * i : 32 * i + 32].hex() for i in range(n)]}, pa.schema([("row", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string())]))
+        for row_of, ids, n_words, digests in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row_of, np.int64)), pa.array(ids, pa.int64()), pa.array(np.frombuffer(n_words, np.int64)), pa.array([digests[at : at + 32].hex() for at in range(0, len(digests), 32)], pa.string())], ["row", "doc_id", "n_words", "kept_sha256"])
 
 
-def ranges(total: int | None, each: int) -> int:
-    return max(16, -(-(total or 0) // each))
+def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, kept): all words of a text."""
+    for batch in batches:
+        kept = [b" ".join((t or "").encode("utf-8", "surrogatepass").split()) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([len(k.split()) for k in kept], pa.int64()), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())], ["doc_id", "n_words", "kept", "kept_sha256"])
 
 
-def substring_dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256 (see the module)."""
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    total = texts.agg(F.sum(F.octet_length("text"))).first()[0]
-    first = stored(texts.select(F.coalesce("doc_id", F.lit(NO_ID)), "text").mapInArrow(anchor_runs(span, anchor, ranges(total, ANCHOR_RANGE)), ANCHORS), "anchor-runs")
-    runs = first.where("kind = 1").drop("kind", "n_words", "sha256")
-    answers = stored(merge_join(runs.select("batch", "bucket", "keys", "many"), 1), "anchor-answers")
-    hits = runs.join(answers, ["batch", "bucket"]).select("keys", "key_of", "doc_of", "mask").mapInArrow(repeated_of, "doc long, anchors binary")
-    hits = stored(hits.groupBy("doc").agg(F.collect_list("anchors").alias("anchors")), "anchor-hits")
-    moved = texts.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text").join(hits, "doc")
-    groups = stored(moved.select("doc", F.coalesce("text", F.lit("")), "anchors").mapInArrow(grouped, GROUPS), "groups")
-    buckets = ranges(total, WINDOW_RANGE)
-    windows = groups.select("batch", "texts", "anchors").mapInArrow(window_runs(span, anchor, buckets), RUN)
-    bits = stored(merge_join(windows, 2), "window-answers")
-    per_batch = bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "mask")).alias("answers"))
-    changed = groups.join(per_batch, "batch", "left").select("ids", "texts", "anchors", "answers").mapInArrow(remover(span, anchor, buckets, False), KEPT)
-    changed = changed.select("doc_id", "n_words", "n_removed", "kept_sha256")
-    rest = first.where("kind = 0").select("doc_of", "n_words", "sha256").mapInArrow(untouched, "row long, n_words long, sha string")
-    rest = rest.join(hits.select(F.col("doc").alias("row")), "row", "left_anti").select(F.col("row").alias("doc_id"), "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
-    out = changed.unionByName(rest)
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
-
-
-#: Stands for a null id inside this module.
-NO_ID = -(1 << 63)
+def ranges(total: int | None, each: int) -> int:
+    return max(16, -(-(total or 0) // each))
 
 
 class FingerprintIndex:
-    """Incremental use: add() judges a batch against all earlier ones and itself, then takes it in."""
+    """Incremental use: add() judges a table against all earlier ones and itself, then takes it in. total: bytes of
+    text that it is to hold, by which the number of hash ranges is set, once and for all."""
+
+    def __init__(self, spark: SparkSession, span: int = SPAN, anchor: int = ANCHOR, total: int = 0):
+        self.spark, self.span, self.anchor = spark, span, anchor
+        self.anchor_ranges, self.window_ranges = ranges(total, ANCHOR_RANGE), ranges(total, WINDOW_RANGE)
+        self.anchors: DataFrame | None = None
+        self.windows: DataFrame | None = None
+
+    def _rows(self, docs: DataFrame) -> DataFrame:
+        """(row, doc_id, text); row tells rows apart that differ in id or text."""
+        return pick(docs, "doc_id", "text").select(F.xxhash64("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def _anchor_runs(self, texts: DataFrame) -> DataFrame:
+        return stored(texts.mapInArrow(anchor_runs(self.span, self.anchor, self.anchor_ranges), ANCHORS), "anchor-runs")
+
+    def _judged(self, texts: DataFrame, first: DataFrame, with_text: bool) -> DataFrame:
+        runs = first.where("kind = 1").select("batch", "bucket", "keys", "many", "key_of", "row_of")
+        answers = stored(merge_join(runs.select("batch", "bucket", "keys", "many"), 1, self.anchors), "anchor-answers")
+        hits = runs.join(answers, ["batch", "bucket"]).select("keys", "key_of", "row_of", "mask").mapInArrow(repeated_of, "row long, anchors binary")
+        # A row's anchors come in one piece for each range; those of rows that are the same are the same.
+        hits = stored(hits.groupBy("row").agg(F.collect_set("anchors").alias("anchors")), "anchor-hits")
+        groups = stored(texts.join(hits, "row").select("row", "doc_id", "text", "anchors").mapInArrow(grouped, GROUPS), "groups")
+        windows = groups.select("batch", "texts", "anchors").mapInArrow(window_runs(self.span, self.anchor, self.window_ranges), RUN)
+        bits = stored(merge_join(windows, 2, self.windows), "window-answers")
+        per_batch = bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "mask")).alias("answers"))
+        changed = groups.join(per_batch, "batch", "left").select("ids", "texts", "anchors", "answers").mapInArrow(remover(self.span, self.anchor, self.window_ranges, with_text), KEPT)
+        names = hits.select("row")
+        if with_text:
+            rest = texts.join(names, "row", "left_anti").select("row", "doc_id", "text").mapInArrow(whole, "doc_id long, n_words long, kept binary, kept_sha256 string")
+        else:
+            rest = first.where("kind = 0").select("row_of", "ids", "n_words", "sha256").mapInArrow(untouched, "row long, doc_id long, n_words long, kept_sha256 string")
+            rest = rest.join(names, "row", "left_anti").withColumn("kept", F.lit(None).cast("binary"))
+        return changed.unionByName(rest.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept", "kept_sha256"))
+
+    def judge(self, docs: DataFrame, with_text: bool = True) -> DataFrame:
+        """doc_id, n_words, n_removed, kept (the words that stay, UTF-8; null without with_text), kept_sha256."""
+        bounded_batches(self.spark)
+        texts = self._rows(docs)
+        return self._judged(texts, self._anchor_runs(texts), with_text)
 
-    def __init__(self, spark: SparkSession, span: int = SPAN, buckets: int = 64):
-        self.spark, self.span, self.buckets = spark, span, buckets
-        self.runs: DataFrame | None = None
+    def take(self, docs: DataFrame) -> None:
+        """Takes a table in: its runs, of all its windows, and the compacted ones become one run per range."""
+        bounded_batches(self.spark)
+        texts = self._rows(docs)
+        groups = texts.mapInArrow(grouped, GROUPS).select("batch", "texts", "anchors")
+        new = {"anchors": (self._anchor_runs(texts).where("kind = 1").select("batch", "bucket", "keys", "many"), 1), "windows": (groups.mapInArrow(window_runs(self.span, self.anchor, self.window_ranges), RUN), 2)}
+        for name, (runs, width) in new.items():
+            old = getattr(self, name)
+            setattr(self, name, stored(compacted(runs if old is None else runs.unionByName(old), width), f"index-{name}"))
+            if old is not None:
+                discard(old)
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """doc_id, n_words, n_removed, kept (the words that stay, UTF-8), kept_sha256."""
-        bounded_batches(self.spark)
-        texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        groups = stored(texts.mapInArrow(grouped, GROUPS), "index-groups")
-        new = stored(groups.select("batch", "texts", "anchors").mapInArrow(window_runs(self.span, ANCHOR, self.buckets), RUN), "index-runs")
-        bits = stored(merge_join(new, 2, self.runs), "index-answers")
-        old, every = self.runs, new if self.runs is None else new.unionByName(self.runs)
-        self.runs = stored(compacted(every, 2), "index-compacted")
-        for gone in [new] if old is None else [new, old]:
-            discard(gone)
-        per_batch = bits.groupBy("batch").agg(F.collect_list(F.struct("bucket", "mask")).alias("answers"))
-        return groups.join(per_batch, "batch", "left").select("ids", "texts", "anchors", "answers").mapInArrow(remover(self.span, ANCHOR, self.buckets, True), KEPT)
+        """judge(), then take()."""
+        out = stored(self.judge(docs), "index-judged")
+        self.take(docs)
+        return out
+
+
+def substring_dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 (see the module): one table, judged by an index
+    without history."""
+    total = pick(docs, "text").agg(F.sum(F.octet_length("text"))).first()[0]
+    out = FingerprintIndex(docs.sparkSession, span, anchor, total or 0).judge(docs, with_text=False)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
