@@ -1,10 +1,13 @@
 """Exact dedup by a log-structured merge index of text digests.
 
 Every task fills a memtable with (digest -> ids); a full memtable is flushed as one immutable run,
-sorted by digest, together with a Bloom filter over its digests. Compaction merges the sorted runs
-of a digest range into one run and keeps, for each digest, the smallest (or largest) identifier and
-the number of rows. Digests seen more than once are hits, and hits are verified byte by byte: the
-texts themselves are grouped, so two texts that only share a digest are never taken as equal.
+sorted by digest. Compaction merges the sorted runs digest range by digest range into one run a range and
+keeps, for each digest, the smallest and the largest identifier and the number of rows. Digests seen more than
+once are hits. Bloom filters over them, in blocks of RANGE_WORDS and of a size that follows their number, are
+consulted for every row before its text goes on, and what passes is verified byte by byte: the
+texts themselves are grouped, so two texts that only share a digest are never taken as equal. Where the
+filters would be larger than FILTER_WORDS, rows meet the hits in a join instead.
+DigestIndex.seen() asks the filters of every level in the same way before it looks a digest up.
 
 Defined results: null text counts as empty text; empty texts are equal to each other; a null id
 never stays while its group has another id; rows that repeat both id and text share one fate;
@@ -15,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,40 +27,20 @@ from blockloom.llm.shared import pick, rows_literal, stored
 
 #: Rows of a memtable before it is flushed; bounds the memory of a task.
 MEMTABLE_ROWS = 1 << 17
-#: 64-bit words of the filter over hit digests. It is the same size for any input: as it fills up
-#: it lets more rows through to the verification, and results stay the same.
-FILTER_WORDS = 1 << 14
+#: 64-bit words that the filters over hit digests may have together (at BITS bits a hit), to be sent to every task.
+FILTER_WORDS, BITS = 1 << 18, 16
+#: Words of one filter.
+RANGE_WORDS = 1 << 10
 #: A digest that more than 1/HEAVY of all rows share is heavy: there are fewer than HEAVY of them.
 HEAVY = 1000
 
 RUN_SCHEMA = "run long, digest binary, low long, high long, n long"
-FILTER_SCHEMA = "run long, first binary, last binary, n long, bits binary"
 
 
 def sha256_of(text: Column) -> Column:
     return F.unhex(F.sha2(text, 256))
 
 
-def bloom(digests: list[bytes], bits_per_key: int = 10) -> bytes:
-    """A Bloom filter (3 probes taken from the digest itself) of bits_per_key bits a digest."""
-    size = max(64, len(digests) * bits_per_key)
-    bits = np.zeros(-(-size // 8) * 8, bool)
-    for k in probes(digests, len(bits)):
-        bits[k] = True
-    return np.packbits(bits).tobytes()
-
-
-def probes(digests: list[bytes], size: int) -> list[np.ndarray]:
-    words = np.array([np.frombuffer(d[:24].ljust(24, b"\0"), "<u8") for d in digests], np.uint64).reshape(-1, 3)
-    return [(words[:, i] % np.uint64(size)).astype(np.int64) for i in range(3)]
-
-
-def may_hold(bits: bytes, digests: list[bytes]) -> np.ndarray:
-    """For each digest, whether the filter may hold it; False is certain."""
-    flags = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-    return np.logical_and.reduce([flags[k] for k in probes(digests, len(flags))]) if digests else np.zeros(0, bool)
-
-
 def memtables(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
     """Sorted runs (digest, low, high, n) of at most `limit` input rows each."""
     held: list[pa.RecordBatch] = []
@@ -105,53 +87,50 @@ class DigestIndex:
         every = self.levels[0]
         for more in self.levels[1:]:
             every = every.unionByName(more)
-        merged = every.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
+        # Equal digests are neighbours in their range: the aggregation needs no other exchange.
+        ranges = every.repartitionByRange("digest").sortWithinPartitions("digest")
+        merged = ranges.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
         merged = stored(merged.sortWithinPartitions("digest").withColumn("run", F.spark_partition_id().cast("long")).select("run", "digest", "low", "high", "n"), "digest-level")
         self.levels = [merged]
         return merged
 
-    def filters(self) -> DataFrame:
-        """One Bloom filter per run and memtable-sized block of it."""
-        limit = self.memtable_rows
-
-        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                run, digests = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                cuts = [0, *[i for i in range(1, len(run)) if run[i] != run[i - 1]], len(run)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    for x in range(a, b, limit):
-                        block = digests[x : min(b, x + limit)]
-                        yield pa.RecordBatch.from_pydict({"run": [run[a]], "first": [min(block)], "last": [max(block)], "n": [len(block)], "bits": [bloom(block)]}, pa.schema([("run", pa.int64()), ("first", pa.binary()), ("last", pa.binary()), ("n", pa.int64()), ("bits", pa.binary())]))
-
-        out = None
-        for level in self.levels:
-            made = level.select("run", "digest").mapInArrow(build, FILTER_SCHEMA)
-            out = made if out is None else out.unionByName(made)
-        return out
-
     def seen(self, digests: DataFrame) -> DataFrame:
         """The index rows (digest, low, high, n) of the batch's digests that some run holds."""
-        wanted = pick(digests, "digest").distinct()
-        out = None
+        wanted, out = pick(digests, "digest").distinct(), None
         for level in self.levels:
-            made = level.join(wanted, "digest", "left_semi").select("digest", "low", "high", "n")
+            made = level.join(may_be_in(wanted, level), "digest", "left_semi").select("digest", "low", "high", "n")
             out = made if out is None else out.unionByName(made)
         return out.groupBy("digest").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
 
 
-def hit_filter(hits: DataFrame, words: int = FILTER_WORDS) -> Callable[[Column], Column]:
-    """A test, made of built-in functions, that every hit digest passes and few others do. The
-    filter is `words` 64-bit words whatever the number of hits."""
+def run_filters(digests: DataFrame, words: int, ranges: int) -> Callable[[Column], Column]:
+    """A test, made of built-in functions, that every one of the digests passes and few others do: a hash of the
+    digest says in which of `ranges` filters of `words` 64-bit words it is looked up."""
     size = words * 64
-    slots = lambda d: [F.pmod(F.xxhash64(d, F.lit(i)), F.lit(size)) for i in (1, 2)]
-    at = hits.select(F.explode(F.array(*slots(F.col("digest")))).alias("b"))
-    at = at.groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
-    table = [0] * words
-    for w, v in at.collect():  # at most `words` rows
-        table[w] = v
-    held = F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>")
-    bit = lambda b: F.element_at(held, (b / 64).cast("int") + 1).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)).cast("int"))) != 0
-    return lambda d: bit(slots(d)[0]) & bit(slots(d)[1])
+
+    def slots(d: Column) -> list[Column]:
+        own = F.pmod(F.xxhash64(d), F.lit(ranges)) * size
+        return [(own + F.pmod(F.xxhash64(d, F.lit(i)), F.lit(size))).cast("long") for i in (1, 2, 3)]
+
+    at = digests.select(F.explode(F.array(*slots(F.col("digest")))).alias("b"))
+    at = at.groupBy(F.shiftright("b", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("v"))
+    every = digests.sparkSession.range(words * ranges).join(at, F.col("id") == F.col("w"), "left").select("id", F.coalesce("v", F.lit(0)).alias("v"))
+    # One row, of a bounded size, that goes to the tasks as a literal of the plan.
+    held = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "v"))), lambda x: x["v"]).alias("words")).scalar()
+    bit = lambda b: F.get(held, F.shiftright(b, 6).cast("int")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(64)).cast("int"))) != 0
+    return lambda d: bit(slots(d)[0]) & bit(slots(d)[1]) & bit(slots(d)[2])
+
+
+def may_be_in(rows: DataFrame, run: DataFrame, most: int = FILTER_WORDS) -> DataFrame:
+    """The rows (with a column digest) that the run (distinct digests) holds, and a few others: those that its
+    filters let pass, or, if these would be larger than `most` words, those that it holds by a join."""
+    held = run.select("digest")
+    bits = BITS * held.count()
+    if bits > 64 * most:
+        return rows.join(held, "digest", "left_semi")
+    ranges = -(-max(bits, 64) // (64 * RANGE_WORDS))
+    words = min(RANGE_WORDS, -(-max(bits, 64) // 64))
+    return rows.where(run_filters(held, words, ranges)(F.col("digest")))
 
 
 def exact_dedup(docs: DataFrame, keep: str = "smallest", digest: Callable[[Column], Column] = sha256_of, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
@@ -172,8 +151,7 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", digest: Callable[[Colum
 
     # Verification: the bytes of all texts with a hit digest are grouped; equal texts meet already
     # within each task, so a hot group sends one row a task.
-    passes = hit_filter(hits)
-    read = withdig.where(passes(F.col("digest")))
+    read = may_be_in(withdig, hits)
     classes = read.groupBy("digest", "text").agg(F.lit(1).alias("one"))
     clashes = stored(classes.groupBy("digest").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("digest"), "clashes")
     clash = bool(clashes.take(1))
