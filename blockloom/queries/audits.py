@@ -12,7 +12,8 @@ from blockloom.operators import layout as L
 from blockloom.operators import replies as R
 from blockloom.operators.aggregates import judge_mean, page_progress
 from blockloom.queries.documents import _FORMULA
-from blockloom.queries.registry import BLOCKS, PAIRS, query
+from blockloom.queries.phrases import chosen, chosen_sql
+from blockloom.queries.registry import BLOCKS, PAIRS, query, signature_sql
 from blockloom.sources import tables as T
 
 K = ["doc_id", "page_no"]
@@ -50,7 +51,12 @@ def missing(spark, d):
     return C.missing(_pairs(spark, d), K).select(*K, "block_id")
 
 
-@query("number_check", None)
+_NUMBERS = f"""WITH {PAIRS}, open AS (SELECT * FROM pairs WHERE {_OPEN} AND trim(target) <> ''), a AS ({signature_sql("open", "doc_id, page_no, block_id", "text")}), b AS ({signature_sql("open", "doc_id, page_no, block_id", "target")}),
+    sums AS (SELECT doc_id, page_no, block_id, value, sum(x) AS x, sum(fx) AS fx, sum(y) AS y, sum(fy) AS fy FROM (SELECT doc_id, page_no, block_id, value, 1 AS x, figure::INTEGER AS fx, 0 AS y, 0 AS fy FROM a UNION ALL SELECT doc_id, page_no, block_id, value, 0, 0, 1, figure::INTEGER FROM b) GROUP BY ALL),
+    lost AS (SELECT doc_id, page_no, block_id, value, greatest(x - y, 0)::BIGINT AS missing, greatest(fy - fx, 0)::BIGINT AS extra FROM sums WHERE x > y OR fy > fx)"""
+
+
+@query("number_check", f"{_NUMBERS} SELECT * FROM lost")
 def number_check(spark, d):
     """Block values lost or made up."""
     return C.number_findings(_pairs(spark, d), K)
@@ -67,7 +73,17 @@ def progress(spark, d):
     return page_progress(rows, K)
 
 
-@query("audit_pages", None)
+@query(
+    "audit_pages",
+    f"""{_NUMBERS}, found AS (
+      SELECT doc_id, page_no, 'residual' AS c FROM pairs WHERE {_OPEN} AND (trim(target) = '' OR regexp_matches(target, '[一-鿿]{{2}}') OR regexp_matches(regexp_replace(target, '[元圆角分万亿年月日号个]', '', 'g'), '[一-鿿]'))
+      UNION ALL SELECT doc_id, page_no, 'missing' FROM pairs WHERE {_OPEN} AND trim(target) = ''
+      UNION ALL SELECT DISTINCT doc_id, page_no, 'numbers' || block_id FROM lost
+      UNION ALL SELECT doc_id, page_no, 'table' FROM pairs WHERE {_OPEN} GROUP BY ALL HAVING count(*) FILTER (WHERE trim(target) = '') > 0),
+    p AS (SELECT DISTINCT doc_id, page_no FROM pairs)
+    SELECT doc_id, page_no, 0::BIGINT AS layout, count(c) FILTER (WHERE c = 'residual') AS residual, count(c) FILTER (WHERE c = 'missing') AS missing, count(c) FILTER (WHERE c LIKE 'numbers%') AS numbers, count(c) FILTER (WHERE c = 'table') AS "table", count(c) AS issues, count(c) = 0 AS clean
+    FROM p LEFT JOIN found USING (doc_id, page_no) GROUP BY doc_id, page_no""",
+)
 def audit_pages(spark, d):
     """Findings of residual, missing, numbers and table per page."""
     rows = _pairs(spark, d)
@@ -149,47 +165,70 @@ def fitted_sizes(spark, d):
     return L.with_fit(boxes).select("page_no", "block_no", "fs", "n_lines", F.round("height", 4).alias("height"))
 
 
-_REPLIES = f"""WITH {BLOCKS}, b AS (SELECT doc_id, block_id // 5 AS batch, block_id, block_id % 5 AS k, text FROM blocks)"""
+#: Replies to requests for up to three blocks: whole, with a number twice, missing, out of range or blank, and without numbers.
+RAWS = [
+    "[[1]] first\n[[2]] second\n[[3]] third", "[[1]] a\n[[1]] b", "[[1]] a\n[[4]] d", "[[2]] b\n[[1]] a", "[[1]]\n[[2]] b", "one line", "one\ntwo\n\nthree", "", "   ", "noise before\n[[1]] a\nmore of a\n[[2]]  b  c", "[[1]] a", "[[1]] a\n[[2]] b", "in [[1]] text", "a\nb",
+]
+_RAW = f"""WITH c AS (SELECT c_custkey AS id, (c_custkey % 4)::INTEGER AS n, {chosen_sql(RAWS, "c_custkey")} AS raw FROM customer),
+    p AS (SELECT *, list_transform(regexp_extract_all(raw, '(?m)^\\s*\\[\\[(\\d{{1,9}})\\]\\]', 1), lambda x: x::INTEGER - 1) AS pos, list_transform(string_split_regex(raw, '(?m)^\\s*\\[\\[\\d{{1,9}}\\]\\]\\s*')[2:], lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS texts,
+                 list_filter(list_transform(string_split_regex(raw, '\\r\\n|\\n|\\r'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS lines FROM c)"""
 
 
-def _replies(spark, d):
-    """Replies of batches of five: complete, without one number, with one twice, or as plain lines."""
-    b = T.line_blocks(T.read(spark, d, "documents")).withColumn("batch", F.floor(F.col("block_id") / 5)).withColumn("k", F.col("block_id") % 5)
-    mode = (F.col("doc_id") + F.col("batch")) % 4
-    mark = F.concat(F.lit("[["), (F.col("k") + F.when((mode == 2) & (F.col("k") == 1), 0).otherwise(1)).cast("string"), F.lit("]] "))
-    line = F.when((mode == 1) & (F.col("k") == 1), "").when(mode == 3, X.clean_space(F.col("text"))).otherwise(F.concat(mark, F.col("text")))
-    return b.withColumn("mode", mode).groupBy("doc_id", "batch", "mode").agg(F.array_sort(F.collect_list(F.struct("k", line.alias("line"), "text"))).alias("r")).select("doc_id", "batch", "mode", F.size("r").alias("n"), F.array_join(F.filter("r.line", lambda x: x != ""), "\n").alias("raw"), F.col("r.text").alias("sources"))
+def _raws(spark, d):
+    k = F.col("c_custkey")
+    return T.read(spark, d, "customer").select(k.alias("id"), (k % 4).cast("int").alias("n"), chosen(RAWS, k).alias("raw"))
 
 
-@query("reply_protocol", f"{_REPLIES} SELECT doc_id, batch, count(*)::INTEGER AS n, CASE (doc_id + batch) % 4 WHEN 1 THEN CASE WHEN count(*) > 1 THEN 'incomplete' END WHEN 2 THEN CASE WHEN count(*) > 1 THEN 'duplicate' END END AS reason FROM b GROUP BY doc_id, batch")
+@query(
+    "reply_protocol",
+    f"""{_RAW} SELECT id, n, CASE WHEN len(pos) > 0 AND len(list_distinct(pos)) < len(pos) THEN 'duplicate' WHEN len(pos) > 0 AND list_sort(pos) <> range(n)::INTEGER[] THEN 'incomplete' WHEN len(pos) > 0 AND list_contains(texts, '') THEN 'empty'
+      WHEN len(pos) = 0 AND n = 1 AND trim(raw) = '' THEN 'blank' WHEN len(pos) = 0 AND n <> 1 AND len(lines) <> n THEN 'lines' END AS reason FROM p""",
+)
 def reply_protocol(spark, d):
-    rows = _replies(spark, d)
-    return rows.select("doc_id", "batch", "n", R.strict_reply(F.col("raw"), F.col("n"))[1].alias("reason"))
+    return _raws(spark, d).select("id", "n", R.strict_reply(F.col("raw"), F.col("n"))[1].alias("reason"))
 
 
-@query("reply_lenient", f"{_REPLIES} SELECT doc_id, batch, count(*)::INTEGER AS n FROM b GROUP BY doc_id, batch")
+@query(
+    "reply_lenient",
+    f"""{_RAW} SELECT id, array_to_string(CASE WHEN len(pos) > 0 THEN list_transform(range(n), lambda i: coalesce(list_filter(list_zip(pos, texts), lambda z: z[1] = i AND z[2] <> '')[1][2], 's' || i)) WHEN len(lines) = n THEN lines ELSE list_transform(range(n), lambda i: 's' || i) END, '|') AS texts FROM p""",
+)
 def reply_lenient(spark, d):
-    """Every batch gets as many texts as it asked for."""
-    rows = _replies(spark, d)
-    return rows.select("doc_id", "batch", F.size(R.lenient_reply(F.col("raw"), F.col("sources"))).alias("n"))
+    """The first text with a block's number, else its source."""
+    sources = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.concat(F.lit("s"), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    return _raws(spark, d).select("id", F.array_join(R.lenient_reply(F.col("raw"), sources), "|").alias("texts"))
+
 
+GRIDS = ['{"rows": [["a", "b"], ["c"]]}', 'Sure: {"rows": [[], ["x", "y", "z"], ["1"]]} ok', '{"rows": []}', "nothing", '{"rows": [["only"]]}', '{"rows": "no"}', '{"rows": [[]]}']
 
-@query("grid_parse", "SELECT l_orderkey, count(*)::INTEGER AS rows, max(l_linenumber)::INTEGER AS cols FROM lineitem GROUP BY l_orderkey")
+
+@query(
+    "grid_parse",
+    f"""WITH c AS (SELECT s_suppkey AS id, regexp_extract({chosen_sql(GRIDS, "s_suppkey")}, '(?s)\\{{.*\\}}') AS body FROM supplier), j AS (SELECT id, CASE WHEN json_valid(body) AND json_type(body, '$.rows') = 'ARRAY' THEN CAST(json_extract(body, '$.rows') AS VARCHAR[][]) END AS r FROM c),
+    w AS (SELECT *, list_max(list_transform(r, lambda x: len(x))) AS width FROM j)
+    SELECT id, CASE WHEN len(r) BETWEEN 1 AND 200 AND width BETWEEN 1 AND 40 THEN array_to_string(list_transform(r, lambda x: array_to_string(list_transform(range(1, width + 1), lambda i: coalesce(x[i], '')), ',')), ';') END AS grid FROM w""",
+)
 def grid_parse(spark, d):
     """Ragged grids in noisy replies, read and padded."""
-    li = T.read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("n"))
-    rows = F.transform("n", lambda k: F.transform(F.sequence(F.lit(1), k), lambda x: x.cast("string")))
-    raw = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(rows.alias("rows"))), F.lit("\n``` done"))
-    grid = R.table_grid(raw)
-    return li.select("l_orderkey", F.size(grid).alias("rows"), F.array_min(F.transform(grid, lambda r: F.size(r))).alias("cols"))
+    grid = R.table_grid(chosen(GRIDS, F.col("s_suppkey")))
+    return T.read(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array_join(F.transform(grid, lambda r: F.array_join(r, ",")), ";").alias("grid"))
+
+
+VERDICTS = ['Sure: {"release": [1, 2, 4.5], "keep": [2, 3, true, 99]}', '{"release": ["5", 0], "keep": []}', '{"keep": [1.0, -1]}', "no answer", '{"release": [1, 1, 3]}']
 
 
-@query("policy_decisions", f"WITH {BLOCKS}, o AS (SELECT doc_id, block_id FROM blocks WHERE block_id < 6) SELECT doc_id, block_id, CASE WHEN block_id IN (2, 3) THEN 'keep' ELSE 'translate' END AS action FROM o WHERE block_id IN (1, 2, 3)")
+@query(
+    "policy_decisions",
+    f"""WITH {BLOCKS}, v AS (SELECT doc_id, regexp_extract({chosen_sql(VERDICTS, "doc_id")}, '(?s)\\{{.*\\}}') AS body FROM documents), sides AS (
+      SELECT doc_id, unnest(CAST(json_extract(body, '$.release') AS JSON[])) AS x, 'translate' AS action, 0 AS k FROM v WHERE json_valid(body) AND json_type(body, '$.release') = 'ARRAY'
+      UNION ALL SELECT doc_id, unnest(CAST(json_extract(body, '$.keep') AS JSON[])), 'keep', 1 FROM v WHERE json_valid(body) AND json_type(body, '$.keep') = 'ARRAY'),
+    n AS (SELECT doc_id, regexp_extract(x::VARCHAR, '(-?[0-9]+)', 1)::INTEGER AS block_id, action, k FROM sides WHERE regexp_matches(x::VARCHAR, '^"?\\s*-?[0-9]{{1,9}}(\\.0+)?\\s*"?$'))
+    SELECT doc_id, block_id, arg_max(action, k) AS action FROM n SEMI JOIN (SELECT doc_id, block_id FROM blocks WHERE length(text) % 5 <> 0) o USING (doc_id, block_id) GROUP BY doc_id, block_id""",
+)
 def policy_decisions(spark, d):
-    """Replies that release 1, 2 and a fraction and keep 2, 3, a boolean and a block that wasn't offered."""
-    docs = T.read(spark, d, "documents").select("doc_id", F.lit('Sure: {"release": [1, 2, 4.5], "keep": [2, 3, true, 99], "reason": "x"}').alias("raw"))
-    offered = T.line_blocks(T.read(spark, d, "documents")).where("block_id < 6")
-    return R.policy_decisions(docs, offered)
+    """Replies that release and keep blocks, some of them twice, as fractions or booleans, or not on offer."""
+    raw = chosen(VERDICTS, F.col("doc_id"))
+    docs = T.read(spark, d, "documents").select("doc_id", raw.alias("raw"))
+    return R.policy_decisions(docs, T.line_blocks(T.read(spark, d, "documents")).where("length(text) % 5 <> 0"))
 
 
 @query("judge_mean", "SELECT l_orderkey % 100 AS doc, round(avg(CASE WHEN l_linenumber = 3 THEN 0 ELSE least(100, greatest(0, l_quantity * 3 - 20)) END), 6) AS score FROM lineitem GROUP BY 1")
@@ -199,21 +238,10 @@ def judges(spark, d):
     return judge_mean(s, ["doc"]).withColumn("score", F.round("score", 6))
 
 
-@query("section_check", "SELECT l_orderkey AS page_no FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 3 = 0")
-def section_check(spark, d):
-    """First lines of orders as numbered headings; every third target has another number."""
-    li = T.read(spark, d, "lineitem").where("l_linenumber = 1")
-    n = F.col("l_partkey") % 50 + 1
-    text = F.concat(F.lit("Chapter "), n.cast("string"), F.lit("\nbody"))
-    target = F.concat((n + F.when(F.col("l_partkey") % 3 == 0, 1).otherwise(0)).cast("string"), F.lit(". Chapter\nbody"))
-    return C.section_findings(li.select(F.col("l_orderkey").alias("page_no"), text.alias("text"), target.alias("target")), ["page_no"]).select("page_no")
-
-
-@query("block_values", None)
+@query("block_values", f"WITH {PAIRS}, a AS ({signature_sql('pairs', 'doc_id', 'text')}) SELECT doc_id, value, count(*) AS n FROM a GROUP BY doc_id, value")
 def block_values(spark, d):
     """Value multisets of derived blocks by the block-level rules."""
-    rows = _pairs(spark, d).select("doc_id", F.explode(N.signature(F.col("text"))).alias("value"))
-    return rows.groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
+    return N.signature_rows(_pairs(spark, d), ["doc_id"], F.col("text")).groupBy("doc_id", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("off_page_spans", "SELECT l_orderkey AS page_no, l_linenumber AS span_no FROM lineitem WHERE l_quantity * 10 + 50 > 401")

@@ -171,16 +171,28 @@ def continuation(spark, d):
     return S.continuation(_grid(spark, d).withColumn("ordinal", F.col("item_no")), P, 75.0).select("page_no", "item_no", "moves")
 
 
-@query("header_rows", f"{_ROWS} SELECT page_no, row_id AS row_no, min((row_id % 3 <> 0)::INTEGER) OVER (PARTITION BY page_no ORDER BY row_id) = 1 AND row_number() OVER (PARTITION BY page_no ORDER BY row_id) <= 2 AND row_number() OVER (PARTITION BY page_no ORDER BY row_id) < count(*) OVER (PARTITION BY page_no) AS header FROM r")
+#: Rows with flags that follow their texts: figures where the characters of a row make a multiple of three, prose where they leave 1 by four.
+_MARKED = f"""WITH {GRID}, r AS (SELECT page_no, row_no AS row_id, sum(length(text)) % 3 = 0 AS num, sum(length(text)) % 4 = 1 AS prose FROM grid GROUP BY ALL)"""
+
+
+def _marked(spark, d):
+    n = F.sum(F.length("text"))
+    return _grid(spark, d).groupBy("page_no", F.col("row_no").alias("row_id")).agg((n % 3 == 0).alias("numeric"), (n % 4 == 1).alias("prose"))
+
+
+@query("header_rows", f"{_MARKED} SELECT page_no, row_id AS row_no, min((NOT num)::INTEGER) OVER (PARTITION BY page_no ORDER BY row_id) = 1 AND row_number() OVER (PARTITION BY page_no ORDER BY row_id) <= 2 AND row_number() OVER (PARTITION BY page_no ORDER BY row_id) < count(*) OVER (PARTITION BY page_no) AS header FROM r")
 def header_rows(spark, d):
-    rows = _rows(spark, d).select("page_no", F.col("row_id").alias("row_no"), (F.col("row_id") % 3 == 0).alias("numeric"))
-    return S.header_rows(rows, P).select("page_no", "row_no", "header")
+    return S.header_rows(_marked(spark, d).withColumnRenamed("row_id", "row_no"), P).select("page_no", "row_no", "header")
 
 
-@query("prose_split", f"{_ROWS}, f AS (SELECT page_no, row_id, row_id IN (3, 4) AS num, row_id IN (2, 6) AS prose FROM r), m AS (SELECT *, min(CASE WHEN num THEN row_id END) OVER w AS a, max(CASE WHEN num THEN row_id END) OVER w AS z FROM f WINDOW w AS (PARTITION BY page_no)), e AS (SELECT *, max(CASE WHEN prose AND row_id < a THEN row_id END) OVER (PARTITION BY page_no) AS t, min(CASE WHEN prose AND row_id > z THEN row_id END) OVER (PARTITION BY page_no) AS b FROM m) SELECT page_no, row_id, a IS NULL OR (row_id > coalesce(t, -1) AND row_id < coalesce(b, 1000000)) AS in_table FROM e")
+@query(
+    "prose_split",
+    f"""{_MARKED}, m AS (SELECT *, min(row_id) FILTER (WHERE num) OVER w AS a, max(row_id) FILTER (WHERE num) OVER w AS z FROM r WINDOW w AS (PARTITION BY page_no)),
+    e AS (SELECT *, max(row_id) FILTER (WHERE prose AND row_id < a) OVER w AS t, min(row_id) FILTER (WHERE prose AND row_id > z) OVER w AS b FROM m WINDOW w AS (PARTITION BY page_no))
+    SELECT page_no, row_id, a IS NULL OR (row_id > coalesce(t, -1) AND row_id < coalesce(b, 1000000000)) AS in_table FROM e""",
+)
 def prose_split(spark, d):
-    rows = _rows(spark, d).withColumn("numeric", F.col("row_id").isin(3, 4)).withColumn("prose", F.col("row_id").isin(2, 6))
-    return S.prose_split(rows, P).select("page_no", "row_id", "in_table")
+    return S.prose_split(_marked(spark, d), P).select("page_no", "row_id", "in_table")
 
 
 @query("table_edges", f"WITH {GRID} SELECT page_no, 0 AS table_no, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(DISTINCT row_no) AS rows, count(DISTINCT col_no) AS cols, list_sort(list_distinct(list(x0) || list(x1))) AS col_edges FROM grid GROUP BY page_no")
@@ -188,9 +200,22 @@ def table_edges(spark, d):
     return I.table_edges(_grid(spark, d).withColumnsRenamed({"row_no": "row", "col_no": "col"}).withColumn("table_no", F.lit(0)), P)
 
 
-@query("table_gate", "SELECT l_orderkey AS page_no, 0 AS table_no, count(*) AS rows, 5::BIGINT AS cols FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 2")
+@query("table_gate", f"WITH {GRID}, n AS (SELECT page_no, row_no, count(*) AS k FROM grid WHERE length(text) % 4 <> 0 GROUP BY ALL) SELECT page_no, 0 AS table_no, count(*) AS rows, max(k) AS cols FROM n GROUP BY page_no HAVING count(*) >= 2 AND max(k) >= 2")
 def table_gate(spark, d):
-    return I.is_table(_grid(spark, d).withColumnsRenamed({"row_no": "row", "col_no": "col"}).withColumn("table_no", F.lit(0)), P).select("page_no", "table_no", "rows", "cols")
+    """Ragged tables: cells with a multiple of four characters aren't there."""
+    cells = _grid(spark, d).where("length(text) % 4 <> 0").withColumnsRenamed({"row_no": "row", "col_no": "col"}).withColumn("table_no", F.lit(0))
+    return I.is_table(cells, P).select("page_no", "table_no", "rows", "cols")
+
+
+@query(
+    "borderless_tables",
+    f"""WITH {GRID}, c AS (SELECT *, length(text) / 12.0 AS fill FROM grid WHERE length(text) % 4 <> 0), n AS (SELECT page_no, row_no, count(*) AS k FROM c GROUP BY ALL), s AS (SELECT page_no, count(*) AS rows, max(k) AS cols FROM n GROUP BY page_no),
+    f AS (SELECT page_no, avg((k = cols)::INTEGER) AS full_rows FROM n JOIN s USING (page_no) GROUP BY page_no), m AS (SELECT page_no, median(fill) AS fill FROM c GROUP BY page_no)
+    SELECT page_no, rows, cols FROM s JOIN f USING (page_no) JOIN m USING (page_no) WHERE rows >= 2 AND cols >= 2 AND full_rows >= 0.6 AND fill < 0.6""",
+)
+def borderless_tables(spark, d):
+    cells = _grid(spark, d).where("length(text) % 4 <> 0").withColumnsRenamed({"row_no": "row", "col_no": "col"}).withColumns({"table_no": F.lit(0), "fill": F.length("text") / 12.0})
+    return I.is_table(cells, P, borderless=True).select("page_no", "rows", "cols")
 
 
 def _flagged(spark, d):
@@ -226,11 +251,19 @@ def doc_info(spark, d):
     return A.document_info(kinds.withColumn("doc_id", doc), b.withColumn("doc_id", doc))
 
 
-@query("structure_summary", f"WITH {GRID}, p AS (SELECT DISTINCT page_no FROM grid) SELECT page_no, CASE WHEN page_no % 8 = 3 THEN 'formula' END AS dominant FROM p")
+_REGION = "['formula', 'text', 'figure', 'table', 'heading'][length(text) % 5 + 1]"
+
+
+@query(
+    "structure_summary",
+    f"""WITH {GRID}, k AS (SELECT page_no, count(*) FILTER (WHERE {_REGION} = 'formula') AS f, count(*) FILTER (WHERE {_REGION} = 'figure') AS g, count(*) FILTER (WHERE {_REGION} = 'table') AS t, count(*) FILTER (WHERE {_REGION} = 'text') AS x FROM grid GROUP BY page_no)
+    SELECT page_no, CASE WHEN f > x THEN 'formula' WHEN g > x THEN 'figure' WHEN t > x THEN 'table' END AS dominant FROM k""",
+)
 def structure_summary(spark, d):
-    pages = _grid(spark, d).select("page_no").distinct()
-    regions = pages.where("page_no % 8 = 3").select("page_no", F.explode(F.array(F.lit("formula"), F.lit("formula"), F.lit("text"))).alias("kind"))
-    return A.dominant_kind(pages, regions, P)
+    """Regions whose kind follows the length of a cell's text."""
+    g = _grid(spark, d)
+    kind = F.element_at(F.array(*map(F.lit, ["formula", "text", "figure", "table", "heading"])), (F.length("text") % 5 + 1).cast("int"))
+    return A.dominant_kind(g.select("page_no").distinct(), g.select("page_no", kind.alias("kind")), P)
 
 
 @query("geometric_headings", f"WITH {GRID}, b AS (SELECT page_no, item_no, row_no FROM grid WHERE col_no = 0 AND row_no % 2 = 0) SELECT page_no, item_no AS block_id, dense_rank() OVER (PARTITION BY page_no ORDER BY row_no DESC)::INTEGER AS level FROM b")

@@ -100,3 +100,26 @@ def amounts_sql(source: str, keys: str, text: str) -> str:
         ))
       WHERE regexp_matches(tok, '[,.%]') OR power <> 0 OR regexp_matches(win, '(?i)^\\s*(?:元|人民币|RMB|yuan|USD|CNY|dollars?)(?:[^A-Za-z]|$)')
     )"""
+
+
+MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+
+
+def signature_sql(source: str, keys: str, text: str) -> str:
+    """SQL for rows (keys, figure, value) of the numbers in `text` of `source`, by the rules of blocks."""
+    body = f"translate({text}, '０１２３４５６７８９．，−–—', '0123456789.,---')"
+    for i, m in enumerate(MONTH_NAMES):
+        body = f"regexp_replace({body}, '\\b(?:{m}|{'Sept|Sep' if m == 'September' else m[:3]})\\b', '{i + 1}', 'g')"
+    body = f"regexp_replace({body}, '([-+])\\s+([0-9])', '\\1\\2', 'g')"
+    for _ in range(2):
+        body = f"regexp_replace({body}, '([0-9])-([0-9])', '\\1 - \\2', 'g')"
+    token = "[-+]?[0-9][0-9,]*(?:[.][0-9]+)?"
+    power = "CASE WHEN regexp_matches(win, '(?i)^\\s*((ten|hundred)\\s+)?(thousand|million|billion|trillion)\\b') THEN CASE lower(regexp_extract(win, '(?i)^\\s*(?:(?:ten|hundred)\\s+)?(thousand|million|billion|trillion)\\b', 1)) WHEN 'thousand' THEN 3 WHEN 'million' THEN 6 WHEN 'billion' THEN 9 ELSE 12 END + CASE lower(regexp_extract(win, '(?i)^\\s*(ten|hundred)\\s', 1)) WHEN 'ten' THEN 1 WHEN 'hundred' THEN 2 ELSE 0 END WHEN regexp_matches(win, '^\\s*万亿') THEN 12 WHEN regexp_matches(win, '^\\s*亿') THEN 8 WHEN regexp_matches(win, '^\\s*万') THEN 4 ELSE 0 END"
+    return f"""
+    SELECT * FROM (
+      SELECT {keys}, regexp_matches(tok, '[0-9][.,][0-9]') OR left(win, 1) = '%' OR power <> 0 OR regexp_matches(win, '^\\s*(?:yuan|rmb|cny|usd|eur|hkd|jpy|dollars?|元|美元|港元|人民币)') AS figure,
+             (try_cast(replace(tok, ',', '') AS DECIMAL(22,8)) * (10::HUGEINT ** power)::DECIMAL(15,0))::DECIMAL(38,8) AS value
+      FROM (SELECT *, {power} AS power FROM (
+        SELECT {keys}, toks[i] AS tok, CASE WHEN i = len(toks) THEN btw[i + 1][1:16] ELSE btw[i + 1] END AS win
+        FROM (SELECT *, unnest(range(1, len(toks) + 1)) AS i FROM (SELECT {keys}, regexp_extract_all(b, '{token}') AS toks, string_split_regex(b, '{token}') AS btw FROM (SELECT {keys}, {body} AS b FROM {source}))))))
+    WHERE value IS NOT NULL"""
