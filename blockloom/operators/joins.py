@@ -92,6 +92,16 @@ def new_ocr_blocks(ocr: DataFrame, text: DataFrame, keys: list[str]) -> DataFram
     return o.join(t, [*on, F.col("t_text") != "", same, covered | fills], "left_anti").drop("_norm")
 
 
+def merged_blocks(text: DataFrame, ocr: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks of the text layer and the OCR blocks that aren't a second reading of them, numbered anew in reading order (read_no). Both:
+    item_no, text, box."""
+    from blockloom.operators.sequence import with_reading_order
+
+    both = text.withColumn("ocr", F.lit(False)).unionByName(new_ocr_blocks(ocr, text, keys).withColumn("ocr", F.lit(True)))
+    order = Window.partitionBy(*keys).orderBy("ocr", "item_no")
+    return with_reading_order(both.withColumn("line_no", F.row_number().over(order)), keys).drop("line_no")
+
+
 def colliding_spans(spans: DataFrame, keys: list[str], share: float = 0.25) -> DataFrame:
     """Pairs of spans (a before b) that overlap by at least a share of the smaller one."""
     side = lambda p: spans.select(*keys, F.col("span_no").alias(p + "no"), *[F.col(x).alias(p + x) for x in ("x0", "y0", "x1", "y1")])

@@ -3,6 +3,7 @@ by halving and errors as rows. The default is a deterministic echo, so that ever
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,6 +22,14 @@ class Fatal(RuntimeError):
     """Not worth another try (a refused key, an unknown model): the job fails."""
 
 
+class Busy(RuntimeError):
+    """Worth another try after a while (a full queue, a lost connection)."""
+
+
+#: Seconds before the second and the third try.
+WAITS = (1.0, 2.0)
+
+
 def echo(texts: list[str], *, lang: str = "", glossary: dict[str, str] | None = None) -> list[str]:
     out = []
     for t in texts:
@@ -38,11 +47,21 @@ def register(name: str, fn: Callable) -> None:
     REGISTRY[name] = fn
 
 
-def call(fn: Translate, texts: list[str], lang: str, glossary: dict[str, str]) -> list[tuple[str | None, str | None]]:
+def patient(fn: Translate, texts: list[str], lang: str, glossary: dict[str, str], waits: tuple[float, ...] = WAITS) -> list[str]:
+    """The reply; a busy translator is asked again after each wait."""
+    for wait in waits:
+        try:
+            return list(fn(texts, lang=lang, glossary=glossary))
+        except Busy:
+            time.sleep(wait)
+    return list(fn(texts, lang=lang, glossary=glossary))
+
+
+def call(fn: Translate, texts: list[str], lang: str, glossary: dict[str, str], waits: tuple[float, ...] = WAITS) -> list[tuple[str | None, str | None]]:
     """(text, error) per text. A reply of the wrong length, with a blank or that fails is tried again in halves, down to
     single texts; then the error stands and no text."""
     try:
-        got = [str(t) for t in fn(texts, lang=lang, glossary=glossary)]
+        got = [str(t) for t in patient(fn, texts, lang, glossary, waits)]
         if len(got) == len(texts) and all(t.strip() for t in got):
             return [(t, None) for t in got]
         error = f"{len(got)} texts for {len(texts)}" if len(got) != len(texts) else "a blank text"
@@ -53,7 +72,7 @@ def call(fn: Translate, texts: list[str], lang: str, glossary: dict[str, str]) -
     if len(texts) == 1:
         return [(None, error)]
     middle = len(texts) // 2
-    return call(fn, texts[:middle], lang, glossary) + call(fn, texts[middle:], lang, glossary)
+    return call(fn, texts[:middle], lang, glossary, waits) + call(fn, texts[middle:], lang, glossary, waits)
 
 
 def translate_todo(todo: DataFrame, fn: Translate, lang: str, glossary: dict[str, str] | None = None, budget: int = 4000, most: int = 25, groups: int = 64, group_rows: int = 10_000) -> DataFrame:

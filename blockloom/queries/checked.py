@@ -217,3 +217,57 @@ def bilingual_markdown(spark, d):
     """Blocks without a capital letter have no target."""
     b = T.line_blocks(T.read(spark, d, "documents")).withColumn("target", F.when(F.col("text").rlike("[A-Z]"), F.concat(F.lit("x "), F.lower("text"))).otherwise(""))
     return K.markdown(b.select("doc_id", "page_no").distinct(), b, ["doc_id"])
+
+
+# -- scans and tables -----------------------------------------------------------------------------------------
+
+
+@query(
+    "table_bodies",
+    f"""WITH {GRID}, t AS (SELECT page_no, row_no AS table_no, min(x0) AS tx0, min(y0) AS ty0, max(x1) AS tx1, max(y1) AS ty1 FROM grid WHERE row_no % 4 = 2 AND col_no < 3 GROUP BY ALL),
+    l AS (SELECT *, coalesce(lag(ty1) OVER w, -1e9) AS f, coalesce(lead(ty0) OVER w, 1e9) AS u FROM t WINDOW w AS (PARTITION BY page_no ORDER BY ty0, table_no)),
+    i AS (SELECT page_no, item_no, text, x0, x1, y0 + CASE WHEN row_no % 7 = 6 THEN 9 ELSE 0 END AS y0, y1 + CASE WHEN row_no % 7 = 6 THEN 9 ELSE 0 END AS y1 FROM grid WHERE row_no % 4 <> 2),
+    n AS (SELECT i.*, table_no, CASE WHEN y0 >= ty1 AND y1 <= u THEN 'below' WHEN y1 <= ty0 AND y0 >= f THEN 'above' END AS side, ty0, ty1 FROM i JOIN l USING (page_no) WHERE x0 < tx1 AND x1 > tx0),
+    d AS (SELECT *, CASE side WHEN 'below' THEN y0 - ty1 ELSE ty0 - y1 END AS s, CASE side WHEN 'below' THEN y1 - ty1 ELSE ty0 - y0 END AS e FROM n WHERE side IS NOT NULL),
+    g AS (SELECT *, (s - coalesce(max(e) OVER (PARTITION BY page_no, table_no, side ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 12)::INTEGER AS apart FROM d)
+    SELECT page_no, table_no, side, count(*) AS items, min(item_no) AS first FROM (SELECT *, max(apart) OVER (PARTITION BY page_no, table_no, side ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS stop FROM g) WHERE stop = 0 GROUP BY ALL""",
+)
+def table_bodies(spark, d):
+    """Every fourth row of an order as a ruled table of three columns; the other rows may be its body."""
+    from blockloom.sources import ingest as I
+
+    g = _grid(spark, d)
+    tables = g.where("row_no % 4 = 2 and col_no < 3").groupBy("page_no", F.col("row_no").alias("table_no")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    lower = F.when(F.col("row_no") % 7 == 6, 9.0).otherwise(0.0)
+    items = g.where("row_no % 4 <> 2").select("page_no", "item_no", "text", "x0", (F.col("y0") + lower).alias("y0"), "x1", (F.col("y1") + lower).alias("y1"))
+    found = I.body_items(items, tables, ["page_no"], most=12.0)
+    return found.groupBy("page_no", "table_no", "side").agg(F.count(F.lit(1)).alias("items"), F.min("item_no").alias("first"))
+
+
+@query("cached_ocr", f"WITH {GRID} SELECT page_no, item_no, text, page_no % 3 = 0 AS fresh FROM grid WHERE NOT (page_no % 3 = 0 AND item_no % 6 = 5)")
+def cached_ocr(spark, d):
+    """Pages whose items are in the cache, and others that the recogniser reads, where every sixth item has no box."""
+    from blockloom.sources import ingest as I
+
+    g = _grid(spark, d).withColumn("page_key", I.ocr_key(F.col("page_no").cast("string"), F.lit(1), F.lit(2)))
+    points = F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))
+    cache = g.where("page_no % 3 <> 0").select("page_key", "item_no", points.alias("points"), "text")
+    read = g.select("page_key", "item_no", F.when(F.col("item_no") % 6 != 5, points).alias("points"), "text")
+    items, fresh = I.ocr_pages(g.select("page_key", "page_no").distinct(), cache, lambda todo: read.join(todo.select("page_key"), "page_key", "left_semi"), ["page_no"])
+    new = fresh.select("page_key").distinct().join(g.select("page_key", "page_no").distinct(), "page_key").select("page_no", F.lit(True).alias("fresh"))
+    return items.select("page_no", "item_no", "text").join(new, "page_no", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+
+
+@query(
+    "merged_blocks",
+    f"""WITH {BLOCKS}, b AS (SELECT doc_id, page_no, block_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM blocks WHERE length(text) % 3 <> 0), o AS (SELECT doc_id, page_no, block_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS t FROM blocks WHERE length(text) % 2 = 0),
+    n AS (SELECT doc_id, page_no, block_id, true AS ocr FROM o WHERE t <> '' AND NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = o.doc_id AND b.page_no = o.page_no AND b.block_id = o.block_id AND b.t <> '' AND (contains(o.t, b.t) OR contains(b.t, o.t))) UNION ALL SELECT doc_id, page_no, block_id, false FROM b)
+    SELECT doc_id, page_no, block_id, ocr, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY block_id, ocr) - 1)::INTEGER AS read_no FROM n""",
+)
+def merged_blocks(spark, d):
+    """A text layer that lacks lines and a scan that has some of them, one below the other."""
+    b = T.line_blocks(T.read(spark, d, "documents")).withColumn("item_no", F.col("block_id"))
+    b = b.withColumns({"x0": F.lit(10.0), "y0": F.col("block_id") * 20.0, "x1": F.lit(200.0), "y1": F.col("block_id") * 20.0 + 12.0})
+    rows = b.select("doc_id", "page_no", "block_id", "item_no", "text", "x0", "y0", "x1", "y1")
+    out = J.merged_blocks(rows.where("length(text) % 3 <> 0"), rows.where("length(text) % 2 = 0"), ["doc_id", "page_no"])
+    return out.select("doc_id", "page_no", "block_id", "ocr", "read_no")

@@ -27,6 +27,24 @@ def binary_pages(spark: SparkSession, path: str, extract, schema: str) -> DataFr
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
 
 
+def structured_documents(spark: SparkSession, path: str, extract, schema: str, keys: list[str], structure=None) -> tuple[DataFrame, DataFrame]:
+    """(blocks, regions) of binary documents in one call: extract() gives blocks, `structure` (a function from blocks to regions, by
+    default their geometry) the regions."""
+    blocks = binary_pages(spark, path, extract, schema)
+    return blocks, (structure or (lambda b: geometric_regions(b, keys)))(blocks)
+
+
+def ocr_pages(pages: DataFrame, cache: DataFrame, recognise, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(clean items of all pages, raw items of the pages that the cache lacked, to be appended to it). pages: page_key (see ocr_key())
+    and keys; cache: page_key and items as the recogniser gives them (item_no, points, text); recognise: a function from pages to rows
+    (page_key, item_no, points, text). A page that was read without result has a row with null points. Numbers are repaired on the
+    way out, so that cached pages gain from better rules."""
+    todo = pages.join(cache.select("page_key").distinct(), "page_key", "left_anti")
+    fresh = recognise(todo).select("page_key", "item_no", "points", "text")
+    every = cache.select("page_key", "item_no", "points", "text").unionByName(fresh).join(pages.select("page_key", *keys), "page_key")
+    return clean_ocr(every, keys), fresh
+
+
 def lines_from_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     """One row per visual line: text in span order with single spaces, united box, upper median of sizes, bold from
     a flag or the font's name, most frequent colour (ties: the first), and the spans themselves."""
@@ -195,11 +213,22 @@ def ruled_rows(rows: DataFrame, rules: DataFrame, keys: list[str], slack: float
 
 
 def body_items(items: DataFrame, tables: DataFrame, keys: list[str], most: float = 60.0) -> DataFrame:
-    """Unruled text below a table that may be its body: within `most` points of it and above the next table."""
+    """Unruled text above and below a table that may be its body: items in its x range between the neighbouring tables of the page, row after row
+    from the table on as long as the gap to what is taken already is at most `most`. Adds table_no and side."""
     t = tables.select(*keys, "table_no", *[F.col(c).alias("t_" + c) for c in ("x0", "y0", "x1", "y1")])
-    until = F.lead("t_y0").over(Window.partitionBy(*keys).orderBy("t_y0"))
-    t = t.withColumn("_limit", F.least(F.col("t_y1") + most, F.coalesce(until, F.lit(1e9))))
-    return items.join(t, keys).where((F.col("y0") >= F.col("t_y1")) & (F.col("y1") <= F.col("_limit")) & (F.col("x0") < F.col("t_x1")) & (F.col("x1") > F.col("t_x0"))).select(*items.columns, "table_no")
+    order = Window.partitionBy(*keys).orderBy("t_y0", "table_no")
+    t = t.withColumn("_from", F.coalesce(F.lag("t_y1").over(order), F.lit(-1e9))).withColumn("_until", F.coalesce(F.lead("t_y0").over(order), F.lit(1e9)))
+    near = items.join(t, keys).where((F.col("x0") < F.col("t_x1")) & (F.col("x1") > F.col("t_x0")))
+    below = (F.col("y0") >= F.col("t_y1")) & (F.col("y1") <= F.col("_until"))
+    above = (F.col("y1") <= F.col("t_y0")) & (F.col("y0") >= F.col("_from"))
+    sided = near.withColumn("side", F.when(below, "below").when(above, "above")).where("side is not null")
+    # Both sides as distances from the table: where an item begins and ends.
+    start = F.when(F.col("side") == "below", F.col("y0") - F.col("t_y1")).otherwise(F.col("t_y0") - F.col("y1"))
+    end = F.when(F.col("side") == "below", F.col("y1") - F.col("t_y1")).otherwise(F.col("t_y0") - F.col("y0"))
+    out = Window.partitionBy(*keys, "table_no", "side").orderBy("_start", "_end")
+    reached = F.coalesce(F.max("_end").over(out.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    gaps = sided.withColumn("_start", start).withColumn("_end", end).withColumn("_apart", (F.col("_start") - reached > most).cast("int"))
+    return gaps.withColumn("_stop", F.max("_apart").over(out.rowsBetween(Window.unboundedPreceding, 0))).where("_stop = 0").select(*items.columns, "table_no", "side")
 
 
 def is_table(cells: DataFrame, keys: list[str], borderless: bool = False) -> DataFrame:
