@@ -8,7 +8,8 @@ so one period is worked out on the driver (A entries) and any block's slot follo
 by arithmetic of built-in functions.
 
 When a source has no block left, a new phase starts: the weights of the others are scaled up and
-their schedule begins anew. Each row appears exactly once.
+their schedule begins anew. Each row appears exactly once. Rows of a source follow their own hash, so that
+the order depends on the rows alone, not on how they lie in files.
 
 Defined results: rows with null source form one source of their own; sources without a stated weight
 get weight_of's default; null ids and repeated rows are placed like any row; an empty table gives an
@@ -22,13 +23,12 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.shared import pick, ranked, rows_literal, stored
+from blockloom.llm.shared import parted, pick, ranked, table_of
 
 BLOCK_ROWS = 16
 QUANTA = 512
-#: Rows of a source are shuffled into so many buckets, which are also the unit of ranking.
-BUCKETS = 4096
-PLAN = "source string,k bigint,phase int,b0 bigint,b1 bigint,a bigint,period bigint,offset bigint,slot0 bigint,row0 bigint"
+#: Rows of a source are shuffled into so many buckets at least, which are also the unit of ranking.
+BUCKETS = 256
 
 
 def quanta(weights: dict[str, float], total: int) -> dict[str, int]:
@@ -106,8 +106,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     """
     spark = docs.sparkSession
     named = pick(docs, "doc_id", "source", *passing).withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")))
-    spread = F.pmod(F.xxhash64(F.col("doc_id"), F.spark_partition_id()), F.lit(BUCKETS)).cast("int")
-    table = stored(named.withColumn("_bucket", spread), "mix-rows")
+    table = parted(named, "mix-rows")
     counts = {r._source: r.n for r in table.groupBy("_source").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per source
     if weights is None:
         chosen = {s: float(n) ** temperature for s, n in counts.items()}
@@ -116,10 +115,10 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
         chosen = {s: stated.get(s, min(stated.values(), default=1.0)) for s in counts}
     shares = quanta(chosen, total_quanta)
     plan = schedule(counts, shares, block)
-    numbered = ranked(table, ["_source"], [F.xxhash64("doc_id"), F.col("doc_id")], "_rank", F.col("_bucket"))
+    numbered = ranked(table, ["_source"], "_rank", BUCKETS)
     numbered = numbered.withColumn("_block", F.floor(F.col("_rank") / block).cast("long"))
-    phases = rows_literal(spark, sorted({(p[0], p[2], p[3], p[4], p[5]) for p in plan}), "ps string,pp int,p0 bigint,p1 bigint,pa bigint")
-    offsets = rows_literal(spark, [(p[0], p[1], p[2], p[6], p[7], p[8], p[9]) for p in plan], "os string,k bigint,op int,period bigint,offset bigint,slot0 bigint,row0 bigint")
+    phases = table_of(spark, sorted({(p[0], p[2], p[3], p[4], p[5]) for p in plan}), "ps string,pp int,p0 bigint,p1 bigint,pa bigint", "mix-phases")
+    offsets = table_of(spark, [(p[0], p[1], p[2], p[6], p[7], p[8], p[9]) for p in plan], "os string,k bigint,op int,period bigint,offset bigint,slot0 bigint,row0 bigint", "mix-plan")
     # Both plan tables are bounded by (sources, quanta), see above; their size doesn't follow the rows.
     small = F.broadcast if len(plan) <= 1_000_000 else (lambda d: d)
     placed = numbered.join(small(phases), (F.col("_source") == F.col("ps")) & (F.col("_block") >= F.col("p0")) & (F.col("_block") < F.col("p1")))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from blockloom.llm.shared import bounded_batches, pick, ranked, rows_literal, stored
+from blockloom.llm.shared import bounded_batches, parted, pick, ranked, stored, table_of
 
 ROOM = 4096
 #: Coarse lengths are multiples of this many tokens.
@@ -39,7 +39,6 @@ GRID = 64
 CACHE = 500_000
 #: Bytes of text that are tokenized at once.
 CHUNK = 1 << 20
-SALTS = 64
 #: Documents of a range that is packed by itself where an order is given.
 EACH = 8192
 
@@ -311,11 +310,10 @@ def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, last_id: int = 1, gr
     bounded_batches(spark)
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = texts.mapInArrow(tokenized_pieces(tokenizer, room, last_id), PIECES)
-    pieces = stored(made.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("int")), "pieces")
+    pieces = parted(made, "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `room` rows
-    plan = rows_literal(spark, plan_packing(counts, room, grid), PLAN)
-    order = [F.col(c) for c in ("doc_id", "piece", "start", "ids_crc32")]
-    numbered = ranked(pieces, ["length"], order, "_rank", F.col("_part"))
+    plan = table_of(spark, plan_packing(counts, room, grid), PLAN, "packing-plan")
+    numbered = ranked(pieces, ["length"], "_rank")
     # The plan's size depends on the room alone: a few entries for each length and pattern.
     placed = numbered.join(F.broadcast(plan), (F.col("length") == F.col("len")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("seq0") + F.col("_rank") - F.col("lo")).cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))

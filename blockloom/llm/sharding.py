@@ -5,7 +5,8 @@ row's key hashes to a cell. Every shard has a capacity. A shard takes the rows o
 first; rows that find it full continue clockwise to the first shard with room. Only the counts per
 cell (at most CELLS rows) come to the driver, which walks the ring once and returns a plan of
 (cell, rank interval) -> (shard, first slot); all rows are then placed by joins and windows of
-built-in functions.
+built-in functions. Rows of a cell are ranked by their own hash, so that placement depends on the rows
+alone, not on how they lie in files.
 
 Defined results: null text has size 16 and the checksum of no bytes; null ids hash like any value;
 repeated rows are placed one by one; an empty table gives an empty table; other columns don't count.
@@ -16,10 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blockloom.llm.shared import pick, ranked, rows_literal, stored
+from blockloom.llm.shared import parted, pick, ranked, table_of
 
 CELLS = 1 << 14
-SALTS = 32
 SCHEMA = "cell int,lo bigint,hi bigint,shard int,slot0 bigint"
 
 
@@ -84,12 +84,12 @@ def shard_on_ring(table: DataFrame, key: str, shards: int, vnodes: int = 32, loa
     not start with an underscore. load: see capacities()."""
     spark = table.sparkSession
     names = table.columns
-    rows = stored(table.withColumn("_cell", cell_of(F.col(key))).withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(SALTS)).cast("int")), "ring-rows")
+    rows = parted(table.withColumn("_cell", cell_of(F.col(key))), "ring-rows")
     owner = ring(spark, shards, vnodes)
     counts = {r._cell: r.n for r in rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most CELLS rows
     plan = place(counts, owner, capacities(sum(counts.values()), shards, load))
-    at = rows_literal(spark, plan, SCHEMA)
-    numbered = ranked(rows, ["_cell"], [F.col(key), *[F.col(c) for c in names if c != key]], "_rank", F.col("_part"))
+    at = table_of(spark, plan, SCHEMA, "ring-plan")  # bounded by CELLS and shards, see place()
+    numbered = ranked(rows, ["_cell"], "_rank", 1)
     placed = numbered.join(F.broadcast(at), (F.col("_cell") == F.col("cell")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
     return placed.select(*names, "shard", (F.col("slot0") + F.col("_rank") - F.col("lo")).cast("long").alias("slot"))
 

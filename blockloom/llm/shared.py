@@ -21,10 +21,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is
-    unset (tests on one machine), a temporary folder that is then set for the session."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary
+    folder is set for the session, but only if driver and executors are one process; else it is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="blockloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -77,20 +80,61 @@ def rows_literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFra
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(f'{a}:{b}' for a, b in (x.split() for x in schema.split(',')))}>>")))
 
 
-def ranked(table: DataFrame, group: list[str], order: list[Column], rank: str, salt: Column) -> DataFrame:
-    """Adds `rank`, gapless from 0 within each group, without bringing a group into one task.
+#: A key that more than 1/HEAVY of all rows share is heavy: there are fewer than HEAVY of them.
+HEAVY = 1000
+#: Rows of a bucket in which ranked() numbers rows, on average.
+BUCKET = 1 << 16
+#: Rows by which a bucket may be above the usual before it is searched for heavy rows.
+ROOM = 1000
+PART = "_part"
 
-    A group is split by `salt` (a small non-negative int column expression that must be the same
-    whenever `table` is read, e.g. a stored column); rows are numbered inside (group, salt) by
-    `order`, and each salt starts where the salts before it end. The per-salt counts are the only
-    thing that meets per group: at most (number of salts) rows.
+
+def parted(df: DataFrame, name: str) -> DataFrame:
+    """stored() with a column PART that is the same whenever the table is read; what ranked() takes."""
+    return stored(df.withColumn(PART, F.pmod(F.spark_partition_id(), F.lit(1 << 12)).cast("int")), name)
+
+
+def table_of(spark: SparkSession, rows: list[tuple], schema: str, name: str, each: int = 20_000) -> DataFrame:
+    """Driver-side rows as a table in the shared folder, written in parts, so that no query plan holds them."""
+    path = new_path(spark, name)
+    for at in range(0, max(1, len(rows)), each):
+        rows_literal(spark, rows[at : at + each], schema).coalesce(1).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def ranked(table: DataFrame, group: list[str], rank: str, least: int = 4) -> DataFrame:
+    """Adds `rank`, gapless from 0 within each group, to a table made by parted(), without bringing a group
+    into one task. There are few groups: one row for each must fit into memory.
+
+    Rows follow the hash of all their columns, then the columns: the ranks depend on the rows alone and not on
+    how they lie in files or partitions. A group is cut into buckets of hashes, `least` of them or more
+    as its count grows; rows are numbered in their bucket, and each bucket starts where those before it end. A heavy row
+    (a good part of the excess of a bucket that has twice the usual rows and over 1/HEAVY of all) has a bucket of its own,
+    where order doesn't matter: it is cut by PART.
     """
-    salted = table.withColumn("_salt", salt)
-    counts = salted.groupBy(*group, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_salt").alias("_s"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = Window.partitionBy(*group, "_salt").orderBy(*order)
-    numbered = salted.withColumn("_r", F.row_number().over(own) - 1)
-    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_salt") == F.col("_s")]
-    joined = numbered.join(starts, on, "inner")
-    return joined.select(*table.columns, (F.col("_start") + F.col("_r")).cast("long").alias(rank))
+    names = [c for c in table.columns if c != PART]
+    sizes = table.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")).select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_size")
+    same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+    buckets = F.greatest(F.lit(least), F.ceil(F.col("_size") / BUCKET)).cast("long")
+    keyed = table.join(F.broadcast(sizes), same).withColumn("_hash", F.xxhash64(*names)).withColumn("_bucket", F.pmod("_hash", buckets)).withColumn("_usual", F.col("_size") / buckets).withColumn("_cut", F.lit(-1))
+    counts = stored(keyed.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.max("_usual").alias("_usual")), "bucket-counts")
+    keyed = keyed.select(*names, PART, "_hash", "_bucket", "_cut")
+    limit = (counts.agg(F.sum("_n")).first()[0] or 0) // HEAVY
+    over = counts.where((F.col("_n") > limit) & (F.col("_n") > 2 * F.col("_usual") + ROOM)).select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate([*group, "_bucket"])])  # fewer than HEAVY buckets
+    if over.take(1):
+        full = keyed.join(F.broadcast(over), [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate([*group, "_bucket"])])
+        heavy = full.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where((4 * F.col("_n") > limit) & (4 * F.col("_n") > ROOM)).select(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(names)], F.lit(True).alias("_heavy"))
+        marked = keyed.join(F.broadcast(stored(heavy, "heavy-rows")), [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(names)], "left")
+        # A heavy row's bucket is told by its hash: all such buckets come before the others.
+        heavy = F.coalesce("_heavy", F.lit(False))
+        keyed = marked.select(*names, PART, "_hash", F.when(heavy, F.col("_hash")).otherwise(F.col("_bucket")).alias("_bucket"), F.when(heavy, F.col(PART)).otherwise(-1).alias("_cut"))
+        counts = stored(keyed.groupBy(*group, "_bucket", "_cut").agg(F.count(F.lit(1)).alias("_n")), "bucket-counts")
+    else:
+        counts = counts.withColumn("_cut", F.lit(-1))
+    # A row for each bucket meets in its group.
+    before = Window.partitionBy(*group).orderBy(F.col("_cut") < 0, "_bucket", "_cut").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_b"), F.col("_cut").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy(*group, "_bucket", "_cut").orderBy("_hash", *names)
+    numbered = keyed.withColumn("_r", F.row_number().over(own) - 1)
+    joined = numbered.join(starts, [*same, F.col("_bucket") == F.col("_b"), F.col("_cut") == F.col("_c")], "inner")
+    return joined.select(*names, (F.col("_start") + F.col("_r")).cast("long").alias(rank))

@@ -160,3 +160,83 @@ def test_nnls_finds_a_known_solution():
     a = np.array([[1.0, 0, 1], [0, 1, 1]])
     x = nnls(a, a @ np.array([2.0, 0, 3]), np.ones(2), 4000)
     assert (x >= 0).all() and np.allclose(a @ x, [5, 3], atol=1e-3)
+
+
+def as_laid(spark, rows, parts, seed):
+    """The same rows in another order and other partitions."""
+    import random
+
+    rows = rows[:]
+    random.Random(seed).shuffle(rows)
+    return spark.createDataFrame(rows, DOCS).repartition(parts)
+
+
+def test_placement_follows_rows_and_not_their_layout(spark):
+    rows = [*ROWS, *[(2000 + i, f"t{i % 50}", None, "ab"[i % 2], 0) for i in range(800)], *[(5, "same", None, "a", 0)] * 300]
+    one, two = as_laid(spark, rows, 3, 1), as_laid(spark, rows, 7, 2)
+    for f in (lambda d: mix(d, block=4), lambda d: shard_on_ring(d.select("doc_id", "text"), "doc_id", 9), lambda d: pack(d, default_tokenizer(), room=64, grid=4)):
+        assert Counter(map(tuple, f(one).collect())) == Counter(map(tuple, f(two).collect()))
+
+
+def test_ranks_of_heavy_rows(spark, monkeypatch):
+    """A row that is a third of all has a bucket of its own; ranks stay gapless and follow the rows alone."""
+    from blockloom.llm import shared
+
+    monkeypatch.setattr(shared, "ROOM", 20)
+    rows = [("g", i if i % 3 else None, "x") for i in range(900)] + [(None, 7, "y")] * 400
+    out = []
+    for parts in (2, 5):
+        table_ = shared.parted(spark.createDataFrame(rows, "g string, k long, t string").repartition(parts), "test-ranked")
+        out.append(shared.ranked(table_, ["g"], "rank", 8).collect())
+        for g in ("g", None):
+            assert sorted(r["rank"] for r in out[-1] if r.g == g) == list(range(sum(r[0] == g for r in rows)))
+    assert Counter(map(tuple, out[0])) == Counter(map(tuple, out[1]))
+
+
+def test_ring_against_a_plain_walk(spark):
+    """Rows one after the other: first each shard's own cells in order, then the overflow, clockwise."""
+    from blockloom.llm.sharding import CELLS, cell_of, ring
+
+    rows = [(i % 700, f"t{i % 5}") for i in range(1500)]
+    table_ = spark.createDataFrame(rows, "k long, t string")
+    owner = ring(spark, 7, 16)
+    keyed = table_.withColumn("cell", cell_of(F.col("k"))).withColumn("h", F.xxhash64("k", "t", "cell")).collect()
+    for load, most in ((None, [215] * 2 + [214] * 5), (1.5, [322] * 7), (100.0, [21429] * 7)):
+        order = sorted(keyed, key=lambda r: (r.cell, r.h, r.k, r.t))
+        held, over, want = [0] * 7, [], Counter()
+        for r in order:
+            s = owner[r.cell]
+            if held[s] < most[s]:
+                held[s] += 1
+                want[r.k, r.t, s] += 1
+            else:
+                over.append(r)
+        for r in over:
+            at = r.cell
+            while held[owner[at]] >= most[owner[at]]:
+                at = (at + 1) % CELLS
+            held[owner[at]] += 1
+            want[r.k, r.t, owner[at]] += 1
+        got = shard_on_ring(table_, "k", 7, vnodes=16, load=load).collect()
+        assert Counter((r.k, r.t, r.shard) for r in got) == want
+
+
+def test_mix_against_a_plain_schedule(spark):
+    """Slot after slot: of the sources with a released block, the one with the earliest deadline; a source that
+    ends begins a new phase."""
+    rows = [(i, "x", None, "aaaabbcd"[i % 8], 0) for i in range(330)]
+    got = sorted(mix(table(spark, rows), {"a": 4.0, "b": 2.0, "c": 1.0, "d": 1.0}, block=3, total_quanta=16).collect(), key=lambda r: r.position)
+    shares = quanta({"=a": 4.0, "=b": 2.0, "=c": 1.0, "=d": 1.0}, 16)
+    left = {"=" + s: n for s, n in Counter(r[3] for r in rows).items()}
+    want, whole, t, done = [], sum(shares.values()), 0, dict.fromkeys(shares, 0)
+    while left:
+        whole = sum(shares[s] for s in left)
+        ready = [(-(-(done[s] + 1) * whole // shares[s]), s) for s in left if done[s] * whole // shares[s] <= t]
+        s = min(ready)[1]
+        n = min(3, left[s])
+        want += [s[1:]] * n
+        done[s], left[s], t = done[s] + 1, left[s] - n, t + 1
+        if not left[s]:
+            del left[s]
+            t, done = 0, dict.fromkeys(shares, 0)
+    assert [r.source for r in got] == want
