@@ -34,12 +34,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
-    """Arrow batches to Python workers hold so many bytes at most, however long the texts are."""
+    """Arrow batches to Python workers hold so many bytes at most, however long the texts are. This is a setting of the session, and
+    stays: what is made by an operator is read later, when it must still hold."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: For each scratch() that is open, the innermost last, the tables made in it.
+_OPEN: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _OPEN[-1:]:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are made inside are deleted at the end, but for the last one, which the caller reads on."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop()[:-1]:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
@@ -67,8 +91,7 @@ def discard(df: DataFrame) -> None:
     """Deletes the files of a table made by stored() that nothing reads any more."""
     spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, folder)
 
 
 def rows_literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
