@@ -313,7 +313,7 @@ def pack(docs: DataFrame, tokenizer: str, room: int = ROOM, last_id: int = 1, gr
     pieces = parted(made, "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `room` rows
     plan = table_of(spark, plan_packing(counts, room, grid), PLAN, "packing-plan")
-    numbered = ranked(pieces, ["length"], "_rank")
+    numbered = ranked(pieces, ["length"], "_rank", 64)
     # The plan's size depends on the room alone: a few entries for each length and pattern.
     placed = numbered.join(F.broadcast(plan), (F.col("length") == F.col("len")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("seq0") + F.col("_rank") - F.col("lo")).cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
