@@ -16,7 +16,7 @@ from blockloom.llm.language_id import UNDETERMINED, fit, held_out, predict
 from blockloom.llm.minhash import judged, text_key
 from blockloom.llm.mixing import mix
 from blockloom.llm.packing import default_tokenizer, pack_in_order
-from blockloom.llm.shared import pick, rows_literal, stored
+from blockloom.llm.shared import discard, pick, rows_literal, scratch, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language is less certain than this are rejected, as are those without a letter. The score of a text
@@ -91,7 +91,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark):  # a stage's own tables go with it
+            docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
