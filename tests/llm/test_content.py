@@ -43,6 +43,22 @@ def test_broken_streams():
             M.demux(bad)
 
 
+def test_repeated_packets_and_announced_breaks():
+    payload = bytes(range(256)) * 200
+    media = M.mux(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    own = [k for k, x in enumerate(packets) if (x[1] & 0x1F) << 8 | x[2] == M.ES_PID]
+    twice = M.demux(b"".join([*packets[: own[5] + 1], packets[own[5]], *packets[own[5] + 1 :]]))
+    assert twice.payload == payload and twice.continuity_errors == 0
+    assert M.demux(b"".join([*packets[: own[5] + 1], packets[own[5]], packets[own[5]], *packets[own[5] + 1 :]])).continuity_errors == 1
+    head = next(k for k in own if k > own[0] and packets[k][3] & 0x20 and packets[k][4])
+    marked = bytearray(packets[head])
+    marked[5] |= 0x80
+    broken = [*packets[: head - 1], *packets[head:]] if head - 1 in own else [*packets[:head], *packets[head:]]
+    broken[broken.index(packets[head])] = bytes(marked)
+    assert M.demux(b"".join(broken)).continuity_errors == 0
+
+
 def test_media_columns(spark):
     got = M.read_media(M.store_media(with_clashes(table(spark, ROWS)))).collect()
     want = Counter()
@@ -175,3 +191,41 @@ def test_expectation_maximisation_finds_accuracies():
 def test_votes_round_trip():
     assert all(Q.votes_of(c) == [int(x) - 1 for x in np.base_repr(c, 3).zfill(len(Q.LABELLERS))] for c in range(0, 3 ** len(Q.LABELLERS), 97))
     assert json.dumps(list(Q.LABELLERS))
+
+
+def test_every_language_is_learned(spark):
+    """A bound on the sample lowers the rows of each language, never the number of languages."""
+    rng = random.Random(8)
+    rows = [(k * 10 + i, " ".join("".join(rng.choice("abcdefghij"[k % 8 :] + chr(0x400 + k)) for _ in range(6)) for _ in range(30)), f"x{k}", "a", 0) for k in range(12) for i in range(8)]
+    model = L.fit(table(spark, rows), F.lit(True), sample=8, most=24)
+    assert sorted(x for langs in model.families.values() for x in langs) == sorted(f"x{k}" for k in range(12))
+    nulls = [(None, r[1], r[2], "a", 0) for r in rows]
+    assert len(L.fit(table(spark, nulls), F.lit(True), sample=8, most=24).families) == 12
+
+
+@pytest.mark.parametrize("name", ["search-engine-history", "menu-item-article", "header-image story", "tags-explained", "notice-period-law", "comment-is-free", "post-header", "share-price-report"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_names_in_an_article_remove_nothing(name, tag):
+    inner = f"<h1>Title</h1>{PROSE * 3}"
+    page = f'<nav><a href=x>Home</a></nav><{tag}><div class="{name}">{inner}</div><p>Tail, of the article, and some more of it.</p></{tag}>'
+    assert H.main_text(page) == H.main_text(f"<{tag}>{inner}<p>Tail, of the article, and some more of it.</p></{tag}>")
+
+
+def test_junk_of_low_ratio_goes_from_within():
+    want = H.main_text(f"<article>{PROSE * 3}</article>")
+    assert H.main_text(f'<article>{PROSE * 3}<div class="k">4 Read more</div><div class="q">Click x</div></article>') == want
+    assert H.main_text(f"<main><ul><li><a>Buy shoes now</a><li><a>Win cash</a></ul>{PROSE * 3}</main>") == want
+
+
+def test_deep_and_unclosed_markup_takes_linear_time():
+    import time
+
+    pages = {"<a " * 100_000: "<a " * 100_000, "<div>" * 30_000 + "x": "x", "<!--" * 100_000: "", "<div>" * 30_000 + "</section>" * 30_000: "", "<header>" * 20_000 + "x": "", "<" * 300_000: "<" * 300_000}
+    for page, want in pages.items():
+        began = time.process_time()
+        assert H.main_text(page) == " ".join(want.split())
+        assert time.process_time() - began < 3
+    for page in ("<a x='>' y=\"" * 20_000, "<p>" + "<span>" * 30_000 + "<div>a" * 2000, "<b>x" * 30_000, "<p>" + "word <b>bold</b> " * 20_000, '<a "' * 50_000 + ">", "<div>x " * 30_000):
+        began = time.process_time()
+        H.main_text(page)
+        assert time.process_time() - began < 5
