@@ -341,3 +341,19 @@ def lookup(rows: DataFrame, table: DataFrame, keys: list[str], values: list[str]
 
 def op2_minmax_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs of documents that share a shingle, and what can be reached by links.
+OP2_SQL = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT r, len(ws) AS k, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+g AS (SELECT r, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS s FROM p WHERE k >= 3 WINDOW w AS (PARTITION BY r ORDER BY i)),
+sets AS (SELECT DISTINCT r, s FROM g WHERE s IS NOT NULL UNION ALL SELECT r, array_to_string(ws, ' ') FROM d WHERE len(ws) IN (1, 2)),
+n AS (SELECT r, count(*) AS n FROM sets GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.r < b.r GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r, r AS t FROM d UNION SELECT reach.r, edges.y FROM reach JOIN edges ON edges.x = reach.t),
+least_of AS (SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.t GROUP BY reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN least_of USING (r) LEFT JOIN n USING (r)
+"""

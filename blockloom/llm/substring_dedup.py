@@ -384,3 +384,19 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, anchor: int = ANCHOR) ->
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Windows as texts, put together by doubling; removed are the words that a repeated window starts at or up to 34 words before.
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT r, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM d),
+w2 AS (SELECT *, word || ' ' || lead(word) OVER (PARTITION BY r ORDER BY i) AS t2 FROM p),
+w4 AS (SELECT *, t2 || ' ' || lead(t2, 2) OVER (PARTITION BY r ORDER BY i) AS t4 FROM w2),
+w8 AS (SELECT *, t4 || ' ' || lead(t4, 4) OVER (PARTITION BY r ORDER BY i) AS t8 FROM w4),
+w16 AS (SELECT *, t8 || ' ' || lead(t8, 8) OVER (PARTITION BY r ORDER BY i) AS t16 FROM w8),
+w35 AS (SELECT r, i, word, t16 || ' ' || lead(t16, 16) OVER w || ' ' || lead(t2, 32) OVER w || ' ' || lead(word, 34) OVER w AS t35 FROM w16 WINDOW w AS (PARTITION BY r ORDER BY i)),
+marked AS (SELECT r, i, word, t35 IS NOT NULL AND count(*) OVER (PARTITION BY t35) > 1 AS again FROM w35),
+covered AS (SELECT r, i, word, max(again::INTEGER) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) = 1 AS gone FROM marked),
+out AS (SELECT r, count(*) FILTER (WHERE gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM covered GROUP BY r)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN out USING (r)
+"""

@@ -206,3 +206,19 @@ def test_substring_dedup_of_many_rows_without_an_id(spark):
     rows = [(None, f"n{i} {passage if i % 2 else ''} m{i}", None, None, None) for i in range(30)] + [(4, f"q{i} {passage}", None, None, None) for i in range(5)] + [(4, "same " * 40, None, None, None)] * 9
     got = substring_dedup(table(spark, rows))
     assert Counter(tuple(r) for r in got.collect()) == brute_windows(rows, 35)
+
+
+@pytest.mark.parametrize("name", ["op2_minmax_near_duplicates", "op5_exact_dedup", "op10_substring_dedup"])
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    from blockloom.llm.queries import ORACLES, QUERIES
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{sf}/documents.parquet')")
+    cursor = con.execute(ORACLES[name])
+    names = [c[0] for c in cursor.description]
+    got = QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(names)
+    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(cursor.fetchall())
