@@ -19,7 +19,8 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ SCOPE = frozenset("html body table td th article section div ul ol dl main aside
 AWAY_TAGS = frozenset("head script style noscript template textarea iframe object svg canvas nav footer aside button select option dialog menu".split())
 AWAY_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar".split())
 AWAY_WORDS = re.compile(r"^(ad|ads|adv|advert\w*|banner\w*|breadcrumb\w*|comment|comments|commentlist|consent|cookie\w*|copyright|disclaimer|disqus\w*|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|outbrain|pagination|popup|promo\w*|recommend\w*|related\w*|replies|respond|search|share|sharing|sidebar|sidebars|signup|social|sponsor\w*|subscribe|subscription|taboola|tags|toolbar|widget|widgets)$")
-TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: Attributes up to the first `>` outside quotes.
+QUOTED = re.compile(r"[^\"'>]*+(?:(?:\"[^\"]*\"|'[^']*')[^\"'>]*+)*+>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 WORD = re.compile(r"[A-Za-z]+")
 PUNCTUATION = re.compile(r"[.,;:!?…、。，！？؟،।]")
@@ -53,78 +56,124 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class Element:
-    __slots__ = ("away", "name", "named", "parent", "path", "tag")
+    """What a page's elements are known by. Everything that depends on the elements around is passed down when an
+    element is opened, so that no deep page makes it be looked up again."""
 
-    def __init__(self, tag: str, name: str, parent: Element | None, away: bool, named: bool = False):
-        self.tag, self.name, self.parent = tag, name, parent
+    __slots__ = ("away", "heading", "name", "named", "number", "parent", "path", "sectioned", "tag")
+
+    def __init__(self, tag: str, name: str, parent: Element | None, away: bool, named: bool, number: int, paths: dict[tuple[int, str], int]):
+        self.tag, self.name, self.parent, self.number = tag, name, parent, number
         self.away = away or (parent is not None and parent.away)
         self.named = named
-        # Inline elements share the path of their block, unless their name speaks against them.
-        self.path = parent.path if parent and tag in INLINE and not named else (parent.path if parent else "") + "/" + name
-
-
-def _open(tag: str, attributes: str, parent: Element) -> Element:
-    name, away, named = tag, tag in AWAY_TAGS, tag == "form"
-    if tag == "header":  # of the page, not of an article
-        up = parent
-        while up is not None and up.tag not in ("article", "main", "section"):
-            up = up.parent
-        away = up is None
+        inline = parent is not None and tag in INLINE
+        self.sectioned = tag in ("article", "main", "section") or (parent is not None and parent.sectioned)
+        self.heading = tag if tag in HEADINGS else parent.heading if inline else None
+        # A path is a number: that of the parent's path and the own name. Inline elements share the path of their
+        # block, unless their name speaks against them.
+        self.path = parent.path if inline and not named else paths.setdefault((parent.path if parent else -1, name), len(paths))
+
+
+def described(tag: str, attributes: str, parent: Element) -> tuple[str, bool, bool]:
+    """Name, whether tag or role speak for no text of the page, and whether class or id speak against it."""
+    # A header outside of articles and sections is the page's own.
+    name, away, named = tag, tag in AWAY_TAGS or (tag == "header" and not parent.sectioned), tag == "form"
     if attributes and not attributes.isspace():
         for m in ATTRIBUTE.finditer(attributes):
             kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
             if kind == "hidden" or kind == "aria-hidden":
-                away = away or (kind == "hidden" and not attributes[: m.start()].endswith("-")) or value == "true"
+                away = away or (kind == "hidden" and attributes[m.start() - 1 : m.start()] != "-") or value == "true"
             elif kind == "role":
                 away = away or value.lower() in AWAY_ROLES
             else:
                 name += "." + value
                 if tag not in ("html", "body", "article", "main"):
                     named = named or any(AWAY_WORDS.match(w.lower()) for part in value.split() for w in (part, *WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", part))))
-    return Element(tag, name, parent, away, named)
-
-
-def nodes(page: str) -> list[tuple[str, Element, bool]]:
+    return name, away, named
+
+
+def tokens(page: str) -> Generator[tuple[str, str, str, int], int | None, None]:
+    """(kind, tag, attributes, end): "text" (in the place of a tag), "open" and "close"; what is sent back is where to go on.
+    Linear: a page has one place beyond which nothing is a tag, and after a tag whose quotes don't end, quotes are no
+    longer heeded."""
+    at, size, last, quotes = 0, len(page), page.rfind(">"), True
+    begin = 0  # of the text not yet given
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = size if end < 0 else end + 3
+            kind, tag, attributes = "", "", ""
+        elif at > last:
+            break
+        else:
+            slash = page.startswith("/", at + 1)
+            name = NAME.match(page, at + 1 + slash)
+            if name is None:
+                if page[at + 1 : at + 2] not in ("!", "?", "/"):
+                    at += 1
+                    continue
+                kind, tag, attributes, end = "", "", "", page.index(">", at) + 1
+            else:
+                kind, tag, whole = "close" if slash else "open", name[0].lower(), QUOTED.match(page, name.end()) if quotes else None
+                if whole is None:
+                    quotes = False
+                    end = page.find(">", name.end()) + 1
+                    if not end:
+                        break
+                else:
+                    end = whole.end()
+                attributes = page[name.end() : end - 1]
+        if at > begin:
+            yield "text", page[begin:at], "", at
+        if kind:
+            skip = yield kind, tag, attributes, end
+            end = skip or end
+        begin = at = end
+    if begin < size:
+        yield "text", page[begin:], "", size
+
+
+def nodes(page: str) -> tuple[list[tuple[str, Element, bool]], list[Element]]:
     """The page's text nodes in order: decoded text, innermost element, and whether a block boundary
-    (or line break) stands before it."""
-    root = Element("#", "", None, False)
-    stack, out, at, boundary = [root], [], 0, True
-
-    def text(part: str) -> None:
-        nonlocal boundary
-        if part:
-            out.append((entities.unescape(part), stack[-1], boundary))
-            boundary = False
+    (or line break) stands before it; and all elements, each after its parent."""
+    paths: dict[tuple[int, str], int] = {}
+    root = Element("#", "", None, False, False, 0, paths)
+    stack, every, out, boundary = [root], [root], [], True
+    opened: dict[str, int] = defaultdict(int)
 
     def close(until: int) -> None:
         nonlocal boundary
         for x in stack[until:]:
             boundary = boundary or x.tag not in INLINE
+            opened[x.tag] -= 1
         del stack[until:]
 
-    size = len(page)
-    while at < size:
-        m = TOKEN.search(page, at)
-        if m is None:
-            text(page[at:])
-            break
-        text(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+    read, skip = tokens(page), None
+    while True:
+        try:
+            kind, tag, attributes, at = read.send(skip)
+        except StopIteration:
+            return out, every
+        skip = None
+        if kind == "text":
+            out.append((entities.unescape(tag), stack[-1], boundary))
+            boundary = False
             continue
-        if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k)
-                    break
-                if tag in INLINE and stack[k].tag in SCOPE:
-                    break
+        if kind == "close":
+            if opened[tag]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        close(k)
+                        break
+                    if tag in INLINE and stack[k].tag in SCOPE:
+                        break
             boundary = boundary or tag not in INLINE
             continue
         boundary = boundary or tag not in INLINE
-        if tag in CLOSES_P or tag in CLOSES_SAME:
-            ends = CLOSES_SAME.get(tag, {"p"})
+        ends = CLOSES_SAME.get(tag) or (tag in CLOSES_P and {"p"}) or ()
+        if any(opened[x] for x in ends):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ends:
                     close(k)
@@ -132,17 +181,16 @@ def nodes(page: str) -> list[tuple[str, Element, bool]]:
                         break
                 elif stack[k].tag in SCOPE and not (tag in ("tr", "tbody", "thead") and stack[k].tag in ("td", "th")):
                     break
-        if tag in VOID:
+        if tag in VOID or (attributes.endswith("/") and tag in ("svg", "path", "use")):
             continue
-        attributes = m[3] if m[2] else m[6]
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
-            at = end.end() if end else size
+            skip = end.end() if end else len(page)
             continue
-        if attributes.endswith("/") and tag in ("svg", "path", "use"):
-            continue
-        stack.append(_open(tag, attributes, stack[-1]))
-    return out
+        name, away, named = described(tag, attributes, stack[-1])
+        stack.append(Element(tag, name, stack[-1], away, named, len(every), paths))
+        every.append(stack[-1])
+        opened[tag] += 1
 
 
 def smooth(values: np.ndarray) -> np.ndarray:
@@ -152,45 +200,36 @@ def smooth(values: np.ndarray) -> np.ndarray:
     return np.convolve(values, kernel, "full")[2 : 2 + len(values)] / ones
 
 
-def lowered(found: list[tuple[str, Element, int]]) -> set[str]:
-    """The paths inside an element that a name speaks against and that doesn't hold most of the text."""
-    inside: dict[Element, int] = {}
-    marked: set[Element] = set()
+def lowered(found: list[tuple[str, Element, int]], every: list[Element]) -> set[int]:
+    """The paths inside an element that a name speaks against and that doesn't hold most of the text. every: the page's
+    elements, each after its parent."""
+    inside, mark = [0] * len(every), [False] * len(every)
     for _, e, n in found:
-        mark = False
-        while e is not None:
-            mark = mark or e.tag in LANDMARKS
-            if e.named:
-                inside[e] = inside.get(e, 0) + n
-                if mark:
-                    marked.add(e)
-            e = e.parent
-    total, out = sum(n for _, _, n in found), set()
-    for _, e, _ in found:
-        path = e.path
-        while e is not None:
-            if e.named and inside[e] <= (MOST if e in marked else NEARLY_ALL) * total:
-                out.add(path)
-            e = e.parent
-    return out
-
-
-def heading(e: Element) -> str | None:
-    """The tag of the heading that an element is or is in."""
-    while e is not None and e.tag not in HEADINGS:
-        e = e.parent if e.tag in INLINE else None
-    return e and e.tag
-
-
-def content(found: list[tuple[str, Element, int]]) -> list[bool]:
+        inside[e.number] += n
+    total = sum(inside)
+    for e in reversed(every):  # up: an element's text, and whether it has a landmark with text
+        k = e.number
+        mark[k] = inside[k] > 0 and (mark[k] or e.tag in LANDMARKS)
+        if e.parent is not None:
+            inside[e.parent.number] += inside[k]
+            mark[e.parent.number] = mark[e.parent.number] or mark[k]
+    low = [False] * len(every)
+    for e in every:  # down
+        k = e.number
+        low[k] = (e.parent is not None and low[e.parent.number]) or (e.named and inside[k] <= (MOST if mark[k] else NEARLY_ALL) * total)
+    return {e.path for _, e, _ in found if low[e.number]}
+
+
+def content(found: list[tuple[str, Element, int]], every: list[Element]) -> list[bool]:
     """Which nodes are main text: those on content paths, and headings with such a node before the next
     run of headings. A heading that a name speaks against must be the page's h1 for that."""
-    chosen, low = content_paths(found), lowered(found)
+    low = lowered(found, every)
+    chosen = content_paths(found, low)
     out = [e.path in chosen for _, e, _ in found]
     text_below, before = False, False  # going up: whether what the headings head is main text
     for k in range(len(found) - 1, -1, -1):
         e = found[k][1]
-        tag = heading(e)
+        tag = e.heading
         if tag is None:
             text_below = out[k] or (text_below and not before)
         elif text_below and (e.path not in low or tag == "h1"):
@@ -199,7 +238,7 @@ def content(found: list[tuple[str, Element, int]]) -> list[bool]:
     return out
 
 
-def content_paths(found: list[tuple[str, Element, int]]) -> set[str]:
+def content_paths(found: list[tuple[str, Element, int]], low: set[int]) -> set[int]:
     """The paths whose smoothed and fused length and punctuation ratios reach the threshold."""
     paths = [e.path for _, e, _ in found]
     ids = {p: i for i, p in enumerate(dict.fromkeys(paths))}
@@ -208,7 +247,6 @@ def content_paths(found: list[tuple[str, Element, int]]) -> set[str]:
     length = np.array([float(n) for _, _, n in found])
     marks = np.array([float(len(PUNCTUATION.findall(t))) for t, _, _ in found])
     fused = per_path(smooth(per_path(length)[index])) * (1 + per_path(smooth(per_path(marks)[index])))
-    low = lowered(found)
     fused *= np.array([LOWERED if p in low else 1.0 for p in ids])
     weight = np.bincount(index, length) * np.array([p not in low for p in ids])
     if not weight.sum():
@@ -220,22 +258,24 @@ def content_paths(found: list[tuple[str, Element, int]]) -> set[str]:
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    found: list[tuple[str, Element, bool]] = []  # text nodes of blocks: inline parts are joined
+    parts, every = nodes(page)
+    found: list[tuple[list[str], Element, bool]] = []  # text nodes of blocks: inline parts are joined
     broken = True
-    for t, e, boundary in nodes(page):
+    for t, e, boundary in parts:
         broken = broken or boundary
         if e.away:
             continue
         if found and not broken and found[-1][1].path == e.path:
-            found[-1] = (found[-1][0] + t, found[-1][1], found[-1][2])
+            found[-1][0].append(t)
         else:
-            found.append((t, e, broken))
+            found.append(([t], e, broken))
         broken = False
-    real = [(t, e, n) for t, e, _ in found if (n := len("".join(t.split())))]
+    blocks = [("".join(t), e, boundary) for t, e, boundary in found]
+    real = [(t, e, n) for t, e, _ in blocks if (n := len("".join(t.split())))]
     if not real:
         return ""
-    chosen = iter(content(real))
-    return " ".join("".join([(" " if boundary else "") + (t if not t.strip() or next(chosen) else "") for t, _, boundary in found]).split())
+    chosen = iter(content(real, every))
+    return " ".join("".join([(" " if boundary else "") + (t if not t.strip() or next(chosen) else "") for t, _, boundary in blocks]).split())
 
 
 def extract(pages: DataFrame) -> DataFrame:
