@@ -214,6 +214,17 @@ def interpret_decision(answer: Column) -> Column:
     )
 
 
+#: How a requirement names a range of pages, and a page.
+SCOPE_RANGE, SCOPE_PAGE = r"第?\s*(\d+)\s*页?\s*(?:-|到|~|至)\s*第?\s*(\d+)\s*页", r"第\s*(\d+)\s*页"
+
+
+def scope_pages(c: Column) -> Column:
+    """(low, high), 0-based, of the first range of pages that a text names, else of the first page; null without one."""
+    number = lambda pattern, group: F.regexp_extract(c, pattern, group).try_cast("int") - 1
+    pair = lambda a, b: F.struct(a.alias("low"), b.alias("high"))
+    return F.when(c.rlike(SCOPE_RANGE), pair(number(SCOPE_RANGE, 1), number(SCOPE_RANGE, 2))).when(c.rlike(SCOPE_PAGE), pair(number(SCOPE_PAGE, 1), number(SCOPE_PAGE, 1)))
+
+
 def rgb(color: Column) -> Column:
     part = lambda bits: F.shiftright(color, bits).bitwiseAND(255) / F.lit(255.0)
     return F.struct(part(16).alias("r"), part(8).alias("g"), part(0).alias("b"))

@@ -267,3 +267,19 @@ def policy_candidates(blocks: DataFrame, doc: str = "doc_id", per_page: int = 6,
     page = F.row_number().over(Window.partitionBy(doc, "page_no").orderBy("block_id"))
     few = open_.withColumn("page_rank", page).where(F.col("page_rank") <= per_page)
     return few.withColumn("rank", F.row_number().over(Window.partitionBy(doc).orderBy("block_id"))).where(F.col("rank") <= most).drop("page_rank")
+
+
+def in_scope(blocks: DataFrame, scope: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(blocks, those outside of the scope with keep_original and not released; scope rows (doc, page_no) that name no page of
+    their document, which are a mismatch and no success)."""
+    own = scope.select(doc, "page_no").distinct().withColumn("_in", F.lit(True))
+    out = blocks.join(own, [doc, "page_no"], "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    kept = out.withColumn("keep_original", F.col("keep_original") | ~F.col("_in")).withColumn("released", F.col("released") & F.col("_in")).drop("_in")
+    return kept, own.drop("_in").join(blocks.select(doc, "page_no").distinct(), [doc, "page_no"], "left_anti")
+
+
+def on_page(asked: DataFrame, blocks: DataFrame, doc: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows asked for (doc, page_no, block_id) whose block is on that page; the others, with the page that the block is on, or null)."""
+    at = blocks.select(doc, "block_id", F.col("page_no").alias("actual_page"))
+    both = asked.join(at, [doc, "block_id"], "left").withColumn("_ok", F.coalesce(F.col("page_no") == F.col("actual_page"), F.lit(False)))
+    return both.where("_ok").drop("_ok", "actual_page"), both.where(~F.col("_ok")).drop("_ok")

@@ -271,3 +271,33 @@ def merged_blocks(spark, d):
     rows = b.select("doc_id", "page_no", "block_id", "item_no", "text", "x0", "y0", "x1", "y1")
     out = J.merged_blocks(rows.where("length(text) % 3 <> 0"), rows.where("length(text) % 2 = 0"), ["doc_id", "page_no"])
     return out.select("doc_id", "page_no", "block_id", "ocr", "read_no")
+
+
+_ASKED = f"""WITH {PH}, b AS (SELECT id % 10 AS doc_id, id // 10 AS block_id, id // 50 AS page_no FROM ph), asked AS (SELECT id % 10 AS doc_id, id // 10 * CASE WHEN id % 7 = 0 THEN 9 ELSE 1 END AS block_id, id // 50 + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS page_no FROM ph)"""
+
+
+def _asked(spark, d):
+    i = F.col("id")
+    rows, part = _phrases(spark, d), lambda n: F.floor(i / n).cast("long")
+    blocks = rows.select((i % 10).alias("doc_id"), part(10).alias("block_id"), part(50).alias("page_no"), (i % 4 == 0).alias("keep_original"), (i % 6 == 0).alias("released"))
+    asked = rows.select((i % 10).alias("doc_id"), (part(10) * F.when(i % 7 == 0, 9).otherwise(1)).alias("block_id"), (part(50) + F.when(i % 3 == 0, 1).otherwise(0)).alias("page_no"))
+    return asked, blocks
+
+
+@query("page_guard", f"{_ASKED} SELECT a.doc_id, a.block_id, a.page_no, b.page_no AS actual_page FROM asked a LEFT JOIN b USING (doc_id, block_id) WHERE b.page_no IS DISTINCT FROM a.page_no")
+def page_guard(spark, d):
+    """Blocks asked for on a page that they aren't on, or that don't exist."""
+    return J.on_page(*_asked(spark, d))[1].select("doc_id", "block_id", "page_no", "actual_page")
+
+
+@query("scoped_blocks", f"{_ASKED}, s AS (SELECT DISTINCT doc_id, page_no FROM asked WHERE page_no % 2 = 1), k AS (SELECT id % 10 AS doc_id, id // 10 AS block_id, id // 50 AS page_no, id % 4 = 0 AS keep, id % 6 = 0 AS rel FROM ph) SELECT k.doc_id, block_id, keep OR s.page_no IS NULL AS keep_original, rel AND s.page_no IS NOT NULL AS released FROM k LEFT JOIN s USING (doc_id, page_no)")
+def scoped_blocks(spark, d):
+    """Odd pages are in scope; other blocks keep their text and aren't released."""
+    asked, blocks = _asked(spark, d)
+    return J.in_scope(blocks, asked.where("page_no % 2 = 1"))[0].select("doc_id", "block_id", "keep_original", "released")
+
+
+@query("scope_mismatch", f"{_ASKED} SELECT DISTINCT doc_id, page_no FROM asked WHERE page_no % 2 = 1 AND (doc_id, page_no) NOT IN (SELECT doc_id, page_no FROM b)")
+def scope_mismatch(spark, d):
+    asked, blocks = _asked(spark, d)
+    return J.in_scope(blocks, asked.where("page_no % 2 = 1"))[1]

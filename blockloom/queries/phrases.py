@@ -412,3 +412,40 @@ def audit_changes(spark, d):
 def capped_findings(spark, d):
     rows = _phrases(spark, d).where(F.col("text").rlike(r"\p{L}")).select((F.col("id") % 30).alias("page_no"), "id")
     return C.capped(rows, ["page_no"], 3, ["id"])
+
+
+SCOPES = ["只翻第3页", "第2页到第5页", "检查 3-7页 的数字", "第 12 页的表格", "全文", "第10至12页", "page 3", "12~ 第 14 页 和 第1页"]
+_RANGE, _PAGE = X.SCOPE_RANGE, X.SCOPE_PAGE
+
+
+@query("page_scopes", f"WITH s AS (SELECT c_custkey AS id, {chosen_sql(SCOPES, 'c_custkey')} AS t FROM customer) SELECT id, coalesce(try_cast(regexp_extract(t, '{_RANGE}', 1) AS INTEGER), try_cast(regexp_extract(t, '{_PAGE}', 1) AS INTEGER)) - 1 AS low, coalesce(try_cast(regexp_extract(t, '{_RANGE}', 2) AS INTEGER), try_cast(regexp_extract(t, '{_PAGE}', 1) AS INTEGER)) - 1 AS high FROM s")
+def page_scopes(spark, d):
+    return T.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), X.scope_pages(chosen(SCOPES, F.col("c_custkey"))).alias("p")).select("id", "p.low", "p.high")
+
+
+@query(
+    "column_widths",
+    """WITH c AS (SELECT l_orderkey AS table_no, l_linenumber AS col, l_partkey, l_quantity::DOUBLE AS width, (l_partkey % 80)::DOUBLE AS demand, l_suppkey % 3 = 0 AS num FROM lineitem),
+    n AS (SELECT *, CASE WHEN num THEN greatest(demand, width) ELSE demand END AS need FROM c), f AS (SELECT *, NOT num AND need > 0 AS flex FROM n),
+    s AS (SELECT *, sum(CASE WHEN flex THEN need ELSE 0 END) OVER t AS asked, sum(CASE WHEN flex THEN width ELSE 0 END) OVER t AS budget, sum(need) OVER t <= sum(width) OVER t OR NOT bool_or(flex) OVER t AS fits FROM f WINDOW t AS (PARTITION BY table_no)),
+    h AS (SELECT *, budget * need / nullif(asked, 0) AS share, least(need, greatest(10.0, width)) AS low FROM s),
+    g AS (SELECT *, sum(CASE WHEN flex THEN greatest(0, low - share) ELSE 0 END) OVER t AS lack, sum(CASE WHEN flex THEN greatest(0, share - low) ELSE 0 END) OVER t AS spare FROM h WINDOW t AS (PARTITION BY table_no))
+    SELECT table_no, col, l_partkey, round(CASE WHEN flex AND NOT fits THEN greatest(greatest(share, low) - (greatest(share, low) - low) * CASE WHEN lack > 0 AND spare > 0 THEN least(1.0, lack / spare) ELSE 0 END, 5.0) ELSE width END, 6) AS new_width FROM g""",
+)
+def column_widths(spark, d):
+    """Line items as the columns of a table an order: quantities are widths, part numbers demands."""
+    from blockloom.operators.layout import rebalanced_columns
+
+    c = T.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("table_no"), F.col("l_linenumber").alias("col"), "l_partkey", F.col("l_quantity").cast("double").alias("width"), (F.col("l_partkey") % 80).cast("double").alias("demand"), (F.col("l_suppkey") % 3 == 0).alias("numeric"))
+    return rebalanced_columns(c, ["table_no"]).select("table_no", "col", "l_partkey", F.round("new_width", 6).alias("new_width"))
+
+
+@query("layout_grids", f"WITH {PH}, b AS (SELECT id % 20 AS doc_id, id // 200 AS page_no, id, text, id % 3 * 100.0::DOUBLE AS x, (id // 20 % 4) * 20.0 + id % 3 AS y FROM ph) SELECT doc_id, page_no, (dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY r) - 1)::INTEGER AS row_id, texts FROM (SELECT doc_id, page_no, round((y - y % 20) / 20) AS r, string_agg(text, '|' ORDER BY x, id) AS texts FROM b GROUP BY ALL)")
+def layout_grids(spark, d):
+    """Texts of made-up pages by row, rows within three points, from left to right."""
+    from blockloom.api import Session
+
+    i = F.col("id")
+    x, y = (i % 3) * 100.0, (F.floor(i / 20) % 4) * 20.0 + i % 3
+    blocks = _phrases(spark, d).select((i % 20).alias("doc_id"), F.floor(i / 200).cast("int").alias("page_no"), i.cast("int").alias("local_no"), i.cast("int").alias("block_id"), "text", x.alias("x0"), y.alias("y0"), (x + 50).alias("x1"), (y + 10).alias("y1"))
+    return Session(blocks).layout_grid().select(F.col("doc_id").cast("long").alias("doc_id"), F.col("page_no").cast("long").alias("page_no"), "row_id", F.array_join("texts", "|").alias("texts"))

@@ -267,3 +267,13 @@ def test_translation_groups_follow_the_rows(spark):
     todo = spark.range(500).select(F.md5(F.col("id").cast("string")).alias("block_hash"), F.concat(F.lit("text "), "id").alias("text"))
     seen = translate.translate_todo(todo, translate.echo, "en", groups=2, group_rows=50)
     assert seen.count() == 500 and seen.where("error is not null").count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(1, 60), st.integers(0, 90), st.booleans()), min_size=1, max_size=6))
+@settings(max_examples=5, deadline=None)
+def test_column_widths_as_aggregates(spark, columns):
+    """The aggregates give what the list form gives."""
+    want = L.rebalanced([float(w) for w, _, _ in columns], [float(x) for _, x, _ in columns], [f for _, _, f in columns])
+    df = spark.createDataFrame([("t", i, float(w), float(x), f) for i, (w, x, f) in enumerate(columns)], "t string, col int, width double, demand double, numeric boolean")
+    got = [r.new_width for r in L.rebalanced_columns(df, ["t"]).orderBy("col").collect()]
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got, want, strict=True))
