@@ -238,10 +238,12 @@ def policy_candidates(spark, d):
     return J.policy_candidates(own, most=20).select("doc_id", "page_no", "block_id", "text", F.col("rank").cast("long").alias("rank"))
 
 
-@query("glossary_missing", "WITH g AS (SELECT DISTINCT trim(text) AS term, upper(trim(text)) AS required FROM benchmark WHERE trim(text) <> '') SELECT doc_id, term, required FROM documents JOIN g ON contains(text, term) AND NOT contains(lower(text), required)")
+@query("glossary_missing", "WITH g AS (SELECT DISTINCT trim(text) AS term, lower(trim(text)) AS required FROM benchmark WHERE trim(text) <> '') SELECT doc_id, term, required FROM documents JOIN g ON contains(text, term) AND NOT contains(CASE WHEN length(text) % 3 = 0 THEN lower(text) ELSE '' END, required)")
 def glossary_missing(spark, d):
-    g = T.read(spark, d, "benchmark").select(F.trim("text").alias("source")).where("source <> ''").distinct().withColumn("target", F.upper("source"))
-    return J.glossary_missing(T.read(spark, d, "documents").select("doc_id", "text", F.lower("text").alias("target")), g)
+    """Benchmark passages as terms; documents whose length is a multiple of three are translated in full, the others lack everything."""
+    g = T.read(spark, d, "benchmark").select(F.trim("text").alias("source")).where("source <> ''").distinct().withColumn("target", F.lower("source"))
+    target = F.when(F.length("text") % 3 == 0, F.lower("text")).otherwise("")
+    return J.glossary_missing(T.read(spark, d, "documents").select("doc_id", "text", target.alias("target")), g)
 
 
 @query(
