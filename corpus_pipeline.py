@@ -8,7 +8,7 @@ the shared folder and reads it back, so that a lost executor costs one stage at
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from blockloom.llm.exact_dedup import exact_dedup, sha256_of
@@ -16,12 +16,14 @@ from blockloom.llm.language_id import UNDETERMINED, fit, held_out, predict
 from blockloom.llm.minhash import judged, text_key
 from blockloom.llm.mixing import mix
 from blockloom.llm.packing import default_tokenizer, pack_in_order
-from blockloom.llm.shared import discard, pick, rows_literal, scratch, stored
+from blockloom.llm.shared import discard, pick, scratch, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language is less certain than this are rejected, as are those without a letter. The score of a text
 #: that is stranger than the labelled training rows falls to 0, see blockloom.llm.language_id.
 LEAST_SCORE = 0.05
+#: Up to so many part files the first positions of files are broadcast.
+MOST_FILES = 100_000
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,10 +69,12 @@ def _positions(docs: DataFrame) -> DataFrame:
         rows = docs.select("doc_id", "text", *[F.col(c) for c in at])
     except AnalysisException:  # not a table of Parquet files
         rows = stored(pick(docs, "doc_id", "text"), "in-order").select("doc_id", "text", *[F.col(c) for c in at])
-    files = sorted(rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).collect())  # a row per file
-    starts = [(r.file_name, sum(x.n for x in files[:k])) for k, r in enumerate(files)]
-    known = rows_literal(docs.sparkSession, starts, "name string,first bigint")
-    return rows.join(F.broadcast(known), F.col("file_name") == F.col("name")).select("doc_id", "text", (F.col("first") + F.col("row_index")).alias("position"))
+    # One row a file.
+    counts = stored(rows.groupBy("file_name").agg(F.count(F.lit(1)).alias("n")), "file-rows")
+    before = F.sum("n").over(Window.orderBy("file_name").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(F.col("file_name").alias("name"), F.coalesce(before, F.lit(0)).alias("first"))
+    small = F.broadcast if counts.count() <= MOST_FILES else (lambda d: d)
+    return rows.join(small(starts), F.col("file_name") == F.col("name")).select("doc_id", "text", (F.col("first") + F.col("row_index")).alias("position"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
